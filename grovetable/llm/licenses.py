@@ -13,6 +13,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: Bands of one row each. A template of at least half its class lies with 80 % of its shingles in a window of
@@ -80,9 +82,11 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
     if not known:
         return docs.limit(0).select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
 
-    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), shingle_hashes(plain_words(F.col("text"))).alias("s"))
+    # The row number is not deterministic, so the filter is not pushed below and shingles are hashed once.
+    own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), shingle_hashes(plain_words(F.col("text"))).alias("s"))
     # A text without a single template shingle contains no template: nothing is lost here.
-    shared = own.filter(F.arrays_overlap("s", F.array(*[F.lit(x) for x in known])))
+    shared = settle(own.filter(F.arrays_overlap("s", F.array(*[F.lit(x) for x in known]))), "license-shared")
+
     def windows_of(c: int) -> Column:
         last = F.greatest(F.lit(0), F.ceil(F.size("s") / F.lit(c)).cast("int") - 2)
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.lit(c).alias("class"), (i * c).alias("at"), F.slice("s", i * c + 1, 2 * c).alias("w")))

@@ -34,11 +34,12 @@ def quality_features(docs: DataFrame, name: str = OWN) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     w, h, p8, s, d = (f"{name}_{x}" for x in ("w", "h", "p", "s", "d"))
-    shifted = lambda a, by: F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
-    paired = lambda a, by: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - by, F.lit(0))), shifted(a, by), lambda x, y: F.xxhash64(x, y))
-    step = docs.withColumn(w, words_of(F.col("text").cast("string")))
-    step = step.withColumn(h, paired(F.transform(w, lambda x: F.xxhash64(x)), 1))
-    step = step.withColumn(p8, paired(paired(F.col(h), 2), 4))
+    head = lambda a, by: F.slice(a, 1, F.greatest(F.size(a) - by, F.lit(0)))
+    tail = lambda a, by: F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
+    step = docs.withColumn(w, words_of(F.col("text").cast("string"))).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
+    # Hashes of 2, 4, then 8 words in a row: each from two of the half as long. A column each, so that none is worked out twice.
+    for by, last in ((1, h), (2, h), (4, p8)):
+        step = step.withColumn(last, F.zip_with(head(h, by), tail(h, by), lambda x, y: F.xxhash64(x, y)))
     # Only a text with a window found twice is sorted; windows two or more alike keep all their places.
     found_twice = F.size(F.array_distinct(p8)) < F.size(p8)
     step = step.withColumn(s, F.when(found_twice, F.sort_array(F.transform(F.col(p8), lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
@@ -63,6 +64,8 @@ def quality_features(docs: DataFrame, name: str = OWN) -> DataFrame:
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+            # Not deterministic, so that no filter is pushed below and works everything out a second time.
+            F.monotonically_increasing_id().alias("row"),
         ),
     ).drop(w, h, p8, s, d)
     q = F.col(name)
