@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_key, settle
+from .common import by_bytes, group_key, settle
 
 #: Queues beyond this many sources share one queue, so the queue table stays small.
 MAX_QUEUES = 256
-#: Words remembered by a tokenizing task.
+#: Up to this many queues, their sum is written out as one compiled expression.
+PLAIN_QUEUES = 48
+#: Words that a Python worker remembers, twice at most.
 REMEMBERED = 300_000
 
 
@@ -36,71 +38,82 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Recent(dict):
+    """What was lately asked for, worked out on demand: two generations, of which the older goes when the newer is full."""
+
+    def __init__(self, work, size: int):
+        super().__init__()
+        self.work, self.size, self.old = work, size, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.work(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordCodes:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and never joins tokens across it, so a text's ids are its
-    blank-separated chunks' ids in a row, and a chunk needs to be coded only once. Chunks of plain
-    letters are cut into the vocabulary's words here, which are remembered too; any other chunk
-    goes through the whole tokenizer.
+    The vocabulary drops white space and never joins tokens across words, so a text's ids are its
+    words' ids in a row, and a word needs to be coded only once. Texts of plain letters are cut into the
+    vocabulary's words here; of any other text, the chunks with other characters go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_file: str, remembered: int = REMEMBERED):
         import re
+        from array import array
 
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_file)
-        self.bare = Tokenizer.from_file(tokenizer_file)
-        self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.remembered = remembered
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.plain, self.pieces = re.compile(PLAIN).fullmatch, re.compile(PIECES).findall
-        self.letters = {b: letter for b, letter in byte_letters().items()}
-
-    def _code_words(self, words: list[str]) -> None:
-        import numpy as np
-
-        for at in range(0, len(words), 1_000):
-            some = words[at : at + 1_000]
-            spelled = [w.encode().decode("latin-1").translate(self.letters) for w in some]
-            coded = self.bare.encode(" ".join(spelled), add_special_tokens=False)
-            ids, of = np.asarray(coded.ids, dtype="<u4").tobytes(), np.asarray(coded.word_ids)
-            ends = [*(4 * (np.flatnonzero(np.diff(of)) + 1)).tolist(), len(ids)]
-            self.words.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
-
-    def _code_chunks(self, new: list[bytes]) -> None:
+        letters, model = byte_letters(), Tokenizer.from_file(tokenizer_file).model
+        pack = lambda ids: array("I", ids).tobytes()
+
+        def word(w: str) -> bytes:
+            return pack([t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letters))])
+
+        self.words = Recent(word, remembered)
+        self.odd = Recent(lambda c: pack(self.whole.encode(c, add_special_tokens=False).ids), remembered // 10)
+        self.plain = re.compile(PLAIN).fullmatch
+        self.plain_text = re.compile(PLAIN.replace("[", "[ \\t-\\r", 1).replace("]+", "]*")).fullmatch
+        self.pieces = re.compile(PIECES).findall
+        self.knotty = re.compile(r"[^\w\s.,]|[\d_]|[.,][.,]").search
+        self.chunks = re.compile(r"[^ \t-\r]+").findall
+
+    def _words(self, text: str) -> list[str]:
         import unicodedata
 
-        import numpy as np
+        t = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        if self.knotty(t):
+            return self.pieces(t)
+        return t.replace(".", " . ").replace(",", " , ").split()
 
-        cut, odd = [], []
-        for chunk in new:
-            text = chunk.decode("utf-8", "replace")
-            if self.plain(text) and "<|" not in text:
-                cut.append((chunk, self.pieces(unicodedata.normalize("NFC", text).lower())))
-            else:
-                odd.append((chunk, text))
-        if len(self.words) > self.remembered:
-            self.words = {}
-        self._code_words(list({w for _, own in cut for w in own if w not in self.words}))
+    def code(self, text: str) -> bytes:
         get = self.words.__getitem__
-        self.chunks.update((chunk, b"".join(map(get, own))) for chunk, own in cut)
-        for at in range(0, len(odd), 500):
-            coded = self.whole.encode_batch([t for _, t in odd[at : at + 500]], add_special_tokens=False)
-            self.chunks.update((c, np.asarray(e.ids, dtype="<u4").tobytes()) for (c, _), e in zip(odd[at : at + 500], coded))
-
-    def code(self, texts: list[str]) -> list[bytes]:
-        own = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({c for chunks in own for c in chunks if c not in self.chunks})
-        if len(self.chunks) + len(new) > self.remembered and self.chunks:
-            self.chunks = {}
-            new = list({c for chunks in own for c in chunks})
-        self._code_chunks(new)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in own]
+        if "<|" not in text and self.plain_text(text):
+            return b"".join(map(get, self._words(text)))
+        out = []
+        for chunk in self.chunks(text):
+            if self.plain(chunk) and "<|" not in chunk:
+                out += map(get, self._words(chunk))
+            else:
+                out.append(self.odd[chunk])
+        return b"".join(out)
+
+
+_codes: dict[str, WordCodes] = {}
+
+
+def word_codes(tokenizer_file: str) -> WordCodes:
+    """The tokenizer of this Python worker, which remembers words from one task to the next."""
+    if tokenizer_file not in _codes:
+        _codes[tokenizer_file] = WordCodes(tokenizer_file)
+    return _codes[tokenizer_file]
 
 
 TOKENS = "doc_id long, queue string, part int, queue_start long, doc_tokens long, ids binary"
@@ -108,13 +121,12 @@ TOKENS = "doc_id long, queue string, part int, queue_start long, doc_tokens long
 
 def _tokenizing(tokenizer_file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sent = WordCodes(tokenizer_file), {}
+        codes, sent = word_codes(tokenizer_file), {}
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in by_bytes(batch, 3):
                 queues, blobs, starts = some.column(1).to_pylist(), [], []
-                for queue, blob in zip(queues, codes.code([t or "" for t in some.column(3).to_pylist()])):
+                for queue, blob in zip(queues, (codes.code(t or "") for t in some.column(3).to_pylist())):
                     blobs.append(blob + end)
                     starts.append(sent.get(queue, 0))
                     sent[queue] = starts[-1] + len(blobs[-1]) // 4
@@ -193,11 +205,12 @@ def pack_documents(
         .withColumn("hi", F.least(F.col("at") + F.col("doc_tokens"), sent_after(F.col("round") + 1, F.col("q"))))
         .filter("lo < hi")
     )
-    ahead = F.aggregate(
-        table,
-        F.lit(0).cast("long"),
-        lambda acc, s: acc + F.least(s["t"], sent_after(F.col("round") + F.when(s["i"] < F.col("i"), 1).otherwise(0), s["q"])),
-    )
+    if len(keys) <= PLAIN_QUEUES:
+        ahead = F.lit(0).cast("long")
+        for i, k in enumerate(keys):
+            ahead = ahead + F.least(F.lit(sums[k]).cast("long"), sent_after(F.col("round") + F.when(F.col("i") > i, 1).otherwise(0), F.lit(quanta[k])))
+    else:
+        ahead = F.aggregate(table, F.lit(0).cast("long"), lambda acc, s: acc + F.least(s["t"], sent_after(F.col("round") + F.when(s["i"] < F.col("i"), 1).otherwise(0), s["q"])))
     size = F.lit(sequence_tokens).cast("long")
     placed = laid.withColumn("place", ahead + F.col("lo") - sent_after(F.col("round"), F.col("q")))
     cut = (
