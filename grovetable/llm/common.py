@@ -34,7 +34,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled.settled_path = path
+    return settled
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``settle`` wrote for ``df``, once all that was built on it is settled itself."""
+    remove_path(df.sparkSession, df.settled_path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -74,3 +81,16 @@ def prefix_sums(rows: DataFrame, group: str, spread: str, ties: list[str], size:
         .withColumn(out, (F.col("__base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long"))
         .drop("__range", "__base")
     )
+
+
+def by_bytes(batch, column: int, most: int = 4 << 20):
+    """Slices of an Arrow batch with about ``most`` bytes of text in one column each, so that long texts never pile up."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -13,58 +13,71 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove_path, scratch_root, settle
+from .common import by_bytes, discard, remove_path, scratch_root, settle
 
 WINDOW = 13
 SHINGLE = 5
 #: Runs of one level that are compacted into one run of the next.
 FANOUT = 2
-#: Word hashes remembered by a task.
-REMEMBERED = 300_000
 
 
-class Windows:
-    """Anchors and whole-window hashes of texts."""
+#: Odd multipliers of the two rolling hashes, below 2 ** 64.
+ANCHOR_BASE, WHOLE_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
-    def __init__(self, window: int = WINDOW, shingle: int = SHINGLE):
-        self.window, self.shingle, self.known = window, min(shingle, window), {}
 
-    def words(self, text: str | None) -> list[bytes]:
-        return (text or "").encode("utf-8", "surrogatepass").split()
+class Rolling:
+    """64-bit hashes of any spans of a byte string, from one running sum."""
 
-    def _numbers(self, words: list[bytes]):
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, None, None
+        self.grow(1 << 12)
+
+    def grow(self, n: int) -> None:
+        """Powers of the base and of its inverse, up to ``n``."""
         import numpy as np
-        from xxhash import xxh64_intdigest
 
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED and self.known:
-            self.known = {}
-            new = set(words)
-        self.known.update((w, xxh64_intdigest(w, 3)) for w in new)
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+        n = 1 << (n - 1).bit_length()
+        with np.errstate(over="ignore"):
+            powers = lambda b: np.concatenate((np.ones(1, dtype=np.uint64), np.multiply.accumulate(np.full(n, b, dtype=np.uint64))))
+            self.up, self.down = powers(self.base), powers(pow(self.base, -1, 1 << 64))
 
-    @staticmethod
-    def _mixed(x):
+    def spans(self, data, starts, ends):
         import numpy as np
 
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        if len(data) >= len(self.up):
+            self.grow(len(data) + 1)
+        with np.errstate(over="ignore"):
+            run = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=run[1:])
+            x = (run[ends] - run[starts]) * self.down[starts]
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+
 
-    def _spans(self, numbers, n: int, base: int):
-        """A hash of every span of ``n`` words."""
+class Windows:
+    """Anchors and whole-window hashes of texts, as spans of their words joined by one blank."""
+
+    def __init__(self, window: int = WINDOW, shingle: int = SHINGLE):
+        self.window, self.shingle = window, min(shingle, window)
+        self.near, self.far = Rolling(ANCHOR_BASE), Rolling(WHOLE_BASE)
+
+    def words(self, text: str | None) -> list[bytes]:
+        return (text or "").encode("utf-8", "surrogatepass").split()
+
+    def edges(self, words: list[bytes]):
+        """The joined words, and where each starts and ends."""
         import numpy as np
 
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(numbers) - n + 1, dtype=np.uint64)
-            for k in range(n):
-                total = total * np.uint64(base) + numbers[k : len(numbers) - n + 1 + k]
-            return self._mixed(total)
+        data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+        blanks = np.flatnonzero(data == 32)
+        return data, np.concatenate(([0], blanks + 1)), np.concatenate((blanks, [len(data)]))
 
     def anchors(self, words: list[bytes]):
         """The anchor of every window, in order; empty for a shorter text."""
@@ -72,18 +85,21 @@ class Windows:
 
         if len(words) < self.window:
             return np.empty(0, dtype=np.int64), None
-        numbers = self._numbers(words)
-        spans = self._spans(numbers, self.shingle, 0x9E3779B97F4A7C15)
-        least = spans[: len(words) - self.window + 1]
-        for k in range(1, self.window - self.shingle + 1):
-            least = np.minimum(least, spans[k : k + len(words) - self.window + 1])
-        return least.view(np.int64), numbers
-
-    def whole(self, numbers):
+        data, starts, ends = edges = self.edges(words)
+        least = self.near.spans(data, starts[: len(words) - self.shingle + 1], ends[self.shingle - 1 :])
+        done, want = 1, self.window - self.shingle + 1
+        while done < want:  # minima over 2, 4, 8 ... shingles, then as many as are asked for
+            by = min(done, want - done)
+            least = np.minimum(least[:-by], least[by:])
+            done += by
+        return least.view(np.int64), edges
+
+    def whole(self, edges):
         """The hash of every window."""
         import numpy as np
 
-        return self._spans(numbers, self.window, 0xD6E8FEB86659FD93).view(np.int64)
+        data, starts, ends = edges
+        return self.far.spans(data, starts[: len(starts) - self.window + 1], ends[self.window - 1 :]).view(np.int64)
 
 
 def _anchoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +107,7 @@ def _anchoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     own = Windows()
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            some = batch.slice(at, 512)
+        for some in by_bytes(batch, 1):
             sets = [np.unique(own.anchors(own.words(t))[0]) for t in some.column(1).to_pylist()]
             ids = np.repeat(np.asarray(some.column(0).to_numpy(zero_copy_only=False)), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else []).cast(pa.int64()), pa.array(ids).cast(pa.int64())], names=["anchor", "doc_id"])
@@ -143,6 +158,7 @@ class FingerprintIndex:
         for f in filed:
             hits = hits.union(f.select(F.col("first_doc").alias("doc_id"), "anchor"))
         hits = settle(hits, "substring-hits")
+        discard(shared)
         self.runs.append(new)
         self._compact()
         return hits
@@ -179,8 +195,7 @@ def _opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     own = Windows()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
+        for some in by_bytes(batch, 2):
             rows, ids, texts, sets = (some.column(i).to_pylist() for i in range(4))
             out: list[list] = [[], [], [], []]
             counts = []
@@ -238,19 +253,23 @@ def remove_repeats(docs: DataFrame, batches: int = 3) -> DataFrame:
     bounds = [b for b in (own.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else [])]
     bounds = sorted({int(b) for b in bounds})
     index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hits = None
+    parts: list[DataFrame] = []
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = own.filter("doc_id IS NOT NULL")
         part = part.filter(F.col("doc_id") > low) if low is not None else part
         part = part.filter(F.col("doc_id") <= high) if high is not None else part
-        found = index.add(settle(anchor_entries(part), "substring-entries"))
-        hits = found if hits is None else hits.union(found)
+        entries = settle(anchor_entries(part), "substring-entries")
+        parts.append(index.add(entries))
+        discard(entries)
     index.close()
+    hits = reduce(DataFrame.union, parts)
 
     shared = hits.groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))  # no more than the document's own windows
     opened = settle(
         own.join(shared, "doc_id", "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "shared").mapInArrow(_opening, _OPENED), "substring-opened"
     )
+    for p in parts:
+        discard(p)
     windows = opened.filter("starts IS NOT NULL").select("row", "doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("row", "doc_id", "w.starts", "w.hashes")
     first = windows.groupBy("hashes").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").drop("last")
     later = windows.join(first, "hashes").filter("doc_id > first")
