@@ -35,6 +35,9 @@ class Binding:
     source: str
     given: dict[str, str] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.columns = [c for c in self.columns if c != "_row_id"]
+
     def __getitem__(self, role: str) -> str | None:
         if role in self.given:
             return self.given[role]

@@ -147,9 +147,10 @@ def review_flags(spark, d):
     return out.select(F.explode("review_codes").alias("code")).filter(~F.col("code").isin(*some)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {V}, {Z} SELECT k1, k2, k3, waz, haz, baz FROM c WHERE waz IS NOT NULL")
+@query(f"WITH {V}, {Z} SELECT negeri, gender, count(waz) AS n, count(baz) AS n_baz, round(avg(waz), 1) AS waz, round(avg(haz), 1) AS haz, round(avg(baz), 1) AS baz FROM c GROUP BY 1, 2")
 def zscore_lms(spark, d):
-    return cleaned(spark, d).filter("WAZ IS NOT NULL").select(*keys(), *[F.col(z).alias(z.lower()) for z in growth.INDICATORS])
+    means = [F.round(F.avg(z), 1).alias(z.lower()) for z in growth.INDICATORS]
+    return cleaned(spark, d).groupBy(F.col("raw.negeri").alias("negeri"), F.col("raw.gender").alias("gender")).agg(F.count("WAZ").alias("n"), F.count("BAZ").alias("n_baz"), *means)
 
 
 @query(f"""WITH {V}, {Z} SELECT negeri, CASE WHEN waz < -3 THEN 'kurang_berat_badan_teruk' WHEN waz < -2 THEN 'kurang_berat_badan' WHEN waz < -1 THEN 'risiko_kurang_berat_badan' WHEN waz <= 2 THEN 'berat_badan_normal' ELSE 'mungkin_masalah_pertumbuhan' END AS class,
