@@ -15,28 +15,40 @@ from .values import SENTINELS, parse_date
 PARTICLES = ("bin", "binti", "bt", "bte", "b", "a/l", "a/p", "al", "ap", "anak")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def validate_id(raw: Column) -> Column:
     """struct(valid, issue, cleaned, type) of an identity number: twelve digits that start with a plausible month and day."""
     t = F.trim(raw.cast("string"))
     missing = t.isNull() | F.lower(t).isin(*[s.lower() for s in SENTINELS])
     scientific = t.rlike(r"^[0-9.]+[eE][+]?[0-9]+$")
     t = F.when(scientific, F.coalesce(t.try_cast("double").cast("decimal(30,0)").cast("string"), t)).otherwise(t)
-    letter = t.rlike(r"^[A-Za-z]")
-    corrupted = t.rlike(r"^[0-9]+[A-Za-z]")
-    digits = F.regexp_replace(F.split(t, "[_-]")[0], "[^0-9]", "")
-    whole = F.when(F.length(digits) < 12, F.regexp_replace(t, "[^0-9]", "")).otherwise(digits)
-    month, day = F.substring(whole, 3, 2).try_cast("int"), F.substring(whole, 5, 2).try_cast("int")
-    n = F.length(whole)
     result = lambda ok, issue, cleaned, kind: F.struct(F.lit(ok).alias("valid"), (issue if isinstance(issue, Column) else F.lit(issue).cast("string")).alias("issue"), (cleaned if isinstance(cleaned, Column) else F.lit(cleaned).cast("string")).alias("cleaned"), F.lit(kind).alias("type"))
-    return (
-        F.when(missing, result(False, "missing", None, "missing"))
-        .when(letter, result(True, None, t, "system_id"))
-        .when(corrupted, result(False, "corrupted", F.substring(F.regexp_replace(t, "[^0-9]", ""), 1, 12), "corrupted"))
-        .when((n == 12) & month.between(1, 12) & day.between(1, 31), result(True, None, whole, "ic"))
-        .when(n == 12, result(False, "invalid_date", whole, "ic"))
-        .when(n < 12, result(False, F.concat(F.lit("too_short_"), n), whole, "ic"))
-        .otherwise(result(False, F.concat(F.lit("too_long_"), n), whole, "ic"))
-    )
+
+    def twelve(t: Column) -> Column:
+        digits = F.regexp_replace(F.split(t, "[_-]")[0], "[^0-9]", "")
+        return let(digits, lambda d: F.when(F.length(d) < 12, F.regexp_replace(t, "[^0-9]", "")).otherwise(d))
+
+    def judged(whole: Column) -> Column:
+        month, day, n = F.substring(whole, 3, 2).try_cast("int"), F.substring(whole, 5, 2).try_cast("int"), F.length(whole)
+        return (
+            F.when((n == 12) & month.between(1, 12) & day.between(1, 31), result(True, None, whole, "ic"))
+            .when(n == 12, result(False, "invalid_date", whole, "ic"))
+            .when(n < 12, result(False, F.concat(F.lit("too_short_"), n), whole, "ic"))
+            .otherwise(result(False, F.concat(F.lit("too_long_"), n), whole, "ic"))
+        )
+
+    def read(t: Column) -> Column:
+        return (
+            F.when(t.rlike(r"^[A-Za-z]"), result(True, None, t, "system_id"))
+            .when(t.rlike(r"^[0-9]+[A-Za-z]"), result(False, "corrupted", F.substring(F.regexp_replace(t, "[^0-9]", ""), 1, 12), "corrupted"))
+            .otherwise(let(twelve(t), judged))
+        )
+
+    return F.when(missing, result(False, "missing", None, "missing")).otherwise(let(t, read))
 
 
 def id_gender(cleaned: Column) -> Column:

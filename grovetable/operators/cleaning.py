@@ -57,14 +57,20 @@ def _prepared(df: DataFrame, b: Binding) -> DataFrame:
     """Typed columns beside the raw ones; the raw ones are kept in the struct ``raw``."""
     raw = with_row_id(df)
     keep = [c for c in raw.columns if c not in ("_row_id", "raw")]
+    kinds = dict(df.dtypes)
+
+    def date(role: str) -> Column:
+        """A column that is a date already needs no reading."""
+        return F.to_date(b.col(role)) if kinds.get(b[role] or "", "").startswith(("date", "timestamp")) else parse_date(b.col(role))
+
     typed = raw.select(
         "_row_id",
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("raw"),
         (gender_cleaner(b.col("gender")) if b["gender"] else F.lit(None).cast("string")).alias("Gender"),
         F.upper(F.trim(text(b.col("gender")))).alias("__gender"),
         F.upper(F.trim(text(b.col("income")))).alias("__income"),
-        parse_date(b.col("dob")).alias("Tarikh_Lahir"),
-        parse_date(b.col("date")).alias("Tarikh_Ukur"),
+        date("dob").alias("Tarikh_Lahir"),
+        date("date").alias("Tarikh_Ukur"),
         try_num(b.col("weight")).alias("Berat_kg"),
         try_num(b.col("height")).alias("Tinggi_cm"),
         text(b.col("id")).alias("__id"),
@@ -155,10 +161,11 @@ def clean(
         out = out.withColumn("Kategori_Umur", age_band(F.col("Age_Days")))
     rules = []
     if reviews and source != "school_age":
-        rules = [r for r in review.rules(df.columns, source, ranges, today) if review_on(r.code, enabled)]
+        out = review.with_id_check(out, b.columns, source, today)
+        rules = [r for r in review.rules(b.columns, source, ranges, today) if review_on(r.code, enabled)]
         rules.append(Rule("review_mykid_shared_placeholder", F.col("__shared")))
     out = out.withColumn("review_codes", codes(rules))
-    return out.withColumn("analyzable", F.size("drop_codes") == 0).withColumn("exclude_reason", joined(F.col("drop_codes"))).withColumn("review_reason", joined(F.col("review_codes"))).drop("__gender", "__income", "__id", "__age", "__shared")
+    return out.withColumn("analyzable", F.size("drop_codes") == 0).withColumn("exclude_reason", joined(F.col("drop_codes"))).withColumn("review_reason", joined(F.col("review_codes"))).drop("__gender", "__income", "__id", "__age", "__shared", "__vid", "__born")
 
 
 def clean_wide_multiyear(df: DataFrame, **options) -> DataFrame:

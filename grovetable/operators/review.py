@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -23,6 +23,21 @@ def any_of(parts: list[Column]) -> Column:
     return out
 
 
+def id_column(columns: list[str], source: str) -> Column | None:
+    """The identity number that a profile's reviews read."""
+    patterns = {"wide_multiyear": ["ic no passport", "no kp", "kad pengenalan", "passport"], "wide_registry": ["mykid"]}.get(source)
+    found = find_col(columns, patterns) if patterns else None
+    return F.col("raw").getField(found) if found else None
+
+
+def with_id_check(df: DataFrame, columns: list[str], source: str, today: Column) -> DataFrame:
+    """Add ``__vid`` and ``__born``, worked out once for all rules that read them."""
+    ic = id_column(columns, source)
+    if ic is None:
+        return df
+    return df.withColumn("__vid", validate_id(ic)).withColumn("__born", id_birth_date(F.col("__vid.cleaned"), today))
+
+
 def rules(columns: list[str], source: str, ranges: dict, today: Column) -> list[Rule]:
     """The review rules that the columns at hand allow, in order."""
     by_name = {c.lower().replace("-", "_").replace(" ", "_"): c for c in reversed(columns)}
@@ -53,13 +68,12 @@ def rules(columns: list[str], source: str, ranges: dict, today: Column) -> list[
     if len(dobs) > 1:
         add("review_dob_dual_mismatch", parse_date(dobs[0]) != parse_date(dobs[1]))
     if source == "wide_multiyear" and ic is not None:
-        v = validate_id(ic)
-        born = id_birth_date(v["cleaned"], today)
+        v, born = F.col("__vid"), F.col("__born")
         add("review_ic_malformed", ~v["valid"] & (v["type"] != "missing"))
         add("review_ic_dob_mismatch", born != dob)
         add("review_ic_age_contradiction", (F.datediff(measured, born) / 365.25 >= 18) & (months < cap))
-    if source == "wide_registry" and (kid := like("mykid")) is not None:
-        v = validate_id(kid)
+    if source == "wide_registry" and like("mykid") is not None:
+        v = F.col("__vid")
         add("review_mykid_invalid", ~v["valid"] & (v["type"] != "missing"))
     if source == "wide_multiyear" and (dose := raw("dose_date")) is not None:
         add("review_dose_date_mismatch", parse_date(dose) != measured)
