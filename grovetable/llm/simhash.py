@@ -153,7 +153,11 @@ def simhash_components(docs: DataFrame, max_bits: int = 2, shingle: int = 3) ->
 
 def drop_near_copies(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:
     """``docs`` with the smallest doc_id of every component only, all columns kept; of rows that repeat that doc_id one stays."""
-    own = simhash_components(docs, max_bits, shingle)
+    return keep_smallest(docs, simhash_components(docs, max_bits, shingle))
+
+
+def keep_smallest(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its component's in ``own`` (doc_id, component_id)."""
     stay = own.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi")
     repeated = settle(own.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "simhash-repeated")
