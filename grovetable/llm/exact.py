@@ -26,12 +26,14 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     row with the largest id stays (a null id is the least); if rows repeat that id too, one of them
     stays. Input columns with the added names are replaced, others carried along; an empty table stays empty.
     """
-    rows = (
+    numbered = (
         docs.drop("keep_id", "group_size", "kept", "text_sha256")
         .withColumn("text_sha256", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256))
         .withColumn("__row", F.monotonically_increasing_id())
     )
-    digests = settle(rows.select("text_sha256", F.struct(F.col(id_column).alias("id"), F.col("__row").alias("r")).alias("w")), "exact-digests")
+    # Row numbers depend on how the input is split, so they are written with their rows and never worked out again.
+    rows = settle(numbered, "exact-rows")
+    digests = rows.select("text_sha256", F.struct(F.col(id_column).alias("id"), F.col("__row").alias("r")).alias("w"))
 
     found = digests.agg(F.expr(f"approx_top_k(text_sha256, {frequent}, {tracked})").alias("top")).select(F.explode("top").alias("t"))
     candidates = found.select(F.col("t.item").alias("text_sha256"))

@@ -82,17 +82,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     A document without words that no epoch repeats is left in once, since it costs nothing. A cut
     text has its words joined by one blank.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = settle(
-        numbered.select(
-            F.col("doc_id").cast("long").alias("doc_id"), group_key(F.col("source")).alias("source_key"),
-            F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.col("__row").alias("row"),
-        ),
-        "mix-sizes",
+    # Row numbers depend on how the input is split, so they are written with their rows and never worked out again.
+    numbered = settle(
+        docs.withColumn("__key", group_key(F.col("source")))
+        .withColumn("__size", F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long"))
+        .withColumn("__row", F.monotonically_increasing_id()),
+        "mix-rows",
     )
+    rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("source_key"), F.col("__size").alias("size"), F.col("__row").alias("row"))
     placed = _placed(rows, seed, weights, max_epochs)
-    plan = placed.select(F.col("row").alias("__row"), F.col("size").alias("__size"), taken(F.col("size"), F.col("start"), F.col("source_size"), F.col("target")).alias("__taken"))
-    plan = settle(plan.filter("__taken > 0 OR __size = 0"), "mix-plan")
+    plan = placed.select(F.col("row").alias("__row"), "size", taken(F.col("size"), F.col("start"), F.col("source_size"), F.col("target")).alias("__taken"))
+    plan = settle(plan.filter("__taken > 0 OR size = 0").drop("size"), "mix-plan")
     joined = numbered.join(plan, "__row")
     turns = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)))).cast("int")
     times = joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), turns)))
