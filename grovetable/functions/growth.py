@@ -7,26 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lms import KNOT_MONTHS, KNOTS
 from .values import try_num
 
-#: Published L, M, S of weight, height and BMI for age at these months. Days between are interpolated;
-#: a full daily table can be read with ``sources.tables.read_lms`` instead.
-KNOT_MONTHS = (0, 3, 6, 12, 24, 36, 48, 60)
-KNOTS = {
-    ("M", "WAZ"): ((0.3487, 3.3464, 0.14602), (0.1738, 6.3762, 0.11727), (0.1257, 7.9340, 0.10680), (0.0651, 9.6479, 0.09917), (-0.0130, 12.1239, 0.10160), (-0.0656, 13.9867, 0.10496), (-0.0929, 16.1431, 0.10744), (-0.1201, 18.2981, 0.10992)),
-    ("F", "WAZ"): ((0.3809, 3.2322, 0.14171), (0.1516, 5.8527, 0.12024), (0.1128, 7.2970, 0.10820), (0.0619, 8.8494, 0.09813), (0.0023, 10.8785, 0.09987), (-0.0333, 12.5015, 0.10349), (-0.0564, 14.5031, 0.10585), (-0.0736, 16.5047, 0.10821)),
-    ("M", "HAZ"): ((1, 49.8842, 0.03795), (1, 61.4292, 0.03328), (1, 67.6236, 0.03177), (1, 75.7096, 0.03133), (1, 87.1162, 0.03180), (1, 96.1, 0.0328), (1, 103.3, 0.0327), (1, 110.0, 0.0330)),
-    ("F", "HAZ"): ((1, 49.1477, 0.03790), (1, 59.8029, 0.03375), (1, 65.7311, 0.03230), (1, 74.0150, 0.03184), (1, 85.7153, 0.03247), (1, 94.13, 0.0335), (1, 101.3, 0.0334), (1, 107.97, 0.0337)),
-    ("M", "BAZ"): ((-0.0631, 13.4047, 0.09545), (-0.2819, 16.4005, 0.08218), (-0.5114, 17.3228, 0.09013), (-0.6148, 17.7067, 0.09556), (-0.6064, 16.1435, 0.09166), (-0.6436, 15.5757, 0.08724), (-0.8321, 15.3208, 0.08547), (-0.9961, 15.2441, 0.08434)),
-    ("F", "BAZ"): ((-0.0631, 13.1567, 0.09430), (-0.2819, 15.7686, 0.08146), (-0.4872, 16.8866, 0.09148), (-0.5840, 17.0893, 0.09694), (-0.5712, 15.7688, 0.09261), (-0.5887, 15.2988, 0.09032), (-0.7521, 15.1413, 0.08851), (-0.9276, 15.1697, 0.08770)),
-}
 INDICATORS = ("WAZ", "HAZ", "BAZ")
 BOUNDS = {"WAZ": (-6.0, 5.0), "HAZ": (-6.0, 6.0), "BAZ": (-5.0, 5.0)}
 CAP = 6.0
 
 
 def knot_table(spark: SparkSession, step: int = 1) -> DataFrame:
-    """(sex, day, waz_l, waz_m, waz_s, ...): the fixed knots, interpolated to every ``step`` days up to 60 months."""
+    """(sex, day, waz_l, waz_m, waz_s, ...): the monthly values, interpolated to every ``step`` days up to 120 months.
+
+    A full daily table can be read with ``sources.tables.read_lms`` instead.
+    """
     days = [round(m * 30.4375) for m in KNOT_MONTHS]
     knots = [(s, a, b, *[x for i in INDICATORS for k in range(3) for x in (float(KNOTS[s, i][n][k]), float(KNOTS[s, i][n + 1][k]))]) for s in "MF" for n, (a, b) in enumerate(zip(days, days[1:]))]
     names = ["sex", "a", "b"] + [f"{i.lower()}_{k}{e}" for i in INDICATORS for k in "lms" for e in "01"]
@@ -60,13 +53,13 @@ def add_zscores(df: DataFrame, lms: DataFrame, sex: Column, days: Column, weight
 
     The LMS table has a fixed number of days per sex, so it is broadcast. ``cleaner``: day clamped to the
     table, cap, biologically implausible values null, rounded to 3 then 2 digits. ``profile``: rounded to 3 only. ``daily``:
-    out of table null, no cap, 4 digits. ``monthly``: day of the rounded month, within the table.
+    out of table null, no cap, 4 digits. ``monthly``: day of the rounded month, clamped to the table.
     """
-    last = F.lit(max(round(m * 30.4375) for m in KNOT_MONTHS))
+    last = lms.agg(F.max("day")).scalar()
     day = F.bround(days.cast("double"), 0).cast("int")
     if mode == "monthly":
         day = F.bround(F.bround(days / 30.4375, 0) * 30.4375, 0).cast("int")
-    if mode in ("cleaner", "profile"):
+    if mode in ("cleaner", "profile", "monthly"):
         day = F.when(day.isNotNull(), F.greatest(F.lit(0), F.least(last, day)))
     keyed = df.withColumn("__sex", sex_key(sex)).withColumn("__day", F.when(where, day) if where is not None else day)
     joined = keyed.join(F.broadcast(lms.withColumnRenamed("sex", "__sex").withColumnRenamed("day", "__day")), ["__sex", "__day"], "left")

@@ -211,7 +211,7 @@ def clean_general(df: DataFrame, **options) -> tuple[DataFrame, dict]:
     enabled = options.get("enabled")
     if not (b["gender"] and b["dob"] and b["date"]) or found["cohort"] == "school":
         cleaned = clean(df, "general", **(options | {"profile": profile, "enabled": enabled}))
-        last = F.element_at("drop_codes", -1) == "dropped_null_zscore"
+        last = F.try_element_at("drop_codes", F.lit(-1)) == "dropped_null_zscore"
         kept = F.when(last, F.slice("drop_codes", 1, F.greatest(F.size("drop_codes") - 1, F.lit(0)))).otherwise(F.col("drop_codes"))
         cleaned = cleaned.withColumn("drop_codes", kept).withColumn("analyzable", F.size("drop_codes") == 0).withColumn("exclude_reason", joined(F.col("drop_codes")))
         indicators = ["bmi"] if b["weight"] and b["height"] else []
