@@ -15,10 +15,12 @@ WORD = r"[^ \t-\r]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder every executor shares. It comes from ``spark.checkpoint.dir``; a local one is made only where none is set."""
+    """The folder every executor shares, from ``spark.checkpoint.dir``. A local one is made only in local mode where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="grovetable-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-grovetable-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -32,13 +34,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     settled = spark.read.schema(df.schema).parquet(path)
     settled.settled_path = path
     return settled
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to let go of frames out of use, so that Spark deletes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``settle`` wrote for ``df``, once all that was built on it is settled itself."""
     remove_path(df.sparkSession, df.settled_path)

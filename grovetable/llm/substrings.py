@@ -1,11 +1,16 @@
 """Repeated passages found through a log-structured fingerprint index.
 
-Every window of 13 words is filed under its anchor, the least hash of its nine five-word
-shingles. Equal windows have equal anchors, and neighbouring windows mostly share one, so the index
-holds about a fifth as many entries as there are windows and misses none. The index is a list of
-immutable runs, each sorted and bucketed by anchor. A new batch of documents is merge-joined with
-the runs; anchors that occur in two documents lead to candidate windows, whose whole-window hashes
-verify them; then the batch becomes a run, and runs of one level are compacted into one of the next.
+Every window of 13 words is filed under its anchor, the least hash of its nine five-word shingles.
+Neighbouring windows mostly share their anchor; a stretch of up to nine of them is one entry of the
+index: its anchor and the hash of all its words. Equal windows have equal anchors, so none is
+missed, and the index holds about a fifth as many entries as there are windows.
+
+The index is a list of immutable runs, each sorted and bucketed by anchor. A new batch of documents
+becomes a run and is merge-joined with the runs before it. Stretches whose words agree are
+repeats as a whole. Where only the anchor agrees, the windows of one document for each different
+stretch are compared by their own hashes. Two hashes of 64 bits, of other words and with other
+bases, must agree before words go: the anchor's and the stretch's or window's. Runs of one level are
+compacted into one of the next; a saved index is opened again for a later batch.
 """
 
 from __future__ import annotations
@@ -19,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, discard, remove_path, scratch_root, settle
+from .common import by_bytes, discard, release, remove_path, scratch_root, settle
 
 WINDOW = 13
 SHINGLE = 5
 #: Runs of one level that are compacted into one run of the next.
 FANOUT = 2
-
-
 #: Odd multipliers of the two rolling hashes, below 2 ** 64.
 ANCHOR_BASE, WHOLE_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -62,10 +65,11 @@ class Rolling:
 
 
 class Windows:
-    """Anchors and whole-window hashes of texts, as spans of their words joined by one blank."""
+    """Anchors, stretches and whole-window hashes of texts, as spans of their words joined by one blank."""
 
     def __init__(self, window: int = WINDOW, shingle: int = SHINGLE):
         self.window, self.shingle = window, min(shingle, window)
+        self.longest = self.window - self.shingle + 1
         self.near, self.far = Rolling(ANCHOR_BASE), Rolling(WHOLE_BASE)
 
     def words(self, text: str | None) -> list[bytes]:
@@ -79,43 +83,52 @@ class Windows:
         blanks = np.flatnonzero(data == 32)
         return data, np.concatenate(([0], blanks + 1)), np.concatenate((blanks, [len(data)]))
 
-    def anchors(self, words: list[bytes]):
-        """The anchor of every window, in order; empty for a shorter text."""
+    def stretches(self, words: list[bytes]):
+        """(anchors, hashes, first windows, numbers of windows, edges) of all stretches, in order; None for a text without a window."""
         import numpy as np
 
         if len(words) < self.window:
-            return np.empty(0, dtype=np.int64), None
+            return None
         data, starts, ends = edges = self.edges(words)
         least = self.near.spans(data, starts[: len(words) - self.shingle + 1], ends[self.shingle - 1 :])
-        done, want = 1, self.window - self.shingle + 1
-        while done < want:  # minima over 2, 4, 8 ... shingles, then as many as are asked for
-            by = min(done, want - done)
+        done = 1
+        while done < self.longest:  # minima over 2, 4, 8 ... shingles, then as many as are asked for
+            by = min(done, self.longest - done)
             least = np.minimum(least[:-by], least[by:])
             done += by
-        return least.view(np.int64), edges
-
-    def whole(self, edges):
-        """The hash of every window."""
+        n = len(least)
+        first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+        counts = np.diff(np.append(first, n))
+        if counts.max() > self.longest:  # a shingle that comes again and again: cut into pieces
+            pieces = -(-counts // self.longest)
+            first = np.repeat(first, pieces) + self.longest * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            counts = np.diff(np.append(first, n))
+        hashes = self.far.spans(data, starts[first], ends[first + counts + self.window - 2])
+        return least[first].view(np.int64), hashes.view(np.int64), first, counts, edges
+
+    def whole(self, edges, at):
+        """The hashes of the windows that start at the words ``at``."""
         import numpy as np
 
         data, starts, ends = edges
-        return self.far.spans(data, starts[: len(starts) - self.window + 1], ends[self.window - 1 :]).view(np.int64)
+        return self.far.spans(data, starts[at], ends[at + self.window - 1]).view(np.int64)
 
 
-def _anchoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    own = Windows()
+    own, none = Windows(), np.empty(0, dtype=np.int64)
     for batch in batches:
         for some in by_bytes(batch, 1):
-            sets = [np.unique(own.anchors(own.words(t))[0]) for t in some.column(1).to_pylist()]
-            ids = np.repeat(np.asarray(some.column(0).to_numpy(zero_copy_only=False)), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else []).cast(pa.int64()), pa.array(ids).cast(pa.int64())], names=["anchor", "doc_id"])
+            found = [own.stretches(own.words(t)) or (none, none) for t in some.column(1).to_pylist()]
+            ids = np.repeat(np.asarray(some.column(0).to_numpy(zero_copy_only=False)), [len(x[0]) for x in found])
+            anchors, hashes = (np.concatenate([x[i] for x in found]) if found else none for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ids).cast(pa.int64())], names=["anchor", "stretch", "doc_id"])
 
 
-def anchor_entries(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id), each once per row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_anchoring, "anchor long, doc_id long")
+def index_entries(docs: DataFrame) -> DataFrame:
+    """(anchor, stretch, doc_id) of every stretch in ``docs`` (doc_id, text)."""
+    return docs.select("doc_id", "text").mapInArrow(_filing, "anchor long, stretch long, doc_id long")
 
 
 @dataclass
@@ -123,157 +136,215 @@ class Run:
     level: int
     table: str
     path: str
+    last_doc: int
 
 
 @dataclass
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, first_doc): the anchors of documents filed so far and their smallest doc_id."""
+    """Sorted immutable runs of (anchor, stretch, first_doc): the stretches of documents filed so far and the smallest doc_id of each.
+
+    ``save`` notes the runs in ``folder``, and ``open`` takes them up again, in another session too.
+    """
 
     spark: SparkSession
     buckets: int
+    folder: str
     fanout: int = FANOUT
     runs: list[Run] = field(default_factory=list)
 
-    def _write(self, rows: DataFrame, level: int) -> Run:
+    @classmethod
+    def new(cls, spark: SparkSession, folder: str | None = None, buckets: int | None = None) -> FingerprintIndex:
+        folder = folder or f"{scratch_root(spark)}/substring-index-{uuid.uuid4().hex}"
+        return cls(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), folder)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index as last saved in ``folder``."""
+        saved = spark.read.parquet(f"{folder}/saved")
+        rows = saved.join(saved.agg(F.max("version").alias("version")), "version").collect()  # a row per run
+        index = cls(spark, rows[0]["buckets"], folder, rows[0]["fanout"])
+        for r in (r for r in rows if r["path"]):
+            name = f"grovetable_run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} (anchor LONG, stretch LONG, first_doc LONG, last_doc LONG) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, stretch) INTO {index.buckets} BUCKETS LOCATION '{r['path']}'")
+            index.runs.append(Run(r["level"], name, r["path"], r["last_doc"]))
+        return index
+
+    def save(self) -> None:
+        """Note the runs as the next version of the index."""
+        rows = [(r.level, r.path, r.last_doc, self.buckets, self.fanout) for r in self.runs] or [(0, "", 0, self.buckets, self.fanout)]
+        table = self.spark.createDataFrame(rows, "level int, path string, last_doc long, buckets int, fanout int")
+        version = 0
+        if self._exists(f"{self.folder}/saved"):
+            version = self.spark.read.parquet(f"{self.folder}/saved").agg(F.max("version")).first()[0] + 1
+        table.coalesce(1).write.parquet(f"{self.folder}/saved/version={version}")
+
+    def _exists(self, path: str) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def _write(self, rows: DataFrame, level: int, last_doc: int) -> Run:
         name = f"grovetable_run_{uuid.uuid4().hex}"
-        path = f"{scratch_root(self.spark)}/{name}"
-        rows.repartition(self.buckets, "anchor").write.option("path", path).option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").format("parquet").saveAsTable(name)
-        return Run(level, name, path)
+        path = f"{self.folder}/{name}"
+        (
+            rows.repartition(self.buckets, "anchor").write.option("path", path).option("compression", "zstd")
+            .bucketBy(self.buckets, "anchor").sortBy("anchor", "stretch").format("parquet").saveAsTable(name)
+        )
+        release(self.spark)
+        return Run(level, name, path, last_doc)
 
-    def add(self, entries: DataFrame) -> DataFrame:
-        """File a batch's entries (anchor, doc_id), whose ids are above all filed ones, and return (doc_id, anchor) of entries that share an anchor.
+    def add(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """File a batch's entries (anchor, stretch, doc_id), whose ids must be above all filed ones.
 
-        Shared means: two documents of the batch, or one of the batch and a filed one; of the filed documents
-        the first with that anchor is returned, since any later one was returned with its own batch.
+        Returns the stretches that are repeats as a whole (doc_id, stretch), and those whose windows must be
+        compared (doc_id, stretch): one document for every different stretch of an anchor, filed ones included.
         """
-        counted = entries.groupBy("anchor").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        new = self._write(counted, 0)
+        low, high = entries.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and any(r.last_doc >= low for r in self.runs):
+            raise ValueError("a batch's doc_ids must be above all that are filed")
+        first, last = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
+        new = self._write(entries.groupBy("anchor", "stretch").agg(first, last), 0, high or 0)
         batch = self.spark.table(new.table)
-        shared = batch.filter("last_doc > first_doc").select("anchor")
-        filed = [self.spark.table(r.table).join(batch, "anchor", "left_semi").select("first_doc", "anchor") for r in self.runs]
-        for f in filed:
-            shared = shared.union(f.select("anchor"))
-        shared = settle(shared.distinct(), "substring-shared")
-        hits = entries.join(shared, "anchor").select("doc_id", "anchor")
-        for f in filed:
-            hits = hits.union(f.select(F.col("first_doc").alias("doc_id"), "anchor"))
-        hits = settle(hits, "substring-hits")
-        discard(shared)
+        met = [self.spark.table(r.table).join(batch, "anchor", "left_semi").select("anchor", "stretch", "first_doc") for r in self.runs]
+        filed = settle(reduce(DataFrame.union, met), "substring-filed") if met else None
+        several = batch.groupBy("anchor").count().filter("count > 1").select("anchor")
+        if filed is not None:
+            several = several.union(filed.select("anchor")).distinct()
+        near = batch.join(several.withColumn("several", F.lit(True)), "anchor", "left").filter("several OR last_doc > first_doc")
+        near = near.select("anchor", "stretch", F.coalesce("several", F.lit(False)).alias("several"), "first_doc", "last_doc", F.lit(True).alias("fresh"), F.lit(False).alias("filed"))
+        if filed is not None:
+            near = near.union(filed.select("anchor", "stretch", F.lit(True), "first_doc", F.col("first_doc").alias("last_doc"), F.lit(False), F.lit(True)))
+            near = near.groupBy("anchor", "stretch").agg(
+                F.max("several").alias("several"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"), F.max("filed").alias("filed")
+            )
+        near = settle(near, "substring-near")
+        again = near.filter("fresh AND (filed OR last_doc > first_doc)").select("anchor", "stretch", "first_doc")
+        repeats = settle(entries.join(again, ["anchor", "stretch"]).filter("doc_id > first_doc").select("doc_id", "stretch").distinct(), "substring-whole")
+        compare = settle(near.filter("several").select(F.col("first_doc").alias("doc_id"), "stretch"), "substring-compare")
+        for done in [near, *([filed] if filed is not None else [])]:
+            discard(done)
         self.runs.append(new)
         self._compact()
-        return hits
+        return repeats, compare
 
     def _compact(self) -> None:
         level = 0
         while sum(r.level == level for r in self.runs) >= self.fanout:
             old = [r for r in self.runs if r.level == level]
-            rows = self.spark.table(old[0].table).select("anchor", "first_doc")
-            for r in old[1:]:
-                rows = rows.union(self.spark.table(r.table).select("anchor", "first_doc"))
-            merged = rows.groupBy("anchor").agg(F.min("first_doc").alias("first_doc"))
-            self.runs = [r for r in self.runs if r.level != level] + [self._write(merged, level + 1)]
-            for r in old:
-                self.spark.sql(f"DROP TABLE {r.table}")
-                remove_path(self.spark, r.path)
+            rows = reduce(DataFrame.union, [self.spark.table(r.table).select("anchor", "stretch", "first_doc", "last_doc") for r in old])
+            merged = rows.groupBy("anchor", "stretch").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+            self.runs = [r for r in self.runs if r.level != level] + [self._write(merged, level + 1, max(r.last_doc for r in old))]
+            self._drop(old)
             level += 1
 
-    def close(self) -> None:
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE {r.table}")
+    def _drop(self, runs: list[Run]) -> None:
+        for r in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r.table}")
             remove_path(self.spark, r.path)
+
+    def close(self) -> None:
+        """Delete all runs."""
+        self._drop(self.runs)
         self.runs = []
+        remove_path(self.spark, self.folder)
 
 
-_OPENED = "row long, doc_id long, n_words long, kept_sha256 string, text string, starts array<int>, hashes array<long>"
+def _showing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the stretches that are asked for."""
+    import numpy as np
 
+    own = Windows()
+    for batch in batches:
+        for some in by_bytes(batch, 1):
+            rows = [[], [], [], [], []]
+            for doc_id, text, asked in zip(*(some.column(i).to_pylist() for i in range(3))):
+                found = own.stretches(own.words(text))
+                if found is None:
+                    continue
+                anchors, hashes, first, counts, edges = found
+                hit = np.flatnonzero(np.isin(hashes, np.asarray(asked, dtype=np.int64)))
+                n = counts[hit]
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                columns = (np.full(n.sum(), doc_id), np.repeat(hashes[hit], n), place, np.repeat(anchors[hit], n), own.whole(edges, np.repeat(first[hit], n) + place))
+                for out, column in zip(rows, columns):
+                    out.append(column)
+            if rows[0]:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)).cast(k) for r, k in zip(rows, kinds)], names=["doc_id", "stretch", "place", "anchor", "hash"])
 
-def _opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without a shared anchor are done; the others bring their candidate windows."""
-    import hashlib
 
+def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     own = Windows()
+    span = pa.struct([("first_word", pa.int32()), ("last_word", pa.int32())])
     for batch in batches:
-        for some in by_bytes(batch, 2):
-            rows, ids, texts, sets = (some.column(i).to_pylist() for i in range(4))
-            out: list[list] = [[], [], [], []]
-            counts = []
-            for text, shared in zip(texts, sets):
+        for some in by_bytes(batch, 1):
+            counts, removed, kept, spans = [], [], [], []
+            for text, drops in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
                 words = own.words(text)
+                gone, found = np.zeros(len(words) + 1, dtype=np.int32), own.stretches(words) if drops else None
+                if found is not None:
+                    masks = {d["stretch"]: d["mask"] for d in drops}
+                    _, hashes, first, n, _ = found
+                    for i in np.flatnonzero(np.isin(hashes, np.fromiter(masks, dtype=np.int64))):
+                        mask = masks[int(hashes[i])]
+                        for k in range(int(n[i])):
+                            if mask >> k & 1:
+                                gone[first[i] + k] += 1
+                                gone[first[i] + k + WINDOW] -= 1
+                away = np.concatenate(([False], np.cumsum(gone[:-1]) > 0, [False]))
+                ends = np.flatnonzero(away[1:] != away[:-1])
+                spans.append([{"first_word": int(a), "last_word": int(b) - 1} for a, b in zip(ends[::2], ends[1::2])])
                 counts.append(len(words))
-                starts = None
-                if shared:
-                    anchors, numbers = own.anchors(words)
-                    starts = np.flatnonzero(np.isin(anchors, np.asarray(shared, dtype=np.int64)))
-                if starts is None or not len(starts):
-                    for column, value in zip(out, (hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None)):
-                        column.append(value)
-                else:
-                    for column, value in zip(out, (None, text, starts.astype(np.int32), own.whole(numbers)[starts])):
-                        column.append(value)
+                removed.append(int(away.sum()))
+                kept.append(b" ".join([w for w, g in zip(words, away[1:].tolist()) if not g] if removed[-1] else words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int64()))],
-                names=["row", "doc_id", "n_words", "kept_sha256", "text", "starts", "hashes"],
+                [some.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(span))], names=["doc_id", "n_words", "n_removed", "kept_text", "removed"]
             )
 
 
-def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    import numpy as np
-
-    for batch in batches:
-        ids, counts, texts, drops = (batch.column(i).to_pylist() for i in range(4))
-        removed, kept = [], []
-        for text, starts in zip(texts, drops):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            gone = np.zeros(len(words) + 1, dtype=np.int32)
-            if starts:
-                np.add.at(gone, np.asarray(starts), 1)
-                np.add.at(gone, np.asarray(starts) + WINDOW, -1)
-            stay = np.cumsum(gone[:-1]) == 0
-            removed.append(int(len(words) - stay.sum()))
-            kept.append(b" ".join(w for w, s in zip(words, stay.tolist()) if s).decode("utf-8", "surrogatepass"))
-        sums = [hashlib.sha256(k.encode("utf-8", "surrogatepass")).hexdigest() for k in kept]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
-        )
-
-
-def remove_repeats(docs: DataFrame, batches: int = 3) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 for every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, batches: int = 3, index: FingerprintIndex | None = None, filed: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and removed (first and last word of each span) for every row of ``docs`` (doc_id, text).
 
     A word goes if a window of 13 words covers it whose words also start in a document with a smaller
-    doc_id. Null text has no words; texts under 13 words keep all; rows that share a doc_id are one document
-    when it comes to "smaller"; rows without a doc_id keep everything; an empty table gives no rows; other columns are ignored.
+    doc_id. Kept words are joined by one blank. Null text has no words; texts under 13 words keep all; rows that share a
+    doc_id are one document when it comes to "smaller"; rows without a doc_id keep everything; an empty table
+    gives no rows; other columns are ignored.
+
+    With an ``index``, its documents count as well and ``docs``, whose ids must be above theirs, are added to it; ``filed``
+    (doc_id, text) are its documents, of which those are read that share an anchor. Without one, an index is made and deleted.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = [b for b in (own.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else [])]
+    narrow = lambda d: d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = narrow(docs)
+    bounds = own.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = sorted({int(b) for b in bounds})
-    index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts: list[DataFrame] = []
-    for low, high in zip([None, *bounds], [*bounds, None]):
-        part = own.filter("doc_id IS NOT NULL")
-        part = part.filter(F.col("doc_id") > low) if low is not None else part
-        part = part.filter(F.col("doc_id") <= high) if high is not None else part
-        entries = settle(anchor_entries(part), "substring-entries")
-        parts.append(index.add(entries))
-        discard(entries)
-    index.close()
-    hits = reduce(DataFrame.union, parts)
-
-    shared = hits.groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))  # no more than the document's own windows
-    opened = settle(
-        own.join(shared, "doc_id", "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "shared").mapInArrow(_opening, _OPENED), "substring-opened"
-    )
-    for p in parts:
-        discard(p)
-    windows = opened.filter("starts IS NOT NULL").select("row", "doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("row", "doc_id", "w.starts", "w.hashes")
-    first = windows.groupBy("hashes").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").drop("last")
-    later = windows.join(first, "hashes").filter("doc_id > first")
-    drops = later.groupBy("row").agg(F.collect_list("starts").alias("starts"))
-    cut = opened.filter("starts IS NOT NULL").drop("starts").join(drops, "row", "left").select("doc_id", "n_words", "text", "starts").mapInArrow(_cutting, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    clean = opened.filter("starts IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return cut.union(clean)
+    used = index or FingerprintIndex.new(spark)
+    whole: list[DataFrame] = []
+    compare: list[DataFrame] = []
+    try:
+        for low, high in zip([None, *bounds], [*bounds, None]):
+            part = own.filter("doc_id IS NOT NULL")
+            part = part.filter(F.col("doc_id") > low) if low is not None else part
+            part = part.filter(F.col("doc_id") <= high) if high is not None else part
+            entries = settle(index_entries(part), "substring-entries")
+            for kind, found in zip((whole, compare), used.add(entries)):
+                kind.append(found)
+            discard(entries)
+    finally:
+        if index is None:
+            used.close()
+
+    asked = reduce(DataFrame.union, compare).groupBy("doc_id").agg(F.collect_set("stretch").alias("asked"))  # no more than the document's own stretches
+    texts = own if filed is None else own.union(narrow(filed))
+    shown = settle(texts.join(asked, "doc_id").mapInArrow(_showing, "doc_id long, stretch long, place int, anchor long, hash long"), "substring-shown")
+    for c in compare:
+        discard(c)
+    first = shown.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").drop("last")
+    later = shown.join(first, ["anchor", "hash"]).filter("doc_id > first")
+    partly = later.groupBy("doc_id", "stretch").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask"))
+    wholly = reduce(DataFrame.union, whole).select("doc_id", "stretch", F.lit(-1).alias("mask"))
+    drops = settle(partly.union(wholly).groupBy("doc_id").agg(F.collect_list(F.struct("stretch", "mask")).alias("drops")), "substring-drops")
+    for done in (*whole, shown):
+        discard(done)
+    return own.join(drops, "doc_id", "left").mapInArrow(_cutting, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first_word: int, last_word: int>>")

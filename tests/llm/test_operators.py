@@ -158,14 +158,51 @@ def test_exact(docs, rows, nothing, clashing):
     assert take(exact.exact_groups(docs, frequent=1, tracked=8), "doc_id", "keep_id", "group_size") == take(out, "doc_id", "keep_id", "group_size")
 
 
+def digests(cut):
+    return take(cut.withColumn("kept_sha256", F.sha2("kept_text", 256)), "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def test_repeats(docs, rows, nothing, clashing):
     want = sorted(R.repeats([r[:2] for r in rows]), key=repr)
     for batches in (1, 3, 5):
-        assert take(substrings.remove_repeats(docs, batches), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+        cut = substrings.remove_repeats(docs, batches)
+        assert digests(cut) == want
+    for r in cut.collect():
+        assert r["n_removed"] == sum(s["last_word"] - s["first_word"] + 1 for s in r["removed"]) == r["n_words"] - len(R.words(r["kept_text"]))
     assert substrings.remove_repeats(nothing).count() == 0
     assert substrings.remove_repeats(clashing).count() == len(rows)
 
 
+def test_repeats_without_number_keep_all(spark, rows):
+    docs = spark.createDataFrame([(None, rows[0][1] * 3), (None, rows[0][1] * 3), (5, rows[0][1] * 3)], "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.remove_repeats(docs).collect()] == [0, 0, 0]
+
+
+def test_repeats_of_a_periodic_text(spark):
+    """A shingle that comes again and again: stretches are cut at other places in every document."""
+    docs = [(1, "a b " * 60), (2, "x y z " + "a b " * 47 + "end"), (3, "b " + "a b " * 9), (4, "p q r " * 30 + "a b " * 8), (5, "q r p " * 25)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert digests(substrings.remove_repeats(table, 2)) == sorted(R.repeats(docs), key=repr)
+
+
+def test_repeats_against_a_saved_index(spark, tmp_path, docs, rows):
+    """Batches added to an index that was saved and opened again give what one run over all gives."""
+    want = sorted(R.repeats([r[:2] for r in rows]), key=repr)
+    parts = [docs.filter("doc_id < 20"), docs.filter("doc_id >= 20 AND doc_id < 50"), docs.filter("doc_id >= 50")]
+    folder = "file://" + str(tmp_path / "index")
+    substrings.FingerprintIndex.new(spark, folder, 4).save()
+    got, filed = [], None
+    for part in parts:
+        index = substrings.FingerprintIndex.open(spark, folder)
+        got += digests(substrings.remove_repeats(part, 1, index, filed))
+        index.save()
+        filed = part if filed is None else filed.union(part)
+    assert sorted(got, key=repr) == want
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(parts[0], 1, substrings.FingerprintIndex.open(spark, folder), filed)
+    index.close()
+
+
 def test_mixing(docs, rows, nothing, clashing):
     plan = mixing.mix_plan(docs).collect()
     sizes = Counter()
