@@ -1,43 +1,42 @@
 """SimHash near-duplicates through pivot distance tables.
 
-A fingerprint's row in the pivot table is its Hamming distances to reference fingerprints. By
-the triangle inequality two fingerprints at most ``k`` bits apart differ by at most ``k`` in
+A fingerprint's row in the pivot table is its Hamming distances to many reference fingerprints.
+By the triangle inequality two fingerprints at most ``k`` bits apart differ by at most ``k`` in
 every coordinate. The references come in families, each varying in one block of bits only, so
-the coordinates of a family depend on that block alone: fingerprints that agree in enough
-blocks have equal coordinates there, which gives an equality join for candidates. Candidates
-are discarded by their largest coordinate difference and the survivors verified bit by bit.
+the coordinates of a family, taken against the all-zero reference's, depend on that block alone. Two
+differing bits touch two blocks at most: the coordinates of all other families are equal, and
+pairs meet by an equality join on them. Of these pairs the table discards those that differ by more
+than ``k`` in some coordinate, and survivors are verified bit by bit. Groups of equal coordinates
+that are too large go through a second table, whose families vary in blocks of four bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 from .components import connect
 
-BLOCK_BITS = 16
-BLOCKS = 64 // BLOCK_BITS
-#: Two of four blocks must agree when at most two bits differ.
-AGREEING = BLOCKS - 2
-#: Larger signature groups are searched by masking, whose groups hold four members at most.
+#: Bits of a block in the first and in the second pivot table.
+COARSE, FINE = 16, 4
+#: Larger groups go through the second table, whose groups hold 256 at most: what two blocks of four bits can be.
 DENSE = 64
-_ALL = (1 << 64) - 1
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def reference_patterns() -> list[int]:
-    """Reference patterns for one block: rows of a 16 x 16 Hadamard matrix, read as bits, as many as needed to tell blocks apart."""
-    row = lambda r: sum((bin(r & c).count("1") & 1) << c for c in range(BLOCK_BITS))
-    return [row(r) for r in (1, 2, 4, 8, 3, 5, 9, 6, 10, 12, 7, 15)]
+def references(block: int) -> list[list[int]]:
+    """Reference fingerprints, a family for every block of ``block`` bits: rows of a Hadamard matrix in it, read as bits."""
+    row = lambda r: sum((bin(r & c).count("1") & 1) << c for c in range(block))
+    rows = (1, 2, 4, 8, 3, 5, 9, 6, 10, 12, 7, 15) if block == COARSE else range(1, block)
+    return [[row(r) << at for r in rows] for at in range(0, 64, block)]
 
 
 def _fingerprinting(shingle: int):
@@ -81,54 +80,83 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.mapInArrow(_fingerprinting(shingle), "doc_id long, fp long")
 
 
-def pivot_table(prints: DataFrame) -> DataFrame:
-    """Add ``pivots``: distances of ``fp`` to every reference fingerprint, the all-zero one last."""
-    refs = [p << (b * BLOCK_BITS) for b in range(BLOCKS) for p in reference_patterns()] + [0]
-    near = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(r)))).cast("byte") for r in refs]
-    return prints.withColumn("pivots", F.array(*near))
-
-
-def _signature(blocks: tuple[int, ...]) -> Column:
-    """The coordinates of some families, each taken against the all-zero reference's."""
-    per = len(reference_patterns())
-    zero = F.element_at("pivots", -1)
-    return F.xxhash64(*[F.element_at("pivots", b * per + k + 1) - zero for b in blocks for k in range(per)], F.lit(str(blocks)))
+def pivot_table(prints: DataFrame, block: int = COARSE) -> DataFrame:
+    """fp and ``pivots``: distances of ``fp`` to every reference fingerprint, the all-zero one last, eight to a long."""
+    flat = [r for family in references(block) for r in family] + [0]
+    near = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(r)))).cast("long") for r in flat]
+    longs = []
+    for at in range(0, len(near), 8):
+        packed = F.lit(0).cast("long")
+        for k, d in enumerate(near[at : at + 8]):
+            packed = packed.bitwiseOR(F.shiftleft(d, 8 * k))
+        longs.append(packed.alias(f"l{at // 8}"))
+    return prints.select("fp", F.struct(*longs).alias("pivots"))
+
+
+def coordinate(pivots: str, k: int) -> Column:
+    """The k-th distance in a column of packed pivots."""
+    return F.shiftrightunsigned(F.col(f"{pivots}.l{k // 8}"), 8 * (k % 8)).bitwiseAND(F.lit(255).cast("long"))
+
+
+def largest_difference(a: str, b: str, block: int) -> Column:
+    """The largest coordinate difference of two rows of a pivot table."""
+    n = sum(map(len, references(block))) + 1
+    return F.greatest(*[F.abs(coordinate(a, k) - coordinate(b, k)) for k in range(n)])
+
+
+def _meetings(table: DataFrame, block: int, max_bits: int) -> DataFrame:
+    """(fp, sig): one signature for every choice of families that must agree, from their coordinates in ``table``."""
+    families = references(block)
+    n = sum(map(len, families))
+    zero = coordinate("pivots", n)
+    hashed, at = [], 0
+    for i, family in enumerate(families):
+        hashed.append(F.xxhash64(F.lit(i), *[coordinate("pivots", k) - zero for k in range(at, at + len(family))]).alias(f"h{i}"))
+        at += len(family)
+    step = table.select("fp", *hashed)
+    # Wrapping sums of the families' hashes, less those that may differ.
+    total = F.lit(0).cast("long")
+    for i in range(len(families)):
+        total = total.bitwiseXOR(F.col(f"h{i}"))
+    step = step.withColumn("all", total)
+    left_out = list(combinations(range(len(families)), max_bits))
+    sigs = []
+    for c in left_out:
+        rest = F.col("all")
+        for i in c:
+            rest = rest.bitwiseXOR(F.col(f"h{i}"))
+        sigs.append(F.xxhash64(rest, F.lit(str(c))))
+    return step.select("fp", F.explode(F.array(*sigs)).alias("sig"))
+
+
+def _verified(groups: DataFrame, table: DataFrame, block: int, max_bits: int) -> DataFrame:
+    """Links (a, b) among the members of ``groups`` (sig, fp): discarded by the table, then verified bit by bit."""
+    own = groups.select("sig", "fp").join(table, "fp")
+    pairs = own.alias("l").join(own.alias("r"), F.expr("l.sig = r.sig AND l.fp < r.fp"))
+    near = pairs.filter(largest_difference("l.pivots", "r.pivots", block) <= max_bits)
+    return near.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
 def near_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Links (a, b), a < b, that connect distinct fingerprints ``fp`` at most ``max_bits`` (0 to 2) apart.
+    """All links (a, b), a < b, between distinct fingerprints ``fp`` at most ``max_bits`` (0 to 2) apart.
 
-    Signature groups of up to DENSE members are joined with themselves. In larger ones every
-    member is masked at each pair of bits outside the agreeing blocks; members that are equal
-    under a mask are links, and a masked group holds four at most, so no group grows with the input.
+    Groups of up to DENSE members are joined with themselves. Members of larger ones take the second table,
+    where 14 of 16 families must agree: such a group has 256 members at most, so none grows with the input.
     """
     table = settle(pivot_table(prints), "simhash-pivots")
-    choices = list(combinations(range(BLOCKS), AGREEING))
-    signed = table.select("fp", "pivots", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), _signature(c).alias("sig")) for i, c in enumerate(choices)])).alias("s")).select("fp", "pivots", "s.choice", "s.sig")
-    signed = settle(signed.drop("pivots"), "simhash-signatures")
-    sizes = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    grouped = signed.join(sizes, "sig")
-
-    few = grouped.filter(F.col("n") <= DENSE).select("sig", "fp")
-    pairs = few.alias("l").join(few.alias("r"), F.expr("l.sig = r.sig AND l.fp < r.fp")).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    refs = [p << (b * BLOCK_BITS) for b in range(BLOCKS) for p in reference_patterns()] + [0]
-    apart = F.greatest(*[F.abs(F.bit_count(F.col("a").bitwiseXOR(F.lit(_signed(r)))) - F.bit_count(F.col("b").bitwiseXOR(F.lit(_signed(r))))) for r in refs])
-    # The largest coordinate difference goes first; the bitwise distance decides.
-    sparse = pairs.filter(apart <= max_bits).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-
-    outside = {i: [x for b in range(BLOCKS) if b not in c for x in range(b * BLOCK_BITS, (b + 1) * BLOCK_BITS)] for i, c in enumerate(choices)}
-    masks = F.create_map(*[x for i, bits in outside.items() for x in (F.lit(i), F.array(*[F.lit(_signed((1 << p) | (1 << q))) for p, q in combinations(bits, 2)]))])
-    sets = (
-        grouped.filter(F.col("n") > DENSE)
-        .select("fp", F.explode(F.element_at(masks, F.col("choice"))).alias("mask"))
-        .withColumn("rest", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
-        .groupBy("rest", "mask")
-        .agg(F.collect_set("fp").alias("all"))  # distinct values that differ in two known bits: four at most
-        .filter(F.size("all") > 1)
-    )
-    masked = sets.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).filter("a < b")
-    masked = masked.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return sparse.union(masked).distinct()
+
+    def grouped(t: DataFrame, block: int) -> DataFrame:
+        met = settle(_meetings(t, block, max(1, max_bits)), "simhash-signatures")
+        sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        out = settle(met.join(sizes, "sig"), "simhash-groups")
+        discard(met)
+        return out
+
+    coarse = grouped(table, COARSE)
+    links = _verified(coarse.filter(F.col("n") <= DENSE), table, COARSE, max_bits)
+    crowded = settle(pivot_table(coarse.filter(F.col("n") > DENSE).select("fp").distinct(), FINE), "simhash-crowded")
+    fine = grouped(crowded, FINE)
+    return links.union(_verified(fine, crowded, FINE, max_bits)).distinct()
 
 
 def simhash_components(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:
@@ -149,17 +177,3 @@ def simhash_components(docs: DataFrame, max_bits: int = 2, shingle: int = 3) ->
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     lookup = settle(named.join(smallest, "root").select("fp", "component_id"), "simhash-lookup")
     return rows.join(lookup, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:
-    """``docs`` with the smallest doc_id of every component only, all columns kept; of rows that repeat that doc_id one stays."""
-    return keep_smallest(docs, simhash_components(docs, max_bits, shingle))
-
-
-def keep_smallest(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's in ``own`` (doc_id, component_id)."""
-    stay = own.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    repeated = settle(own.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "simhash-repeated")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -9,9 +9,6 @@ from test_operators import check_pieces
 import corpus_pipeline
 from grovetable.llm.common import scratch_root
 
-MEASURES = (("word_length", 2000, True), ("symbol_share", 500, False), ("dup_line_share", 3000, False), ("repeat_share", 2000, False))
-
-
 def measures(text):
     n, chars, symbols, dups, repeats, failed = R.quality_counts(text)
     lines = [x for x in (text or "").split("\n") if R.words(x)]
@@ -28,16 +25,42 @@ def least(b):
     return base + ceil((b % 32) * base / 32) - 1
 
 
+def quantile(values, share):
+    bs = sorted(map(bucket, values))
+    return least(bs[ceil(len(bs) * share) - 1])
+
+
 def good(rows):
     """Rows that pass, where every group is small enough to take the sketch of all documents."""
     own = [measures(r[1]) for r in rows]
-    stay = [not failed for _, failed in own]
-    for i, (_, spread, low) in enumerate(MEASURES):
-        bs = sorted(bucket(m[i]) for m, _ in own)
-        q1, q3 = (least(bs[ceil(len(bs) * s) - 1]) for s in (0.25, 0.75))
-        reach = max(spread, 3 * (q3 - q1))
-        stay = [s and m[i] <= q3 + reach and (not low or m[i] >= q1 - reach) for s, (m, _) in zip(stay, own)]
-    return [r for r, s in zip(rows, stay) if s]
+    fine = [m for m, failed in own if not failed]
+    q1, q3 = (quantile([m[0] for m in fine], s) for s in (0.25, 0.75))
+    plain = [m for m in fine if q1 - (q3 - q1) <= m[0] <= q3 + (q3 - q1)]
+    high = [1.25 * quantile([m[i] for m in plain], 0.998) for i in (1, 2, 3)]
+    return [r for r, (m, failed) in zip(rows, own) if not failed and q1 - 4 * (q3 - q1) <= m[0] <= q3 + 4 * (q3 - q1) and all(m[i + 1] <= h for i, h in enumerate(high))]
+
+
+def similar(rows):
+    """The smallest doc_id of every component of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for r in rows:
+        ws = R.words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or ""))
+        sets.append({tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or {tuple(ws)})
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    heads = {}
+    for i, r in enumerate(rows):
+        heads[root(i)] = min(r[0], heads.get(root(i), r[0]))
+    return set(heads.values())
 
 
 def test_stages_one_by_one(spark, docs, rows):
@@ -64,7 +87,7 @@ def test_stages_one_by_one(spark, docs, rows):
     single = step("exact_dedup")  # of rows that repeat number and text any one stays
     assert plain(r[:2] for r in single) == plain(r[:2] for r in last.values()) and set(plain(single)) <= set(plain(want))
 
-    heads = {c for _, _, c in R.simhash([(r[0], r[1]) for r in single])}
+    heads = similar(single)
     near = [r for r in single if r[0] in heads]
     got = step("near_dedup")
     assert sorted(r["doc_id"] for r in got) == sorted(heads) and set(plain(got)) <= set(plain(near))
