@@ -2,8 +2,12 @@
 
 Every document gets a few whole-number measures. Their distributions are summed up per language
 and source in log-bucket quantile sketches: counts per bucket, so sketches of parts, sources or
-languages merge by adding up, in any order and without error. Fences drawn from the sketches'
-quartiles replace fixed cutoffs; documents meet their group's fences in a join.
+languages merge by adding up, in any order and without error. Fences drawn from the sketches
+replace fixed cutoffs; documents meet their group's fences in a join.
+
+The length of words has fences on both sides, in interquartile ranges beyond the quartiles. The
+other measures are zero for most documents, so that quartiles say nothing; their fence is a high
+quantile among the group's plain documents, those with ordinary words, and some slack.
 """
 
 from __future__ import annotations
@@ -11,15 +15,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, words_of
+from .common import discard, group_key, settle, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 #: Buckets per power of two: a quantile is off by one part in 32 at most.
 STEPS = 32
-#: (measure, spread that a group is granted at least, whether low values are suspect too)
-MEASURES = (("word_length", 2_000, True), ("symbol_share", 500, False), ("dup_line_share", 3_000, False), ("repeat_share", 2_000, False))
+#: The measure with fences on both sides, and those with an upper one.
+LENGTH, SHARES = "word_length", ("symbol_share", "dup_line_share", "repeat_share")
+MEASURES = (LENGTH, *SHARES)
+#: Interquartile ranges from the quartiles to the fences of word length, and to the bounds of plain documents.
+REACH, PLAIN = 4.0, 1.0
+#: The share of plain documents within a fence of the other measures, and its factor.
+TAIL, SLACK = 0.998, 1.25
 OWN = "__quality"
 
 
@@ -97,86 +106,85 @@ def bucket_value(b: Column) -> Column:
     return (base + F.ceil(F.pmod(b, F.lit(STEPS)) * base / STEPS) - 1).cast("long")
 
 
-def sketch(features: DataFrame, keys: list[Column], name: str = OWN) -> DataFrame:
-    """The groups' quantile sketches: one row per key, measure and bucket in use, with its count."""
-    stacked = features.select(
-        *keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(f"{name}.{m}")).alias("bucket")) for m, _, _ in MEASURES])).alias("s")
-    )
-    return stacked.groupBy("lang_key", "source_key", "s.measure", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
+LANG, SOURCE = "__q_lang", "__q_source"
+
 
+def sketch(features: DataFrame, measures: tuple[str, ...], name: str = OWN) -> DataFrame:
+    """The quantile sketches of languages and sources: one row per measure and bucket in use, with its count."""
+    stacked = features.select(LANG, SOURCE, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(f"{name}.{m}")).alias("bucket")) for m in measures])).alias("s"))
+    return stacked.groupBy(LANG, SOURCE, "s.measure", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
 
-def fences(sketches: DataFrame, reach: float = 3.0, least_docs: int = 100) -> DataFrame:
-    """lang_key, source_key and a low and a high fence for every measure.
 
-    The fence is ``reach`` interquartile ranges, or the measure's least spread if that is more,
-    beyond the quartile. A group of fewer than ``least_docs`` documents takes the merged sketch of its
-    language, and a language of fewer that of all documents.
+def quantiles(groups: DataFrame, sketches: DataFrame, shares: dict[str, float], least_docs: int) -> DataFrame:
+    """``groups`` (language, source, measure) with a column for each quantile in ``shares``.
+
+    A group of fewer than ``least_docs`` documents takes the merged sketch of its language, and a language of
+    fewer that of all documents.
     """
-    merged_lang = sketches.groupBy("lang_key", "measure", "bucket").agg(F.sum("n").alias("n"))
+    merged_lang = sketches.groupBy(LANG, "measure", "bucket").agg(F.sum("n").alias("n"))
     merged_all = merged_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-
-    def quartiles(s: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        by = Window.partitionBy(*keys, "measure")
+    out = groups
+    for tag, s, keys in (("own", sketches, [LANG, SOURCE]), ("lang", merged_lang, [LANG]), ("all", merged_all, [])):
+        by = Window.partitionBy(*keys, "measure")  # a row per bucket in use: some hundreds
         run = s.withColumn("c", F.sum("n").over(by.orderBy("bucket"))).withColumn("t", F.sum("n").over(by))
-        at = lambda share: F.min(F.when(F.col("c") >= F.ceil(F.col("t") * share), F.col("bucket")))
-        return run.groupBy(*keys, "measure").agg(bucket_value(at(0.25)).alias(f"q1{tag}"), bucket_value(at(0.75)).alias(f"q3{tag}"), F.max("t").alias(f"t{tag}"))
-
-    q = (
-        quartiles(sketches, ["lang_key", "source_key"], "")
-        .join(quartiles(merged_lang, ["lang_key"], "_lang"), ["lang_key", "measure"])
-        .join(quartiles(merged_all, [], "_all"), ["measure"])
+        at = lambda share: bucket_value(F.min(F.when(F.col("c") >= F.ceil(F.col("t") * share), F.col("bucket"))))
+        out = out.join(run.groupBy(*keys, "measure").agg(F.max("t").alias(f"docs_{tag}"), *[at(x).alias(f"{n}_{tag}") for n, x in shares.items()]), [*keys, "measure"], "left")
+    pick = lambda n: F.when(F.col("docs_own") >= least_docs, F.col(f"{n}_own")).when(F.col("docs_lang") >= least_docs, F.col(f"{n}_lang")).otherwise(F.col(f"{n}_all"))
+    return out.select(LANG, SOURCE, "measure", *[pick(n).alias(n) for n in shares])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Add the keys of language and source; null is a language or source of its own."""
+    return docs.withColumn(LANG, group_key(F.col("lang"))).withColumn(SOURCE, group_key(F.col("source")))
+
+
+def learn_fences(features: DataFrame, name: str = OWN, reach: float = REACH, least_docs: int = 100) -> DataFrame:
+    """The fences of every language and source, in columns that start with ``__q_``, from the documents that pass the base rules."""
+    fine = features.filter(~F.col(f"{name}.base_failed"))
+    lengths = settle(sketch(fine, (LENGTH,), name), "quality-sketch")
+    groups = lengths.select(LANG, SOURCE).distinct()
+    length = quantiles(groups.withColumn("measure", F.lit(LENGTH)), lengths, {"a": 0.25, "b": 0.75}, least_docs)
+    iqr = F.col("b") - F.col("a")
+    length = settle(
+        length.select(
+            LANG, SOURCE, (F.col("a") - reach * iqr).alias(f"__q_{LENGTH}_low"), (F.col("b") + reach * iqr).alias(f"__q_{LENGTH}_high"), (F.col("a") - PLAIN * iqr).alias("__q_plain_low"), (F.col("b") + PLAIN * iqr).alias("__q_plain_high")
+        ),
+        "quality-lengths",
     )
-    pick = lambda x: F.when(F.col("t") >= least_docs, F.col(x)).when(F.col("t_lang") >= least_docs, F.col(f"{x}_lang")).otherwise(F.col(f"{x}_all"))
-    q = q.withColumn("a", pick("q1")).withColumn("b", pick("q3"))
-    out = []
-    for m, least, low in MEASURES:
-        spread = F.greatest(F.lit(float(least)), reach * (F.col("b") - F.col("a")))
-        here = F.col("measure") == m
-        out.append(F.max(F.when(here, F.col("b") + spread)).alias(f"{m}_high"))
-        if low:
-            out.append(F.max(F.when(here, F.col("a") - spread)).alias(f"{m}_low"))
-    return q.groupBy("lang_key", "source_key").agg(*out)
+    plain = fine.join(length, [LANG, SOURCE]).filter(F.col(f"{name}.{LENGTH}").between(F.col("__q_plain_low"), F.col("__q_plain_high")))
+    tails = settle(sketch(plain, SHARES, name), "quality-sketch")
+    wanted = groups.withColumn("measure", F.explode(F.array(*map(F.lit, SHARES))))
+    tail = quantiles(wanted, tails, {"t": TAIL}, least_docs)
+    high = tail.groupBy(LANG, SOURCE).agg(*[F.max(F.when(F.col("measure") == m, F.col("t") * SLACK)).alias(f"__q_{m}_high") for m in SHARES])
+    limits = settle(length.drop("__q_plain_low", "__q_plain_high").join(high, [LANG, SOURCE]), "quality-fences")
+    for done in (lengths, length, tails):
+        discard(done)
+    return limits
 
 
 def judge(features: DataFrame, limits: DataFrame, verdict: str = "kept", name: str = OWN) -> DataFrame:
     """Add ``verdict``: false where the base rules fail or a measure lies beyond its group's fences."""
-    from .common import group_key
-
-    keyed = features.withColumn("lang_key", group_key(F.col("lang"))).withColumn("source_key", group_key(F.col("source")))
-    joined = keyed.join(limits, ["lang_key", "source_key"], "left")
-    fine = F.lit(True)
-    for m, _, low in MEASURES:
-        fine = fine & (F.col(f"{name}.{m}") <= F.col(f"{m}_high"))
-        if low:
-            fine = fine & (F.col(f"{name}.{m}") >= F.col(f"{m}_low"))
-    return joined.withColumn(verdict, ~F.col(f"{name}.base_failed") & F.coalesce(fine, F.lit(True))).drop("lang_key", "source_key", *limits.columns)
-
+    joined = features.join(limits, [LANG, SOURCE], "left")
+    fine = F.col(f"{name}.{LENGTH}") >= F.col(f"__q_{LENGTH}_low")
+    for m in MEASURES:
+        fine = fine & F.coalesce(F.col(f"{name}.{m}") <= F.col(f"__q_{m}_high"), F.lit(True))
+    return joined.withColumn(verdict, ~F.col(f"{name}.base_failed") & F.coalesce(fine, F.lit(True)))
 
-def learn_fences(features: DataFrame, name: str = OWN, reach: float = 3.0, least_docs: int = 100) -> DataFrame:
-    from .common import group_key
 
-    keys = [group_key(F.col("lang")).alias("lang_key"), group_key(F.col("source")).alias("source_key")]
-    return settle(fences(sketch(features, keys, name), reach, least_docs), "quality-fences")
-
-
-def quality_verdicts(docs: DataFrame, reach: float = 3.0, least_docs: int = 100) -> DataFrame:
+def quality_verdicts(docs: DataFrame, reach: float = REACH, least_docs: int = 100) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of ``docs`` (doc_id, text, lang, source).
 
     Null lang and null source are groups of their own; repeated rows are judged each for itself;
     an empty table gives no rows; other columns are ignored.
     """
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    features = settle(quality_features(own).drop("text"), "quality-features")
+    features = settle(keyed(quality_features(own).drop("text")), "quality-features")
     judged = judge(features, learn_fences(features, OWN, reach, least_docs))
     q = F.col(OWN)
-    return judged.select(
-        "doc_id", *[q[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept",
-        *[q[m].alias(m) for m, _, _ in MEASURES],
-    )
+    return judged.select("doc_id", *[q[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept", *[q[m].alias(m) for m in MEASURES])
 
 
-def keep_good(docs: DataFrame, reach: float = 3.0, least_docs: int = 100) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    narrow = settle(quality_features(docs.select("text", "lang", "source")).drop("text"), "quality-features")
-    limits = learn_fences(narrow, OWN, reach, least_docs)
-    return judge(quality_features(docs), limits, "__kept").filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, reach: float = REACH, least_docs: int = 100) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, whose names must not start with ``__q``."""
+    rows = settle(keyed(quality_features(docs)), "quality-rows")  # with the texts, so that measures are worked out once
+    return judge(rows, learn_fences(rows, OWN, reach, least_docs), "__q_kept").filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
