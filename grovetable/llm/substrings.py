@@ -285,13 +285,11 @@ def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone, found = np.zeros(len(words) + 1, dtype=np.int32), own.stretches(words) if drops else None
                 if found is not None:
                     masks = {d["stretch"]: d["mask"] for d in drops}
-                    _, hashes, first, n, _ = found
-                    for i in np.flatnonzero(np.isin(hashes, np.fromiter(masks, dtype=np.int64))):
-                        mask = masks[int(hashes[i])]
-                        for k in range(int(n[i])):
-                            if mask >> k & 1:
-                                gone[first[i] + k] += 1
-                                gone[first[i] + k + WINDOW] -= 1
+                    for h, at, n in zip(found[1].tolist(), found[2].tolist(), found[3].tolist()):
+                        mask = masks.get(h, 0)
+                        for k, m in ((0, n),) if mask == -1 else ((k, 1) for k in range(n) if mask >> k & 1):
+                            gone[at + k] += 1
+                            gone[at + k + m - 1 + WINDOW] -= 1
                 away = np.concatenate(([False], np.cumsum(gone[:-1]) > 0, [False]))
                 ends = np.flatnonzero(away[1:] != away[:-1])
                 spans.append([{"first_word": int(a), "last_word": int(b) - 1} for a, b in zip(ends[::2], ends[1::2])])
