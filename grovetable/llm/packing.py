@@ -1,11 +1,12 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Every source is a queue of tokens. In each round every queue earns a quantum of tokens, its
-target share of one sequence, and sends what it can; the part of a quantum that is not a whole
-token is carried on as its deficit, through sequences and through partitions alike. Because a
-document may be cut anywhere, the tokens that queue ``s`` has sent after ``r`` rounds are
-``min(total, floor(r * quantum))``: a closed form, so every piece finds its place from the
-queue's prefix sum alone, and no task ever walks a queue.
+Every source is a queue of documents. In each round every queue earns a quantum of tokens, its
+target share of one sequence, and sends whole documents while it has credit left. What the last
+document takes beyond the credit is carried on as the queue's deficit, through sequences and
+through partitions alike, and the queue waits until later quanta have paid for it. The document that
+starts ``t`` tokens into its queue goes out in round ``floor(t / quantum)``, so every document finds its
+round from the queue's prefix sum alone, and its place from a prefix sum over rounds; no task
+ever walks a queue. The stream of documents is cut into sequences.
 """
 
 from __future__ import annotations
@@ -13,15 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, group_key, settle
 
-#: Queues beyond this many sources share one queue, so the queue table stays small.
-MAX_QUEUES = 256
-#: Up to this many queues, their sum is written out as one compiled expression.
-PLAIN_QUEUES = 48
+#: Documents of a block of rounds, which one task puts in order.
+BLOCK_DOCS = 50_000
 #: Words that a Python worker remembers, twice at most.
 REMEMBERED = 300_000
 
@@ -116,12 +115,12 @@ def word_codes(tokenizer_file: str) -> WordCodes:
     return _codes[tokenizer_file]
 
 
-TOKENS = "doc_id long, queue string, part int, queue_start long, doc_tokens long, ids binary"
+TOKENS = "doc_id long, queue string, part int, row long, queue_start long, doc_tokens long, ids binary"
 
 
 def _tokenizing(tokenizer_file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sent = word_codes(tokenizer_file), {}
+        codes, sent, at = word_codes(tokenizer_file), {}, 0
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for some in by_bytes(batch, 3):
@@ -130,29 +129,65 @@ def _tokenizing(tokenizer_file: str, end_id: int):
                     blobs.append(blob + end)
                     starts.append(sent.get(queue, 0))
                     sent[queue] = starts[-1] + len(blobs[-1]) // 4
+                rows = [(p << 33) + at + i for i, p in enumerate(some.column(2).to_pylist())]
+                at += len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), some.column(2), pa.array(starts, pa.int64()), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
-                    names=["doc_id", "queue", "part", "queue_start", "doc_tokens", "ids"],
+                    [some.column(0), some.column(1), some.column(2), pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
+                    names=["doc_id", "queue", "part", "row", "queue_start", "doc_tokens", "ids"],
                 )
 
     return run
 
 
+def round_places(sent: DataFrame, sequence_tokens: int, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """row, queue_start (in the whole queue), phase, round and place for every row of ``sent`` (row, queue, part, queue_start, doc_tokens).
+
+    Documents stand in a queue by part, then by queue_start, which counts tokens within the part. ``place`` is the
+    number of tokens that go out before the document.
+    """
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per queue and task
+    bases = sent.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("t")).select("part", "queue", "t", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base"))
+    bases = settle(bases, "pack-bases")
+    totals = bases.groupBy("queue").agg(F.sum("t").alias("total"))
+    if weights is None:
+        shares = totals.select("queue", F.lit(0).alias("phase"), F.col("total").cast("double").alias("share"))
+    else:
+        given = [("1" if k is None else "0" + k, float(w)) for k, w in weights.items() if w > 0]
+        table = sent.sparkSession.createDataFrame(given, "queue string, w double")
+        shares = totals.join(table, "queue", "left").select("queue", F.when(F.col("w").isNull(), 1).otherwise(0).alias("phase"), F.coalesce("w", F.col("total").cast("double")).alias("share"))
+    quanta = shares.withColumn("quantum", sequence_tokens * F.col("share") / F.sum("share").over(Window.partitionBy("phase"))).drop("share")  # a row per queue
+    starts = bases.join(quanta, "queue").select("part", "queue", "base", "phase", "quantum")
+    rounds = sent.join(starts, ["part", "queue"]).select(
+        "row", "queue", (F.col("base") + F.col("queue_start")).alias("queue_start"), "doc_tokens", "phase", F.floor((F.col("base") + F.col("queue_start")) / F.col("quantum")).cast("long").alias("round")
+    )
+    rounds = settle(rounds, "pack-rounds")
+
+    # Prefix sum over rounds: blocks of rounds first, then documents within a block.
+    ends = {r["phase"]: (r["last"], r["n"]) for r in rounds.groupBy("phase").agg(F.max("round").alias("last"), F.count(F.lit(1)).alias("n")).collect()}  # one row per phase
+    width = {p: max(1, (last + 1) * block_docs // max(n, block_docs)) for p, (last, n) in ends.items()}
+    blocked = rounds.withColumn("block", F.floor(F.col("round") / F.when(F.col("phase") == 1, width.get(1, 1)).otherwise(width.get(0, 1))).cast("long"))
+    before = Window.orderBy("phase", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row per BLOCK_DOCS documents
+    ahead = blocked.groupBy("phase", "block").agg(F.sum("doc_tokens").alias("t")).select("phase", "block", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("phase", "block").orderBy("round", "queue", "queue_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocked.join(ahead, ["phase", "block"]).withColumn("place", F.col("ahead") + F.coalesce(F.sum("doc_tokens").over(inside), F.lit(0)))
+    return placed.select("row", "queue_start", "phase", "round", "place")
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_file: str,
     sequence_tokens: int = 2048,
     end_id: int = 1,
     weights: dict[str | None, float] | None = None,
-    max_queues: int = MAX_QUEUES,
 ) -> DataFrame:
-    """Cut and place every token of ``docs`` (doc_id, source, text) into sequences of ``sequence_tokens``.
+    """Place every token of ``docs`` (doc_id, source, text) into sequences of ``sequence_tokens``.
 
     ``weights`` gives each source's target share; without it a source's share is its share of all
     tokens, so that all queues run dry together. When a queue runs dry the others go on in their
-    own proportions. Sequences are filled without gaps; only the last may be short.
+    own proportions. Sources without a weight, or with none above 0, follow after all others, in
+    proportion to their tokens. Sequences are filled without gaps; only the last may be short.
 
-    Returns one row per piece: doc_id, source_queue, start, length, ids (binary, little-endian
+    Returns one row per piece: doc_id, source_queue, queue_start, start, length, ids (binary, little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset, round. Null text counts as empty and gives the end
     token alone; a null source is a queue of its own; repeated rows are packed each for itself;
     an empty table gives no pieces; other columns are ignored.
@@ -164,70 +199,17 @@ def pack_documents(
         F.col("text").cast("string").alias("text"),
     )
     tokens = settle(wanted.mapInArrow(_tokenizing(tokenizer_file, end_id), TOKENS), "pack-tokens")
-
-    # At most max_queues rows come to the driver: the largest sources by tokens.
-    totals = tokens.groupBy("queue").agg(F.sum("doc_tokens").alias("total"))
-    named = [r["queue"] for r in totals.orderBy(F.desc("total"), "queue").limit(max_queues - 1).collect()]
-    pooled = F.when(F.col("queue").isin(named), F.col("queue")).otherwise(F.lit("2"))
-    sums = {r["q"]: int(r["total"]) for r in totals.groupBy(pooled.alias("q")).agg(F.sum("total").alias("total")).collect()}
-    keys = sorted(sums)
-    if weights is None:
-        shares = {k: float(sums[k]) for k in keys}
-    else:
-        shares = {k: float(weights.get(None if k == "1" else k[1:], 0.0)) for k in keys}
-        least = min([w for w in shares.values() if w > 0], default=1.0)
-        shares = {k: w if w > 0 else least for k, w in shares.items()}
-    all_shares = sum(shares.values()) or 1.0
-    quanta = {k: sequence_tokens * shares[k] / all_shares for k in keys}
-
-    queue = pooled if len(keys) and "2" in sums else F.col("queue")
-    earlier = Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = settle(
-        tokens.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("sent"))
-        .withColumn("lane", queue)
-        .withColumn("base", F.coalesce(F.sum("sent").over(earlier), F.lit(0)))
-        .select("part", "queue", "lane", "base"),
-        "pack-bases",
-    )
-
-    quantum = F.create_map(*[F.lit(x) for k in keys for x in (k, quanta[k])]) if keys else F.create_map(F.lit(""), F.lit(1.0))
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(quanta[k]).alias("q"), F.lit(sums[k]).cast("long").alias("t")) for i, k in enumerate(keys)]) if keys else F.array(F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("q"), F.lit(0).cast("long").alias("t")))
-    order = F.create_map(*[F.lit(x) for i, k in enumerate(keys) for x in (k, i)]) if keys else F.create_map(F.lit(""), F.lit(0))
-    sent_after = lambda rounds, q: F.floor(rounds * q).cast("long")
-
-    laid = (
-        tokens.join(bases, ["part", "queue"])
-        .withColumn("at", F.col("base") + F.col("queue_start"))
-        .withColumn("q", F.element_at(quantum, F.col("lane")))
-        .withColumn("i", F.element_at(order, F.col("lane")))
-        .withColumn("round", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("at") / F.col("q")) - 1).cast("long"), (F.floor((F.col("at") + F.col("doc_tokens")) / F.col("q")) + 1).cast("long"))))
-        .withColumn("lo", F.greatest(F.col("at"), sent_after(F.col("round"), F.col("q"))))
-        .withColumn("hi", F.least(F.col("at") + F.col("doc_tokens"), sent_after(F.col("round") + 1, F.col("q"))))
-        .filter("lo < hi")
-    )
-    if len(keys) <= PLAIN_QUEUES:
-        ahead = F.lit(0).cast("long")
-        for i, k in enumerate(keys):
-            ahead = ahead + F.least(F.lit(sums[k]).cast("long"), sent_after(F.col("round") + F.when(F.col("i") > i, 1).otherwise(0), F.lit(quanta[k])))
-    else:
-        ahead = F.aggregate(table, F.lit(0).cast("long"), lambda acc, s: acc + F.least(s["t"], sent_after(F.col("round") + F.when(s["i"] < F.col("i"), 1).otherwise(0), s["q"])))
+    places = round_places(tokens.select("row", "queue", "part", "queue_start", "doc_tokens"), sequence_tokens, weights)
     size = F.lit(sequence_tokens).cast("long")
-    placed = laid.withColumn("place", ahead + F.col("lo") - sent_after(F.col("round"), F.col("q")))
-    cut = (
-        placed.withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("place") / size), F.floor((F.col("place") + F.col("hi") - F.col("lo") - 1) / size))))
-        .withColumn("from", F.greatest(F.col("place"), F.col("sequence_id") * size))
-        .withColumn("to", F.least(F.col("place") + F.col("hi") - F.col("lo"), (F.col("sequence_id") + 1) * size))
-        .withColumn("start", F.col("lo") - F.col("at") + F.col("from") - F.col("place"))
-        .withColumn("length", F.col("to") - F.col("from"))
-    )
-    return cut.select(
-        "doc_id",
-        F.col("lane").alias("source_queue"),
-        "start",
-        "length",
-        F.expr("substring(ids, cast(start * 4 + 1 as int), cast(length * 4 as int))").alias("ids"),
-        "doc_tokens",
-        "sequence_id",
-        (F.col("from") - F.col("sequence_id") * size).alias("offset"),
-        "round",
-    )
+    laid = tokens.drop("queue_start").join(places, "row")
+    first, last = F.floor(F.col("place") / size), F.floor((F.col("place") + F.col("doc_tokens") - 1) / size)
+
+    def piece(s: Column) -> Column:
+        start = F.greatest(F.lit(0).cast("long"), s * size - F.col("place"))
+        length = F.least(F.col("doc_tokens"), (s + 1) * size - F.col("place")) - start
+        ids = F.substring(F.col("ids"), (start * 4 + 1).cast("int"), (length * 4).cast("int"))
+        return F.struct(start.alias("start"), length.alias("length"), ids.alias("ids"), s.alias("sequence_id"), (F.col("place") + start - s * size).alias("offset"))
+
+    # A document's pieces hold its ids once, so a very long one costs its length only.
+    cut = laid.select("doc_id", F.col("queue").alias("source_queue"), "queue_start", "doc_tokens", "round", F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
+    return cut.select("doc_id", "source_queue", "queue_start", "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset", "round")
