@@ -16,14 +16,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "source_queue", "round")
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "source_queue", "queue_start", "round")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_by_sampled_splitters(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return placed.select(
-        "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    records = table(spark, sf_dir, "documents").select(
+        F.col("doc_id"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), (F.octet_length(text) + 1).cast("long").alias("size")
+    )  # without texts: places need keys and sizes only
+    placed = sharding.shard_by_sampled_splitters(records, key=F.col("text_hash"), size=F.col("size"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
