@@ -64,17 +64,70 @@ def test_packing(docs, rows, nothing, clashing, tokenizer):
     assert packing.pack_documents(clashing, tokenizer).count() == len(pieces)
 
 
-def test_packing_keeps_proportions(docs, rows, tokenizer):
-    weights = {"a": 4.0, "b": 2.0, "c": 1.0, "Ωd": 1.0, None: 1.0}
+def round_robin(queues, quanta, phases):
+    """Documents in the order a plain deficit round-robin sends them: (queue, start, place). ``queues``: {name: [tokens, ...]}."""
+    out, place = [], 0
+    for phase in (0, 1):
+        left = {q: list(d) for q, d in queues.items() if phases[q] == phase}
+        credit, start = Counter(), Counter()
+        while any(left.values()):
+            for q in sorted(left):
+                credit[q] += quanta[q]
+                while left[q] and credit[q] > 1e-9:
+                    n = left[q].pop(0)
+                    out.append((q, start[q], place))
+                    credit[q] -= n
+                    start[q] += n
+                    place += n
+    return out
+
+
+def walk(pieces, sequence_tokens, weights):
+    """What the pieces say, and what walking the queues round by round gives."""
+    heads = sorted({(p["source_queue"], p["queue_start"], p["doc_tokens"], p["sequence_id"] * sequence_tokens + p["offset"]) for p in pieces if p["start"] == 0})
+    queues = defaultdict(list)
+    for q, start, n, _ in heads:
+        assert start == sum(queues[q])  # a queue has no gap
+        queues[q].append(n)
+    named = {q: weights.get(None if q == "1" else q[1:], 0) if weights else sum(d) for q, d in queues.items()}
+    phases = {q: int(not w) for q, w in named.items()}
+    shares = {q: w or sum(queues[q]) for q, w in named.items()}
+    quanta = {q: sequence_tokens * w / sum(x for k, x in shares.items() if phases[k] == phases[q]) for q, w in shares.items()}
+    return [(q, s, at) for q, s, _, at in heads], sorted(round_robin(queues, quanta, phases))
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 4.0, "b": 2.0, "c": 1.0, "Ωd": 1.0, None: 1.0}, {"a": 1.0, "c": 3.0, "b": 0.0}])
+def test_packing_is_a_deficit_round_robin(docs, rows, tokenizer, weights):
     pieces = packing.pack_documents(docs, tokenizer, sequence_tokens=64, weights=weights).collect()
     check_pieces(pieces, rows, tokenizer, 64)
-    first = Counter()
-    for p in pieces:
-        if p["sequence_id"] < 3:
-            first[p["source_queue"]] += p["length"]
-    assert abs(first["0a"] - 3 * 64 * 4 / 9) <= 5 and abs(first["0b"] - 3 * 64 * 2 / 9) <= 5
-    few = packing.pack_documents(docs, tokenizer, sequence_tokens=64, max_queues=3).collect()
-    check_pieces(few, rows, tokenizer, 64)
+    got, want = walk(pieces, 64, weights)
+    assert got == want
+
+
+def test_packing_in_many_blocks(spark):
+    """Places do not depend on how rounds are put in blocks."""
+    sent = spark.range(500).select("id", F.concat(F.lit("0"), F.col("id") % 3).alias("queue"), F.lit(0).alias("part"), (F.col("id") * 7 % 40 + 1).alias("doc_tokens"))
+    by = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("queue").orderBy("id").rowsBetween(-1000, -1)
+    sent = sent.withColumn("queue_start", F.coalesce(F.sum("doc_tokens").over(by), F.lit(0))).withColumnRenamed("id", "row")
+    one, many = (take(packing.round_places(sent, 64, None, n), "row", "place") for n in (10_000, 20))
+    assert one == many
+
+
+def test_packing_ids_of_any_text(tokenizer):
+    """The quick word splitter gives the tokenizer's ids, whatever the characters."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    whole, codes = Tokenizer.from_file(tokenizer), packing.WordCodes(tokenizer)
+    some = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aZ09 _.,'’-\t\n\x0b\x1c\x85\xa0<|>éßŒǅİıſ²½")), max_size=40)
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(some, max_size=4).map(" ".join))
+    def same(text):
+        assert codes.code(text) == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+
+    same()
 
 
 def test_sharding(docs, rows, nothing, clashing):
@@ -99,6 +152,20 @@ def test_sharding_splits_a_hot_text(spark):
     assert len(sizes) == 8 and max(sizes) < 1.02 * sum(sizes) / 8
 
 
+def test_sharding_in_many_pieces(spark):
+    """Small pieces, a hot text that fills several, and rows that repeat number and text."""
+    docs = spark.range(3000).select((F.col("id") % 1500).alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("text number "), F.col("id") % 700)).alias("text"))
+    placed = sharding.shard_by_sampled_splitters(docs, 4, piece_bytes=300).collect()
+    by, shards = defaultdict(list), defaultdict(set)
+    for r in placed:
+        by[r["shard"]].append(r["slot"])
+        shards[r["text"]].add(r["shard"])
+    total = sum(r["size"] for r in placed)
+    assert len(placed) == 3000 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert all(abs(sum(r["size"] for r in placed if r["shard"] == k) - total / 4) < 0.02 * total for k in range(4))
+    assert sum(len(v) > 1 for v in shards.values()) <= 4  # a boundary cuts the hot text, and at most the piece it lies in
+
+
 def test_simhash(docs, rows, nothing, clashing):
     want = R.simhash([r[:2] for r in rows])
     assert take(simhash.simhash_components(docs), "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
@@ -138,11 +205,11 @@ def test_quality_fences_follow_the_group(spark):
     draw = random.Random(3)
 
     def text(lively, words=None):
-        own = [draw.choice("abcdefgh") * draw.randint(3, 9 if lively else 5) + str(draw.randrange(10**6)) for _ in range(80)]
+        own = [draw.choice("abcdefgh") * draw.randint(3, 9 if lively else 5) + str(draw.randrange(10**6)) for _ in range(120)]
         if lively:
             own[3] = "#" * draw.randint(1, 40) + own[3]
             own[20:30] = own[5:15]
-        lines = [" ".join(own[i : i + 10]) for i in range(0, 80, 10)] + (["the end of it"] * 3 if lively else [])
+        lines = [" ".join(own[i : i + 10]) for i in range(0, 120, 10)] + (["the end of it"] * 3 if lively else [])
         return "\n".join(lines)
 
     rows = [(i, text(i % 2), "xy"[i % 2], "s") for i in range(400)]
@@ -287,7 +354,7 @@ def test_toxicity_learns_graded_words(spark, docs, nothing, clashing, rows):
 
     draw = random.Random(4)
     def text(bad):
-        ws = [f"plain{draw.randrange(300)}" for _ in range(80)] + [draw.choice(["vile", "scum", "idiot", "rot"]) for _ in range(bad)]
+        ws = [f"plain{draw.randrange(300)}" for _ in range(120)] + [draw.choice(["vile", "scum", "idiot", "rot"]) for _ in range(bad)]
         draw.shuffle(ws)
         return " ".join(ws)
     data = [(i, text(bad), int(bad > 0)) for i, bad in enumerate(draw.choice([0, 0, 0, 1, 2, 4]) for _ in range(1200))]
