@@ -127,8 +127,14 @@ def quantiles(groups: DataFrame, sketches: DataFrame, shares: dict[str, float],
     for tag, s, keys in (("own", sketches, [LANG, SOURCE]), ("lang", merged_lang, [LANG]), ("all", merged_all, [])):
         by = Window.partitionBy(*keys, "measure")  # a row per bucket in use: some hundreds
         run = s.withColumn("c", F.sum("n").over(by.orderBy("bucket"))).withColumn("t", F.sum("n").over(by))
-        at = lambda share: bucket_value(F.min(F.when(F.col("c") >= F.ceil(F.col("t") * share), F.col("bucket"))))
-        out = out.join(run.groupBy(*keys, "measure").agg(F.max("t").alias(f"docs_{tag}"), *[at(x).alias(f"{n}_{tag}") for n, x in shares.items()]), [*keys, "measure"], "left")
+        rank = {n: F.ceil(F.col("t") * x) for n, x in shares.items()}
+        hit = [F.min(F.when(F.col("c") >= r, F.struct("bucket", "c", "n", r.alias("rank")))).alias(f"{n}_{tag}") for n, r in rank.items()]
+        found = run.groupBy(*keys, "measure").agg(F.max("t").alias(f"docs_{tag}"), *hit)
+        for n in shares:  # between the least and the largest number of the bucket, by rank
+            h = F.col(f"{n}_{tag}")
+            low = bucket_value(h["bucket"])
+            found = found.withColumn(f"{n}_{tag}", low + (h["rank"] - h["c"] + h["n"]) / h["n"] * (bucket_value(h["bucket"] + 1) - 1 - low))
+        out = out.join(found, [*keys, "measure"], "left")
     pick = lambda n: F.when(F.col("docs_own") >= least_docs, F.col(f"{n}_own")).when(F.col("docs_lang") >= least_docs, F.col(f"{n}_lang")).otherwise(F.col(f"{n}_all"))
     return out.select(LANG, SOURCE, "measure", *[pick(n).alias(n) for n in shares])
 

@@ -26,8 +26,12 @@ def least(b):
 
 
 def quantile(values, share):
-    bs = sorted(map(bucket, values))
-    return least(bs[ceil(len(bs) * share) - 1])
+    counts = Counter(map(bucket, values))
+    rank, before = ceil(len(values) * share), 0
+    for b in sorted(counts):
+        if before + counts[b] >= rank:
+            return least(b) + (rank - before) / counts[b] * (least(b + 1) - 1 - least(b))
+        before += counts[b]
 
 
 def good(rows):
