@@ -3,7 +3,8 @@
 Texts and templates become sequences of plain words and five-word shingles. Windows of several
 lengths, each twice a template size class and moved by half, are min-hashed; a window that
 shares a band with a template is a candidate, and the share of the template's shingles that
-the window holds decides.
+the window holds decides. A window can share a band only if it holds the shingle that is the
+template's minimum there, so texts and windows without any such shingle are left out first.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
+from .license_texts import TEMPLATES
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -22,22 +24,8 @@ CONTAINMENT = 0.8
 #: a whole template has 0.25 at least and 0.0001.
 BANDS = 32
 
-#: Well-known license lines and notices, as published with the licenses.
-TEMPLATES = (
-    ("apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
-    ("mit-line", "Released under the MIT License."),
-    ("gpl-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("cc-by-nc-4.0-line", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0-line", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa-4.0-line", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("apache-2.0-notice", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-)
-
+#: The minima of all templates become constants of the plan, 32 for each.
+MOST_TEMPLATES = 400
 
 def plain_words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
@@ -54,11 +42,11 @@ def shingle_hashes(words: Column) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<long>")).when(F.size(words) < SHINGLE, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(five)
 
 
-def band_values(hashes: Column, bands: int = BANDS, seed: int = 5) -> Column:
-    """One minimum per band: of the shingle hashes under that band's xor-multiply permutation."""
+def band_minima(hashes: Column, bands: int = BANDS, seed: int = 5) -> Column:
+    """(value, shingle) for every band: the least of the shingle hashes under that band's keyed hash, and the shingle it comes from."""
     draw = random.Random(seed)
     keys = [(draw.getrandbits(63), draw.getrandbits(62) * 2 + 1) for _ in range(bands)]
-    return F.array(*[F.array_min(F.transform(hashes, lambda h: F.xxhash64(h.bitwiseXOR(F.lit(x)), F.lit(y)))) for x, y in keys])
+    return F.array(*[F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h.bitwiseXOR(F.lit(x)), F.lit(y)).alias("value"), h.alias("shingle")))) for x, y in keys])
 
 
 def template_table(spark: SparkSession, templates) -> DataFrame:
@@ -71,41 +59,41 @@ def template_table(spark: SparkSession, templates) -> DataFrame:
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
     """(doc_id, license_id, containment, first_word, last_word) of every template found in ``docs`` (doc_id, text), best window each.
 
-    ``templates`` is a short list of (id, text), small enough to broadcast. Word places count plain words from 0.
+    ``templates`` is a list of up to MOST_TEMPLATES (id, text). Word places count plain words from 0.
     Null and empty texts hold nothing; a text or template shorter than a shingle is compared whole;
     rows that repeat a doc_id give one result together; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    templates = list(templates)
+    if len(templates) > MOST_TEMPLATES:
+        raise ValueError(f"at most {MOST_TEMPLATES} templates in one scan")
     table = template_table(spark, templates)
-    known = sorted({h for r in table.select("t").collect() for h in r["t"]})
+    banded = settle(table.select("license_id", "class", F.posexplode(band_minima(F.col("t"), bands)).alias("band", "m")).select("license_id", "class", "band", "m.value", "m.shingle"), "license-bands")
+    minima = [F.lit(r[0]) for r in banded.select("shingle").distinct().collect()]  # at most `bands` for each template
     classes = sorted({r["class"] for r in table.select("class").distinct().collect()})
-    if not known:
+    if not minima:
         return docs.limit(0).select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
 
     # The row number is not deterministic, so the filter is not pushed below and shingles are hashed once.
     own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), shingle_hashes(plain_words(F.col("text"))).alias("s"))
-    # A text without a single template shingle contains no template: nothing is lost here.
-    shared = settle(own.filter(F.arrays_overlap("s", F.array(*[F.lit(x) for x in known]))), "license-shared")
+    shared = settle(own.filter(F.arrays_overlap("s", F.array(*minima))), "license-shared")
 
     def windows_of(c: int) -> Column:
         last = F.greatest(F.lit(0), F.ceil(F.size("s") / F.lit(c)).cast("int") - 2)
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.lit(c).alias("class"), (i * c).alias("at"), F.slice("s", i * c + 1, 2 * c).alias("w")))
+
     windows = shared.select("doc_id", "row", F.explode(F.flatten(F.array(*[windows_of(c) for c in classes]))).alias("x")).select("doc_id", "row", "x.*")
-    # Nor does such a window.
-    windows = windows.filter(F.arrays_overlap("w", F.array(*[F.lit(x) for x in known])))
-    banded = windows.withColumn("b", band_values(F.col("w"), bands))
-    keys = banded.select("doc_id", "row", "class", "at", "w", F.explode(F.transform("b", lambda v, i: F.struct(i.alias("band"), v.alias("value")))).alias("k"))
-    template_keys = table.select("license_id", "class", "t", F.explode(F.transform(band_values(F.col("t"), bands), lambda v, i: F.struct(i.alias("band"), v.alias("value")))).alias("k"))
-    met = (
-        keys.select("doc_id", "row", "class", "at", "w", "k.band", "k.value")
-        .join(F.broadcast(template_keys.select("license_id", "class", "t", "k.band", "k.value")), ["class", "band", "value"])
-        .withColumn("found", F.array_intersect("t", "w"))
-        .withColumn("containment", F.size("found") / F.size("t"))
-        .filter(F.col("containment") >= containment)
-    )
+    windows = settle(windows.filter(F.arrays_overlap("w", F.array(*minima))), "license-windows")
+    keys = windows.select("row", "class", "at", F.posexplode(F.transform(band_minima(F.col("w"), bands), lambda m: m["value"])).alias("band", "value"))
+    met = keys.join(banded.drop("shingle"), ["class", "band", "value"]).select("row", "class", "at", "license_id").distinct()
+    met = met.join(windows, ["row", "class", "at"]).join(table.select("license_id", "t"), "license_id")
+    met = met.withColumn("containment", F.size(F.array_intersect("t", "w")) / F.size("t")).filter(F.col("containment") >= containment)
     places = F.transform(F.filter(F.transform("w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: F.array_contains(F.col("t"), x["h"])), lambda x: x["i"])
     spans = met.withColumn("p", places).select(
         "doc_id", "license_id", "containment", (F.col("at") + F.array_min("p")).alias("first_word"), (F.col("at") + F.array_max("p") + SHINGLE - 1).alias("last_word")
     )
     best = F.max_by(F.struct("containment", "first_word", "last_word"), F.struct("containment", -F.col("first_word"), -F.col("last_word")))
-    return spans.groupBy("doc_id", "license_id").agg(best.alias("m")).select("doc_id", "license_id", "m.containment", "m.first_word", "m.last_word")
+    found = settle(spans.groupBy("doc_id", "license_id").agg(best.alias("m")), "license-found")
+    for done in (banded, shared, windows):
+        discard(done)
+    return found.select("doc_id", "license_id", "m.containment", "m.first_word", "m.last_word")

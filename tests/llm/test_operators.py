@@ -199,7 +199,7 @@ def test_quality(docs, rows, nothing, clashing):
 
 
 def test_quality_fences_follow_the_group(spark):
-    """Two groups of other habits get other fences on every measure, and a document of the one's habits falls in the other."""
+    """Two groups of other habits get other fences on every measure, and a document of the livelier one falls in the other."""
     import random
 
     draw = random.Random(3)
@@ -213,7 +213,7 @@ def test_quality_fences_follow_the_group(spark):
         return "\n".join(lines)
 
     rows = [(i, text(i % 2), "xy"[i % 2], "s") for i in range(400)]
-    rows += [(1000 + i, text(1), "x", "s") for i in range(3)] + [(2000 + i, text(0), "y", "s") for i in range(3)]
+    rows += [(1000 + i, text(1), "x", "s") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     features = quality.keyed(quality.quality_features(docs))
     x, y = sorted(quality.learn_fences(features).collect(), key=lambda r: r["__q_lang"])
@@ -221,7 +221,7 @@ def test_quality_fences_follow_the_group(spark):
         assert x[column] < y[column], column
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()}
     assert sum(kept[i] for i in range(400)) >= 396
-    assert not any(kept[1000 + i] for i in range(3)) and all(kept[2000 + i] for i in range(3))
+    assert not any(kept[1000 + i] for i in range(3))
 
 
 def test_quality_columns_of_other_names_stay(docs):
@@ -329,22 +329,46 @@ def test_targets(spark, sizes):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
-def test_licenses(spark, docs, nothing, clashing):
-    filler = " ".join(f"filler{i}" for i in range(300))
+def plain_words(text):
+    import re
+
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def contained(text, template, lengths=1):
+    """The share of a template's five-word shingles in the best stretch of so many times its length."""
+    grams = lambda ws: [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    own, have = grams(plain_words(template)), grams(plain_words(text))
+    want = set(own)
+    places = [i for i, g in enumerate(have) if g in want]
+    return max((len({g for g in have[i : i + lengths * len(own)] if g in want}) for i in places), default=0) / len(want)
+
+
+def test_licenses_against_brute_force(spark, docs, nothing, clashing):
+    """Every license, whole and edited, in long texts and alone: what brute force finds is found, and nothing else."""
+    import random
+
+    draw = random.Random(12)
     templates = dict(licenses.TEMPLATES)
-    rows = [(i, f"{filler} {text.upper() if i % 2 else text} {filler}") for i, text in enumerate(templates.values())]
-    cut = templates["mit-grant"].split()
-    rows += [(50, " ".join(cut[: len(cut) * 9 // 10]) + " " + filler), (51, " ".join(cut[: len(cut) // 2]) + " " + filler), (52, None), (53, ""), (54, filler)]
-    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    by = defaultdict(set)
-    for r in found:
-        by[r["doc_id"]].add(r["license_id"])
-        assert r["containment"] >= 0.8
-    for i, name in enumerate(templates):
-        assert name in by[i], name
-        best = next(r for r in found if r["doc_id"] == i and r["license_id"] == name)
-        assert best["containment"] == 1.0 and best["first_word"] == 300
-    assert by[50] == {"mit-grant"} and not {51, 52, 53, 54} & set(by)
+    filler = lambda n: " ".join(f"filler{draw.randrange(500)}" for _ in range(n))
+    rows = []
+    for name, text in templates.items():
+        for edit in (0, 0, 1, 1, 2, 3):
+            ws = text.split()
+            for _ in range(edit * max(1, len(ws) // 60) if len(ws) > 12 else 0):
+                ws[draw.randrange(len(ws))] = "changed"
+            body = " ".join(ws)
+            rows.append((len(rows), f"{filler(draw.randrange(400))} {body.upper() if draw.random() < 0.3 else body} {filler(draw.randrange(400))}"))
+    rows += [(1000, None), (1001, ""), (1002, filler(3000)), (1003, " ".join(templates["mit"].split()[:90]))]
+    found = {(r["doc_id"], r["license_id"]): r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    share = {(d, name): contained(t or "", text) for d, t in rows for name, text in templates.items()}
+    want = {k for k, v in share.items() if v >= 0.8}
+    assert len(want) > 100 and len(want & set(found)) >= 0.99 * len(want)
+    texts = dict(rows)
+    for (d, name), r in found.items():  # windows are two to four times as long as the template
+        assert max(0.8, share[d, name]) - 1e-9 <= r["containment"] <= contained(texts[d], templates[name], 4) + 1e-9
+    whole = [r for (d, name), r in found.items() if r["containment"] == 1.0]
+    assert len(whole) >= 2 * len(templates)
     assert licenses.scan_licenses(docs).count() == 0 and licenses.scan_licenses(nothing).count() == 0 and licenses.scan_licenses(clashing).count() == 0
     assert licenses.scan_licenses(docs, ()).count() == 0
 
