@@ -19,6 +19,17 @@ FREQUENT = 500
 TRACKED = 8_192
 
 
+def frequent_winners(digests: DataFrame, frequent: int = FREQUENT, tracked: int = TRACKED) -> DataFrame:
+    """text_sha256, __w (the largest ``w``) and __n (the number of rows) of frequent digests in ``digests`` (text_sha256, w): at most ``frequent`` rows."""
+    found = digests.agg(F.expr(f"approx_top_k(text_sha256, {frequent}, {tracked})").alias("top")).select(F.explode("top").alias("t"))
+    candidates = found.select(F.col("t.item").alias("text_sha256"))
+    return settle(
+        digests.join(F.broadcast(candidates), "text_sha256")  # at most `frequent` rows
+        .groupBy("text_sha256").agg(F.max("w").alias("__w"), F.count(F.lit(1)).alias("__n")).filter("__n > 1"),
+        "exact-winners",
+    )
+
+
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT, tracked: int = TRACKED) -> DataFrame:
     """Add keep_id, group_size, kept and text_sha256 to every row of ``docs``.
 
@@ -33,15 +44,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     # Row numbers depend on how the input is split, so they are written with their rows and never worked out again.
     rows = settle(numbered, "exact-rows")
-    digests = rows.select("text_sha256", F.struct(F.col(id_column).alias("id"), F.col("__row").alias("r")).alias("w"))
-
-    found = digests.agg(F.expr(f"approx_top_k(text_sha256, {frequent}, {tracked})").alias("top")).select(F.explode("top").alias("t"))
-    candidates = found.select(F.col("t.item").alias("text_sha256"))
-    winners = settle(
-        digests.join(F.broadcast(candidates), "text_sha256")  # at most `frequent` rows
-        .groupBy("text_sha256").agg(F.max("w").alias("__w"), F.count(F.lit(1)).alias("__n")).filter("__n > 1"),
-        "exact-winners",
-    )
+    winners = frequent_winners(rows.select("text_sha256", F.struct(F.col(id_column).alias("id"), F.col("__row").alias("r")).alias("w")), frequent, tracked)
     split = rows.join(F.broadcast(winners), "text_sha256", "left")  # at most `frequent` rows
     hot = split.filter(F.col("__n").isNotNull())
     alike = Window.partitionBy("text_sha256")
@@ -54,6 +57,20 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    return exact_groups(docs).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT, tracked: int = TRACKED) -> DataFrame:
+    """One row of every text in ``docs``, with all its columns: the one with the largest id, any one of those that repeat it.
+
+    Other cases are as in ``exact_groups``. Rows of frequent digests are settled where they are read, by the largest id
+    of their digest; only rows that share text and that id meet, and of these one per task is sent on. Other rows
+    are shuffled by digest. No row number is needed, so texts are written nowhere but in that shuffle.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256)
+    digests = settle(docs.select(digest.alias("text_sha256"), F.col(id_column).alias("w")), "exact-digests")
+    winners = frequent_winners(digests, frequent, tracked)
+    whole = docs.select(digest.alias("__digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
+    split = whole.join(F.broadcast(winners.withColumnRenamed("text_sha256", "__digest")), "__digest", "left")  # at most `frequent` rows
+    own = F.col("__all").getField(id_column)
+    hot = split.filter(F.col("__n").isNotNull() & own.eqNullSafe(F.col("__w"))).groupBy("__digest").agg(F.first("__all").alias("__all"))
+    best = Window.partitionBy("__digest").orderBy(own.desc_nulls_last())
+    cold = split.filter(F.col("__n").isNull()).withColumn("__nth", F.row_number().over(best)).filter("__nth = 1")
+    return hot.select("__all.*").unionByName(cold.select("__all.*"))
