@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     placed = _placed(rows, seed, weights, max_epochs)
     plan = placed.select(F.col("row").alias("__row"), "size", taken(F.col("size"), F.col("start"), F.col("source_size"), F.col("target")).alias("__taken"))
     plan = settle(plan.filter("__taken > 0 OR size = 0").drop("size"), "mix-plan")
-    joined = numbered.join(plan, "__row")
+    joined = numbered.hint("merge").join(plan, "__row")  # as at scale, where the plan is too large to send to every task
     turns = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)))).cast("int")
     times = joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), turns)))
     left = F.col("__taken") - (F.col("__turn") - 1) * F.col("__size")
