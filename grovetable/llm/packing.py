@@ -201,7 +201,7 @@ def pack_documents(
     tokens = settle(wanted.mapInArrow(_tokenizing(tokenizer_file, end_id), TOKENS), "pack-tokens")
     places = round_places(tokens.select("row", "queue", "part", "queue_start", "doc_tokens"), sequence_tokens, weights)
     size = F.lit(sequence_tokens).cast("long")
-    laid = tokens.drop("queue_start").join(places, "row")
+    laid = tokens.drop("queue_start", "part").hint("merge").join(places, "row")  # as at scale, where places are too many to send to every task
     first, last = F.floor(F.col("place") / size), F.floor((F.col("place") + F.col("doc_tokens") - 1) / size)
 
     def piece(s: Column) -> Column:
