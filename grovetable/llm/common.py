@@ -25,6 +25,10 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders that ``settle`` wrote and nobody has discarded yet.
+_settled: list[str] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -34,6 +38,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _settled.append(path)
     release(spark)
     settled = spark.read.schema(df.schema).parquet(path)
     settled.settled_path = path
@@ -51,8 +56,27 @@ def discard(df: DataFrame) -> None:
     remove_path(df.sparkSession, df.settled_path)
 
 
+def settled_since(mark: int) -> list[str]:
+    """Folders written after the first ``mark`` ones, and not discarded."""
+    return _settled[mark:]
+
+
+def mark() -> int:
+    return len(_settled)
+
+
+def sweep(spark: SparkSession, paths: list[str], but: list[str]) -> None:
+    """Delete ``paths``, apart from those in which one of the files ``but`` lies."""
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in but):
+            remove_path(spark, path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's own file system layer."""
+    if path in _settled:
+        _settled.remove(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
