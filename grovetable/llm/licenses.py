@@ -32,14 +32,11 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingle_hashes(words: Column) -> Column:
-    """Hashes of the five-word shingles, in order; a shorter text is one shingle; no words, none."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    at = lambda i: F.slice(one, i, F.greatest(F.size(one) - SHINGLE + 1, F.lit(0)))
-    two = F.zip_with(at(1), at(2), lambda x, y: F.xxhash64(x, y))
-    four = F.zip_with(two, F.zip_with(at(3), at(4), lambda x, y: F.xxhash64(x, y)), lambda x, y: F.xxhash64(x, y))
-    five = F.zip_with(four, at(5), lambda x, y: F.xxhash64(x, y))
-    return F.when(F.size(words) == 0, F.array().cast("array<long>")).when(F.size(words) < SHINGLE, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(five)
+def shingle_hashes(words: str) -> Column:
+    """Hashes of the five-word shingles of a column of words, in order; a shorter text is one shingle; no words, none."""
+    w = F.col(words)
+    five = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+    return F.when(F.size(w) == 0, F.array().cast("array<long>")).when(F.size(w) < SHINGLE, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(five)
 
 
 def band_minima(hashes: Column, bands: int = BANDS, seed: int = 5) -> Column:
@@ -52,7 +49,7 @@ def band_minima(hashes: Column, bands: int = BANDS, seed: int = 5) -> Column:
 def template_table(spark: SparkSession, templates) -> DataFrame:
     """license_id, its shingles and its size class: the power of two at or above its number of shingles."""
     t = spark.createDataFrame([(str(a), str(b)) for a, b in templates], "license_id string, template string")
-    t = t.withColumn("t", F.array_distinct(shingle_hashes(plain_words(F.col("template"))))).filter(F.size("t") > 0)
+    t = t.withColumn("words", plain_words(F.col("template"))).withColumn("t", F.array_distinct(shingle_hashes("words"))).drop("words").filter(F.size("t") > 0)
     return t.withColumn("class", F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int"))
 
 
@@ -75,7 +72,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
         return docs.limit(0).select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
 
     # The row number is not deterministic, so the filter is not pushed below and shingles are hashed once.
-    own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), shingle_hashes(plain_words(F.col("text"))).alias("s"))
+    own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), plain_words(F.col("text")).alias("words")).select("doc_id", "row", shingle_hashes("words").alias("s"))
     shared = settle(own.filter(F.arrays_overlap("s", F.array(*minima))), "license-shared")
 
     def windows_of(c: int) -> Column:
