@@ -13,7 +13,7 @@ from .profile import pct_of
 NATIONAL = {"stunting": 15.0, "wasting": 5.0, "underweight": 12.0, "overweight": 10.0}
 WORLD = {"stunting": 20.0, "wasting": 5.0, "underweight": 10.0, "overweight": 3.0}
 AMBER, AT_RISK = 0.20, 0.30
-ALIASES = {"stunting": ("stunting", "ind_bantut", "ind_bantut_zscore"), "wasting": ("wasting", "ind_susut", "ind_susut_zscore"), "underweight": ("underweight", "ind_kurangberat", "ind_kurang_berat_zscore"), "overweight": ("overweight", "ind_berlebihan", "ind_obes_zscore")}
+ALIASES = {"stunting": ("stunting", "ind_bantut", "ind_bantut_zscore"), "wasting": ("wasting", "ind_susut", "ind_susut_zscore"), "underweight": ("underweight", "ind_kurang_berat_badan", "ind_kurang_berat", "ind_kurangberat", "ind_kurang_berat_zscore"), "overweight": ("overweight", "ind_berlebihan_bb", "ind_berlebihan", "ind_obes", "ind_obes_zscore")}
 
 
 def targets(overrides: dict[str, float] | None = None) -> dict[str, float]:

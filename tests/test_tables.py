@@ -253,3 +253,10 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["analyzable"] for r in spark.table("arrived").collect()) == [False, True]
+
+
+def test_every_indicator_alias_is_found():
+    from grovetable.operators import indicators
+
+    for column, name in (("Ind_Kurang_Berat_Badan", "underweight"), ("Ind_Kurang_Berat", "underweight"), ("Ind_Berlebihan_BB", "overweight"), ("Ind_Berlebihan", "overweight"), ("Ind_Obes", "overweight"), ("Ind_Bantut", "stunting"), ("ind_susut_zscore", "wasting")):
+        assert indicators.flag_columns(["id", column])[name] == column
