@@ -42,6 +42,24 @@ def joined_source(left: str, right: str) -> str:
     return left if left == right else "joined"
 
 
+def latest_results(sessions: DataFrame, results: DataFrame) -> DataFrame:
+    """The newest row of ``results`` (session_id, created_at, result_id, ...) of each dataset_id in ``sessions`` (session_id, dataset_id).
+
+    Of equal times the largest result_id; datasets whose newest row holds no result_json are left out, as are those without any.
+    One aggregation with partial maxima, so no dataset is sorted in one task.
+    """
+    row = F.struct("created_at", "result_id", *[c for c in results.columns if c not in ("created_at", "result_id", "session_id")])
+    newest = results.join(sessions.select("session_id", "dataset_id"), "session_id").groupBy("dataset_id").agg(F.max_by(row, F.struct("created_at", "result_id")).alias("r"))
+    return newest.select("dataset_id", "r.*").filter("result_json IS NOT NULL AND result_json <> ''")
+
+
+def audit_entries(log: DataFrame, users: DataFrame, dataset_id=None, limit: int = 100) -> DataFrame:
+    """The newest ``limit`` entries of ``log`` (log_id, user_id, dataset_id, created_at, ...) with ``username``, null for unknown users; of one dataset if asked."""
+    some = log if dataset_id is None else log.filter(F.col("dataset_id") == F.lit(dataset_id))
+    newest = some.orderBy(F.col("created_at").desc_nulls_last(), F.col("log_id").desc()).limit(limit)
+    return newest.join(users.select("user_id", "username"), "user_id", "left")
+
+
 def keep_latest(df: DataFrame, key: Column, at: Column, tie: Column) -> DataFrame:
     """The latest row of each key, a dateless one last; rows without a key all stay."""
     rows = df.withColumn("__k", key).withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(at.desc_nulls_last(), tie)))

@@ -109,6 +109,21 @@ def clean_run_stats(spark, d):
     return cleaning.run_stats(cleaning.clean(visits(spark, d), "school_age", roles=ROLES, as_of="1997-01-01", enabled=on)).select("original_count", "final_count", "total_dropped")
 
 
+@query("""SELECT dataset_id, created_at, result_id, result_json FROM (SELECT o_custkey AS dataset_id, l_shipdate AS created_at, l_orderkey * 10 + l_linenumber AS result_id, nullif(l_linestatus, 'O') AS result_json,
+row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE k = 1 AND result_json IS NOT NULL""")
+def latest_analysis(spark, d):
+    results = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_shipdate").alias("created_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("result_id"), F.nullif("l_linestatus", F.lit("O")).alias("result_json"))
+    return joins.latest_results(table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("dataset_id")), results)
+
+
+@query("""SELECT user_id, log_id, dataset_id, created_at, c_name AS username FROM (SELECT o_custkey AS user_id, o_orderkey AS log_id, o_orderpriority AS dataset_id, o_orderdate AS created_at FROM orders
+WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON user_id = c_custkey""")
+def audit_entries(spark, d):
+    log = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("log_id"), F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderdate").alias("created_at"))
+    users = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
+    return joins.audit_entries(log, users, "1-URGENT")
+
+
 @query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS k FROM orders) WHERE k = 1")
 def clean_duplicate_latest(spark, d):
     return joins.keep_latest(table(spark, d, "orders"), F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", "o_custkey")
@@ -134,17 +149,18 @@ def review_frame(spark, d):
                     (F.col("height") * 1.5).alias("tinggi_cm"), F.nullif("weight", F.lit(7.0)).alias("berat_kg"), F.lit(15.0).alias("bmi"), F.year("seen").alias("tahun_ukur"), (F.col("weight") / 5 - 4).alias("waz"), F.when(F.col("weight") > 20, "underweight").alias("waz_class"), (F.col("weight") > 40).cast("int").alias("ind_kurang_berat_zscore"))
 
 
-@query(f"""WITH {V}, e AS (SELECT *, lpad(CAST(child % 100 AS VARCHAR), 2, '0') || lpad(CAST(child % 14 AS VARCHAR), 2, '0') || '15' || lpad(CAST(child AS VARCHAR), 6, '0') AS ic FROM d), x AS (
+@query(f"""WITH {V}, e AS (SELECT *, lpad(CAST(child % 100 AS VARCHAR), 2, '0') || lpad(CAST(child % 14 AS VARCHAR), 2, '0') || '15' || lpad(CAST(child AS VARCHAR), 6, '0') AS ic,
+  CASE WHEN child % 14 BETWEEN 1 AND 12 THEN make_date(CAST(CASE WHEN child % 100 > 96 THEN 1900 ELSE 2000 END + child % 100 AS INTEGER), CAST(child % 14 AS INTEGER), 15) END AS born FROM d), x AS (
 SELECT unnest([CASE WHEN seen > DATE '1996-06-01' THEN 'review_future_measure_date' END, CASE WHEN count(*) OVER (PARTITION BY ic) > 1 THEN 'review_duplicate_ic' END,
   CASE WHEN (child % 2 = 1 AND gender = 'PEREMPUAN') OR (child % 2 = 0 AND gender = 'LELAKI') THEN 'review_ic_gender_mismatch' END, CASE WHEN child % 14 NOT BETWEEN 1 AND 12 THEN 'review_ic_malformed' END,
+  CASE WHEN born <> dob THEN 'review_ic_dob_mismatch' END, CASE WHEN date_diff('day', born, seen) / 365.25 >= 18 AND months < 60 THEN 'review_ic_age_contradiction' END,
   CASE WHEN daerah = 'FRANCE' THEN 'review_daerah_null' END, CASE WHEN height * 1.5 > 200 THEN 'review_height_unit_suspect' END, CASE WHEN weight = 7 THEN 'review_ghost_bmi' END,
   CASE WHEN income = 'BUILDING' THEN 'review_pendapatan_null' ELSE 'review_pendapatan_invalid' END, CASE WHEN abs(weight / 5 - 4) > 6 THEN 'review_zscore_biv' END,
   CASE WHEN (weight > 40) <> (weight > 20) THEN 'review_indicator_class_mismatch' END]) AS code FROM e)
 SELECT code, count(*) AS n FROM x WHERE code IS NOT NULL GROUP BY code""")
 def review_flags(spark, d):
     out = cleaning.clean(review_frame(spark, d), "wide_multiyear", roles={"gender": "gender", "dob": "dob", "date": "seen", "weight": "weight", "height": "height"}, as_of="1996-06-01")
-    some = ("review_ic_dob_mismatch", "review_ic_age_contradiction")
-    return out.select(F.explode("review_codes").alias("code")).filter(~F.col("code").isin(*some)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.explode("review_codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {V}, {Z} SELECT negeri, gender, count(waz) AS n, count(baz) AS n_baz, round(avg(waz), 1) AS waz, round(avg(haz), 1) AS haz, round(avg(baz), 1) AS baz FROM c GROUP BY 1, 2")
@@ -479,12 +495,12 @@ def records(spark, d):
                     F.when(k % 2 == 0, "M").otherwise("F").alias("gender"), F.col("n_name").alias("state"), F.col("c_mktsegment").alias("district"), F.lit("2020-01-01").alias("measure_date"), F.col("c_acctbal").alias("weight_kg"), F.lit(80.0).alias("height_cm"))
     k = F.col("row")
     again = base.filter(k % 3 == 0).select((k + 1_000_000).alias("row"), F.when(k % 9 == 0, "").when(k % 6 == 0, F.concat(F.substring("ic", 1, 11), ((F.substring("ic", 12, 1).cast("int") + 1) % 10).cast("string"))).otherwise(F.col("ic")).alias("ic"), F.lit("wide_multiyear").alias("source_type"), F.lit("two").alias("dataset_id"), "name", "dob",
-                                           F.when(k % 30 == 0, "M").otherwise(F.col("gender")).alias("gender"), "state", "district", F.lit("2021-06-01").alias("measure_date"), (F.col("weight_kg") + 1).alias("weight_kg"), F.lit(90.0).alias("height_cm"))
+                                           F.when(k % 25 == 0, "M").otherwise(F.col("gender")).alias("gender"), "state", "district", F.lit("2021-06-01").alias("measure_date"), (F.col("weight_kg") + 1).alias("weight_kg"), F.lit(90.0).alias("height_cm"))
     return base.unionByName(again)
 
 
 R = """b AS (SELECT c_custkey AS row, '900101' || lpad(CAST(c_custkey * 37 % 1000000 AS VARCHAR), 6, '0') AS ic, 'one' AS dataset_id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender, n_name AS state, c_mktsegment AS district, DATE '2020-01-01' AS at, c_acctbal AS weight_kg FROM customer JOIN nation ON c_nationkey = n_nationkey),
-r AS (SELECT * FROM b UNION ALL SELECT row + 1000000, CASE WHEN row % 9 = 0 THEN '' WHEN row % 6 = 0 THEN substr(ic, 1, 11) || CAST((CAST(substr(ic, 12, 1) AS INTEGER) + 1) % 10 AS VARCHAR) ELSE ic END, 'two', name, CASE WHEN row % 30 = 0 THEN 'M' ELSE gender END, state, district, DATE '2021-06-01', weight_kg + 1 FROM b WHERE row % 3 = 0),
+r AS (SELECT * FROM b UNION ALL SELECT row + 1000000, CASE WHEN row % 9 = 0 THEN '' WHEN row % 6 = 0 THEN substr(ic, 1, 11) || CAST((CAST(substr(ic, 12, 1) AS INTEGER) + 1) % 10 AS VARCHAR) ELSE ic END, 'two', name, CASE WHEN row % 25 = 0 THEN 'M' ELSE gender END, state, district, DATE '2021-06-01', weight_kg + 1 FROM b WHERE row % 3 = 0),
 x AS (SELECT *, CASE WHEN ic = '' THEN row ELSE min(row) OVER (PARTITION BY ic) END AS grp FROM r)"""
 
 
