@@ -62,7 +62,8 @@ def audit_entries(log: DataFrame, users: DataFrame, dataset_id=None, limit: int
 
 def keep_latest(df: DataFrame, key: Column, at: Column, tie: Column) -> DataFrame:
     """The latest row of each key, a dateless one last; rows without a key all stay."""
-    rows = df.withColumn("__k", key).withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(at.desc_nulls_last(), tie)))
+    apart = F.when(F.col("__k").isNull(), F.xxhash64(tie))  # rows without a key are not gathered in one task
+    rows = df.withColumn("__k", key).withColumn("__n", F.row_number().over(Window.partitionBy("__k", apart).orderBy(at.desc_nulls_last(), tie)))
     return rows.filter(F.col("__k").isNull() | (F.col("__n") == 1)).drop("__k", "__n")
 
 

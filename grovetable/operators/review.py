@@ -52,7 +52,8 @@ def rules(columns: list[str], source: str, ranges: dict, today: Column) -> list[
     add("review_future_measure_date", measured > today)
     ic = like("ic no passport", "no kp", "kad pengenalan", "passport")
     if source == "wide_multiyear" and ic is not None:
-        add("review_duplicate_ic", ~is_blank(ic) & (F.count(F.lit(1)).over(Window.partitionBy(F.trim(text(ic)))) > 1))
+        apart = F.when(is_blank(ic), F.xxhash64("raw"))  # rows without a number are not gathered in one task
+        add("review_duplicate_ic", ~is_blank(ic) & (F.count(F.lit(1)).over(Window.partitionBy(F.trim(text(ic)), apart)) > 1))
         add("review_ic_gender_mismatch", id_gender(ic) != F.col("Gender"))
     if (name := like("nama", "name")) is not None:
         n = F.concat(F.lit(" "), F.lower(F.trim(text(name))), F.lit(" "))
