@@ -247,6 +247,12 @@ def preview_impact(df: DataFrame, source: str, **options) -> DataFrame:
     return clean(df, source, reviews=False, **options).agg(F.count(F.lit(1)).alias("rows_before"), F.count_if("analyzable").alias("rows_after"))
 
 
+def preview_rules(df: DataFrame, source: str, **options) -> DataFrame:
+    """(rule, n_first, n_any) of rules that would fire: rows that a rule is the first to exclude, and rows that it holds for at all."""
+    fired = clean(df, source, reviews=False, **options).select(F.posexplode("drop_codes").alias("place", "rule"))
+    return fired.groupBy("rule").agg(F.count_if(F.col("place") == 0).alias("n_first"), F.count(F.lit(1)).alias("n_any"))
+
+
 def run_stats(cleaned: DataFrame) -> DataFrame:
     """One row of run statistics: totals, genders, indicators, over analyzable rows where they describe children."""
     ok = F.col("analyzable")

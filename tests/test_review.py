@@ -65,6 +65,8 @@ def test_rules_that_seldom_fire(spark):
     df = spark.createDataFrame(rows, "_row_id long, jantina string, `tarikh lahir` string, tarikh string, berat double, tinggi double")
     out = cleaning.clean(df, "wide_registry", roles={"date": "tarikh"}, as_of="2024-01-01").orderBy("_row_id").collect()
     assert [r["exclude_reason"] for r in out] == ["dropped_no_measurement; dropped_null_zscore", ""]
+    preview = cleaning.preview_rules(df, "wide_registry", roles={"date": "tarikh"}, as_of="2024-01-01")
+    assert {tuple(r) for r in preview.collect()} == {("dropped_no_measurement", 1, 1), ("dropped_null_zscore", 0, 1)}
     pupil = spark.createDataFrame([(0, "A", "L", "2015-01-01", "2022-06-01", 25.0, None)], "_row_id long, ID_MURID string, jantina string, `tarikh lahir` string, `tarikh pengukuran` string, berat double, tinggi double")
     assert cleaning.clean(pupil, "school_age", as_of="2024-01-01").first()["drop_codes"] == ["dropped_no_bmi"]
 
