@@ -170,3 +170,19 @@ def export_rows(linked: DataFrame) -> DataFrame:
     size = F.count(F.lit(1)).over(Window.partitionBy("group"))
     rows = linked.withColumn("group_size", size).groupBy("group", "dataset_id", "source_type").agg(F.max("group_size").alias("group_size"), F.max("confidence").alias("confidence"), F.min("row").alias("first_row"))
     return rows.orderBy(F.desc("group_size"), F.desc("confidence"), "group", "dataset_id")
+
+
+def duplicate_worklist(linked: DataFrame) -> DataFrame:
+    """The records of every group that has more than one."""
+    several = linked.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    return linked.join(several, "group").select("group", "row", "ic", "name", "dob", "source_type", "dataset_id", "confidence")
+
+
+def conflict_worklist(linked: DataFrame) -> DataFrame:
+    """The records of every group with a conflict, once for each field in conflict, with that field's ``value`` in the record.
+
+    Values stay in their records' rows, so a large group is never gathered in one cell.
+    """
+    value = F.try_element_at(F.create_map(*[x for f in ("gender", "state", "dob", "district", "name") for x in (F.lit(f), F.col(f).cast("string"))]), F.col("field"))
+    found = linked.join(conflicts(linked).select("group", "field", "severity"), "group")
+    return found.select("group", "row", "ic", "name", "dob", "source_type", "dataset_id", "confidence", "field", "severity", value.alias("value"))

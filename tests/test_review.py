@@ -132,3 +132,14 @@ def test_linkage_records_and_export(spark):
     assert got[0] == (None, "Abu", "d1", "2023-04-01", None) and got[1][:3] == ("1", None, "d1") and got[1][4] == 2.5
     linked = spark.createDataFrame([(0, 0, "a", 1.0), (1, 0, "a", 1.0), (2, 0, "b", 0.7), (3, 3, "b", 0.0)], "row long, group long, dataset_id string, confidence double").withColumn("source_type", F.lit("general"))
     assert [(r["group"], r["dataset_id"], r["group_size"]) for r in linkage.export_rows(linked).collect()] == [(0, "a", 3), (0, "b", 3), (3, "b", 1)]
+
+
+def test_worklists(spark):
+    rows = [(0, 0, "M", "S", "Abu"), (1, 0, "F", "S", "Abu"), (2, 2, "M", "S", "Ali"), (3, 3, "F", "S", "Mei"), (4, 3, "f ", "T", None)]
+    linked = spark.createDataFrame(rows, "row long, group long, gender string, state string, name string")
+    for c in ("ic", "dob", "district", "dataset_id", "source_type"):
+        linked = linked.withColumn(c, F.lit("x"))
+    linked = linked.withColumn("confidence", F.lit(1.0))
+    assert sorted(r["row"] for r in linkage.duplicate_worklist(linked).collect()) == [0, 1, 3, 4]
+    got = sorted((r["row"], r["field"], r["severity"], r["value"]) for r in linkage.conflict_worklist(linked).collect())
+    assert got == [(0, "gender", "hard", "M"), (1, "gender", "hard", "F"), (3, "state", "hard", "S"), (4, "state", "hard", "T")]
