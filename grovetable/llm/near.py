@@ -30,10 +30,29 @@ RADIUS = 22
 DENSE = 64
 #: Reference members of a large group.
 PIVOTS = 4
+#: Tasks that the set of a group's reference is sent to.
+SPREAD = 64
 #: Members of a large group that those meet first who are linked to no reference.
 DRAWN = 8
 
 
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def shingle_hashes(text: str | None, shingle: int):
+    """Sorted distinct hashes of a text's word shingles; a text up to a shingle long is one."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(line, 42)], dtype="<u8")
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())), dtype="<u8", count=len(starts)))
+
+
 def _reading(shingle: int, whole: bool):
     """Batches of (row, text) to fingerprints, or to the whole shingle sets."""
     bands, depth = BANDS, BAND_ROWS
@@ -42,19 +61,9 @@ def _reading(shingle: int, whole: bool):
         import numpy as np
         from xxhash import xxh64_intdigest
 
-        lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
         factors, masks = (np.array([xxh64_intdigest(b"%d" % i, s) for i in range(bands * depth)], dtype=np.uint64) for s in (1, 2))
         factors |= np.uint64(1)
 
-        def hashes(text: str | None) -> np.ndarray:
-            words = (text or "").encode("utf-8", "surrogatepass").translate(lower).split()
-            line = b" ".join(words)
-            ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
-            if len(words) <= shingle:
-                return np.array([xxh64_intdigest(line, 42)], dtype="<u8")
-            starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-            return np.unique(np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())), dtype="<u8", count=len(starts)))
-
         def prints(own: np.ndarray) -> tuple[int, list[int]]:
             votes = np.zeros(64, dtype=np.int64)
             least = np.full(bands * depth, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -68,7 +77,7 @@ def _reading(shingle: int, whole: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [hashes(t) for t in part.column(1).to_pylist()]
+                sets = [shingle_hashes(t, shingle) for t in part.column(1).to_pylist()]
                 keys = pa.array(np.array([xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64))
                 if whole:
                     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
@@ -118,7 +127,10 @@ def _close(members: DataFrame, heads: DataFrame, numbered: DataFrame, similarity
     part = (1 - similarity) / (1 + similarity)
     asked = heads.join(members.select("key").union(members.select("pivot")).distinct(), "key", "left_semi").select("row")
     sets = settle(_sets(numbered.select("row", "text").join(asked, "row", "left_semi"), shingle), "near-sets")
-    both = members.join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("p")), "pivot").join(sets.select("key", F.col("shingles").alias("x")), "key")
+    # A reference's set goes to SPREAD tasks, so that a large group's members do not all meet it in one.
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int"))
+    references = members.select("pivot").distinct().withColumnRenamed("pivot", "key").join(sets, "key").select(F.col("key").alias("pivot"), F.col("shingles").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    both = salted.join(references, ["pivot", "salt"]).drop("salt").join(sets.select("key", F.col("shingles").alias("x")), "key")
     held = settle(both.select("pivot", "key", "n", "root", "lone", F.concat(F.array_except("x", "p"), F.array_except("p", "x")).alias("differs")), "near-differences")
     discard(sets)
     sized = held.withColumn("d", F.size("differs"))
