@@ -9,11 +9,11 @@ document can be a pivot for all of a ring: windows around it would hold the whol
 of the shingle space than its reach has shingles. By the triangle inequality, summed over parts, two linked sets have
 distance zero in some of them; the content of a part is the region there.
 
-Regions with few members are joined pair by pair; the counts of a set's shingles in 64 cells are its coordinates, and by the same inequality
-pairs whose coordinates differ by more than their reach are left out before whole sets decide. Regions with many members take
-some of their own documents as pivots: every member goes to the region of its nearest one, and to those of all others not further
-than that by twice the radius. So linked members share a region, and regions that are still large are split again. Members within the
-radius of a pivot are linked to it, and regions whose members are all in one component need no pairs.
+Regions with many members take some of their own documents as pivots: every member goes to the region of its nearest one, and to those
+of all others not further than that by twice the radius. So linked members share a region, and regions that are still
+large are split again. Members within the radius of a pivot are linked to it, and regions whose members are all in one component need no pairs.
+Regions with few members are joined pair by pair, without pairs that are in one component by then; the counts of a set's shingles
+in 64 cells are its coordinates, and by the same inequality pairs whose coordinates differ by more than their reach are left out before whole sets decide.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ RING = 1.25
 #: Cells of the coordinates.
 CELLS = 64
 #: Larger regions are split around pivots.
-DENSE = 64
+DENSE = 16
 PIVOTS = 8
 
 
@@ -180,23 +180,22 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(placed.join(settle(sums.filter("roots > 1"), "jaccard-open"), "region"), "jaccard-apart")
 
 
+def _between(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members`` (region, key, root) of one region and different components."""
+    met = members.alias("l").join(members.alias("r"), F.expr("l.region = r.region AND l.key < r.key AND l.root <> r.root"))
+    return met.select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
+
+
 def _links(grouped: DataFrame, corpus: _Corpus) -> DataFrame:
-    """(node, root) of all sets linked to another, from ``grouped`` (region, key, members)."""
-    few = grouped.filter(F.col("members") <= DENSE).select("region", "key")
-    pairs = few.alias("l").join(few.alias("r"), F.expr("l.region = r.region AND l.key < r.key")).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
-    links = [corpus.linked(corpus.similarities(corpus.likely(pairs)))]
+    """(node, root) of all sets linked to another, from ``grouped`` (region, key, members). Large regions come first: what they link needs no pairs in small ones."""
     regions = settle(grouped.filter(F.col("members") > DENSE).select("region", "key").join(corpus.heads.select("key", "n"), "key"), "jaccard-large")
-    if regions.isEmpty():
-        return connect(links[0], "jaccard")
-    asked, level = [], 0
+    links, asked, level, labels = [], [], 0, None
     while not regions.isEmpty():
         found, split = _around_pivots(regions, level, corpus)
         links.append(found)
         labels = connect(reduce(DataFrame.union, links), "jaccard")
         apart = _apart(split, labels)
-        small = apart.filter(F.col("size") <= DENSE)
-        l, r = small.alias("l"), small.alias("r")  # noqa: E741
-        asked.append(corpus.likely(l.join(r, F.expr("l.region = r.region AND l.key < r.key AND l.root <> r.root")).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))))
+        asked.append(corpus.likely(_between(apart.filter(F.col("size") <= DENSE))))
         # Regions that a split has not halved hold members too alike for another: their differences to the pivot are joined.
         tight = apart.filter((F.col("size") > DENSE) & (2 * F.col("size") > F.col("parent")))
         members = tight.groupBy("pivot", "key", "n", "root").agg(F.max(F.col("root") != F.col("most")).alias("lone"))
@@ -204,11 +203,14 @@ def _links(grouped: DataFrame, corpus: _Corpus) -> DataFrame:
             asked.append(corpus.likely(near._close(members, corpus.heads, corpus.numbered, corpus.percent / 100, corpus.shingle)))
         regions = settle(apart.filter((F.col("size") > DENSE) & (2 * F.col("size") <= F.col("parent"))).select("region", "key", "n"), "jaccard-large")
         level += 1
-    more = settle(reduce(DataFrame.union, asked).distinct(), "jaccard-more")
+    few = grouped.filter(F.col("members") <= DENSE).select("region", "key")
+    few = few.withColumn("root", F.col("key")) if labels is None else few.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    asked.append(corpus.likely(_between(few)))
+    more = settle(reduce(DataFrame.union, asked).distinct(), "jaccard-more") if len(asked) > 1 else asked[0]
     if not more.isEmpty():
         links.append(corpus.linked(corpus.similarities(more)))
         labels = connect(reduce(DataFrame.union, links), "jaccard")
-    return labels
+    return corpus.heads.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0) if labels is None else labels
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, shingle: int = 3) -> DataFrame:
