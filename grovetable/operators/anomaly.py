@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.values import try_num
 from .profile import long_numbers
+from .quantiles import percentiles
 
 
 def _medians(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float, int]]:
-    rows = long_numbers(df, columns).groupBy("column").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.count("x").alias("n")).collect()
-    return {r["column"]: (*r["p"], r["n"]) for r in rows if r["p"]}
+    return {c: (*p, n) for c, (n, p) in percentiles(long_numbers(df, columns), (0.25, 0.5, 0.75)).items()}
 
 
 def swapped_digits(c: Column) -> Column:
@@ -54,6 +54,6 @@ def anomaly_flags(df: DataFrame, columns: list[str], share: float = 0.05, least:
     mads = {c: s[1] for c, s in _medians(gaps, list(med)).items()}
     dist = [F.abs(F.coalesce(try_num(F.col(f"`{c}`")), F.lit(m)) - m) / (1.4826 * mads[c] or 1.0) for c, m in med.items()]
     scored = df.withColumn("anomaly_score", F.greatest(*dist, F.lit(0.0)) if dist else F.lit(0.0))
-    row = scored.agg(F.percentile("anomaly_score", F.lit(1 - share)).alias("cut"), F.count(F.lit(1)).alias("n")).first()
-    cut = row["cut"] if row["n"] >= least and row["cut"] is not None else float("inf")
+    n, cuts = percentiles(scored.select(F.lit("score").alias("column"), F.col("anomaly_score").alias("x")), (1 - share,)).get("score", (0, []))
+    cut = cuts[0] if n >= least else float("inf")
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > cut)

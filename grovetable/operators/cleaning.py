@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import growth
@@ -13,6 +13,7 @@ from ..plans import ranges as R
 from ..plans.binder import find_col
 from ..plans.rules import DROP_RULES, Rule, codes, joined, review_on, rule_on
 from . import review
+from .quantiles import percentiles
 
 #: Header patterns of each role.
 ROLES = {
@@ -84,15 +85,33 @@ def outside(c: Column, low: float, high: float) -> Column:
     return c.isNotNull() & ~c.between(low, high)
 
 
+#: Rules that look at all rows of an identity number.
+ID_RULES = ("dropped_duplicate_mykid", "dropped_duplicate_id", "review_mykid_shared_placeholder")
+#: Tasks that the rows without a number are spread over.
+SPREAD = 64
+
+
+def with_id_sums(frame: DataFrame) -> DataFrame:
+    """Add ``__ids`` of every row's number: how many rows it has, whether their birth dates differ, the latest and the first row.
+
+    Sums are made before the shuffle and joined back. Rows without a number go to SPREAD tasks, each with the sums of all of them,
+    and a join that is still uneven can be split.
+    """
+    latest = F.min(F.struct(F.col("Tarikh_Ukur").isNull().alias("u"), (-F.unix_date("Tarikh_Ukur")).alias("d"), F.col("_row_id").alias("r")))["r"]
+    sums = F.struct(F.count(F.lit(1)).alias("n"), (F.min("Tarikh_Lahir") != F.max("Tarikh_Lahir")).alias("dobs"), latest.alias("latest"), F.min("_row_id").alias("first"))
+    blank = F.col("__id").isNull() | (F.trim("__id") == "")
+    per = frame.groupBy("__id").agg(sums.alias("__ids")).select(F.col("__id").alias("__key"), "__ids", F.explode(F.when(blank, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("__to"))
+    spread = frame.withColumn("__part", F.when(blank, F.pmod(F.xxhash64("_row_id"), F.lit(SPREAD)).cast("int")).otherwise(0))
+    return spread.join(per, F.col("__id").eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__to")), "left").drop("__key", "__part", "__to")
+
+
 def drop_conditions(b: Binding, profile: R.Profile, ranges: dict, as_of: Column) -> dict[str, Column]:
     """The condition of every drop rule on a prepared frame, but for the z-score one."""
     cap = ranges["infant_age_cap"]["value"]
     w, h, months, days = (F.col(c) for c in ("Berat_kg", "Tinggi_cm", "Age_Months", "Age_Days"))
-    by_id = Window.partitionBy("__id")
-    dated = by_id.orderBy(F.col("Tarikh_Ukur").desc_nulls_last(), "_row_id")
     no_id = F.col("__id").isNull() | (F.trim("__id") == "")
-    n, dobs = F.count(F.lit(1)).over(by_id), F.size(F.collect_set("Tarikh_Lahir").over(by_id))
-    later_copy = ~no_id & (n > 1) & (dobs <= 1) & (F.row_number().over(dated) > 1)
+    several, one_dob = F.col("__ids.n") > 1, F.col("__ids.dobs").isNull() | ~F.col("__ids.dobs")
+    later_copy = ~no_id & several & one_dob & (F.col("_row_id") != F.col("__ids.latest"))
     years = F.bround(days / F.lit(365.25), 1)
     low, high = R.bounds(ranges, "school_age_years")
     school = b.source == "school_age"
@@ -109,9 +128,9 @@ def drop_conditions(b: Binding, profile: R.Profile, ranges: dict, as_of: Column)
         "dropped_no_measurement": w.isNull() & h.isNull(),
         "dropped_bmi_outlier": F.col("BMI") > ranges["bmi_max"]["value"],
         "dropped_duplicate_mykid": later_copy if b["id"] else F.lit(False),
-        "dropped_duplicate_id": (F.row_number().over(by_id.orderBy("_row_id")) > 1) if b["id"] else F.lit(False),
+        "dropped_duplicate_id": (F.col("_row_id") != F.col("__ids.first")) if b["id"] else F.lit(False),
         "dropped_no_bmi": F.col("BMI").isNull(),
-        "review_mykid_shared_placeholder": ~no_id & (n > 1) & (dobs > 1),
+        "review_mykid_shared_placeholder": ~no_id & several & ~one_dob,
     }
 
 
@@ -125,12 +144,13 @@ def clean(
     as_of: str | None = None,
     profile: R.Profile | None = None,
     reviews: bool = True,
+    zscores: bool = True,
 ) -> DataFrame:
     """Flag every row of a long table under one profile.
 
     Adds typed columns, drop_codes (array), analyzable, exclude_reason, review_reason; the input columns are in ``raw``.
     Z-scores are worked out for rows that no earlier rule excludes; a row without all three gets
-    dropped_null_zscore. ``as_of`` fixes today's date.
+    dropped_null_zscore. ``as_of`` fixes today's date. Without ``zscores`` no z-score is worked out and that rule is left out.
     """
     ranges = R.merged(overrides)
     b = Binding(df.columns, source, roles or {})
@@ -140,6 +160,8 @@ def clean(
     when = drop_conditions(b, profile, ranges, today)
     order = [c for c in DROP_RULES[source] if c != "dropped_null_zscore"]
     order = [c for c in [*order, *[p for p in when if p not in order and p.startswith("dropped")]] if rule_on(c, enabled, source)]
+    if b["id"] and any(c in ID_RULES for c in order):
+        frame = with_id_sums(frame)
     first = frame.withColumn("drop_codes", codes([Rule(c, when[c]) for c in order]))
     shared = when["review_mykid_shared_placeholder"] if "dropped_duplicate_mykid" in order and b["id"] else F.lit(False)
     first = first.withColumn("__shared", F.coalesce(shared, F.lit(False)))
@@ -148,6 +170,8 @@ def clean(
         out = first.withColumn("BMI_Category", category)
         for name, label in (("Ind_Kurus", "Kurus"), ("Ind_Normal", "Normal"), ("Ind_Berlebihan", "Berlebihan Berat Badan"), ("Ind_Obes", "Obesiti")):
             out = out.withColumn(name, growth.flag(F.col("BMI_Category") == label))
+    elif not zscores:
+        out = first
     else:
         table = lms if lms is not None else growth.knot_table(df.sparkSession)
         out = growth.add_zscores(first, table, F.col("Gender"), F.col("Age_Days"), F.col("Berat_kg"), F.col("Tinggi_cm"), F.col("BMI"), where=(F.size("drop_codes") == 0) & F.col("Gender").isNotNull())
@@ -165,7 +189,7 @@ def clean(
         rules = [r for r in review.rules(b.columns, source, ranges, today) if review_on(r.code, enabled)]
         rules.append(Rule("review_mykid_shared_placeholder", F.col("__shared")))
     out = out.withColumn("review_codes", codes(rules))
-    return out.withColumn("analyzable", F.size("drop_codes") == 0).withColumn("exclude_reason", joined(F.col("drop_codes"))).withColumn("review_reason", joined(F.col("review_codes"))).drop("__gender", "__income", "__id", "__age", "__shared", "__vid", "__born")
+    return out.withColumn("analyzable", F.size("drop_codes") == 0).withColumn("exclude_reason", joined(F.col("drop_codes"))).withColumn("review_reason", joined(F.col("review_codes"))).drop("__gender", "__income", "__id", "__age", "__shared", "__vid", "__born", "__same", "__ids")
 
 
 def clean_wide_multiyear(df: DataFrame, **options) -> DataFrame:
@@ -185,18 +209,19 @@ def clean_school_age(df: DataFrame, **options) -> DataFrame:
 
 
 def infer_cohort(df: DataFrame, overrides: dict | None = None, roles: dict[str, str] | None = None) -> dict:
-    """The cohort by median age: infant below the age cap, school above, none without ages. One aggregate.
+    """The cohort by median age: infant below the age cap, school above, none without ages.
 
     Ages come from dates, else from an age column; an age column with a median of 18 or less is in years.
     """
     ranges = R.merged(overrides)
     b = Binding(df.columns, "general", roles or {})
-    row = _prepared(df, b).agg(F.percentile("Age_Months", F.lit(0.5)).alias("dated"), F.percentile("__age", F.lit(0.5)).alias("stated")).first()
-    assumptions, median = [], row["dated"]
-    if median is None and row["stated"] is not None:
-        years = row["stated"] <= 18
+    ages = _prepared(df, b).select(F.explode(F.array(F.struct(F.lit("dated").alias("column"), F.col("Age_Months").cast("double").alias("x")), F.struct(F.lit("stated").alias("column"), F.col("__age").alias("x")))).alias("v")).select("v.*")
+    medians = {c: p[0] for c, (_, p) in percentiles(ages, (0.5,)).items()}
+    assumptions, median, stated = [], medians.get("dated"), medians.get("stated")
+    if median is None and stated is not None:
+        years = stated <= 18
         assumptions.append(f"age column read as {'years' if years else 'months'}")
-        median = row["stated"] * (12 if years else 1)
+        median = stated * (12 if years else 1)
     name = None if median is None else "infant" if median < ranges["infant_age_cap"]["value"] else "school"
     return {"cohort": name, "median_age_months": median, "assumptions": assumptions}
 
@@ -237,7 +262,8 @@ def recommend_rules(df: DataFrame, source: str = "general", roles: dict[str, str
     b = Binding(df.columns, source, roles or {})
     today = F.to_date(F.lit(as_of)) if as_of else F.current_date()
     when = drop_conditions(b, R.cohort("infant"), R.merged(), today)
-    flagged = _prepared(df, b).select(*[F.coalesce(when[c], F.lit(False)).alias(c) for c in PORTABLE])
+    frame = _prepared(df, b)
+    flagged = (with_id_sums(frame) if b["id"] else frame).select(*[F.coalesce(when[c], F.lit(False)).alias(c) for c in PORTABLE])
     counts = flagged.agg(*[F.count_if(c).alias(c) for c in PORTABLE])
     return counts.unpivot([], list(PORTABLE), "rule", "n").filter("n > 0").orderBy(F.desc("n"), "rule")
 
@@ -249,7 +275,7 @@ def preview_impact(df: DataFrame, source: str, **options) -> DataFrame:
 
 def preview_rules(df: DataFrame, source: str, **options) -> DataFrame:
     """(rule, n_first, n_any) of rules that would fire: rows that a rule is the first to exclude, and rows that it holds for at all."""
-    fired = clean(df, source, reviews=False, **options).select(F.posexplode("drop_codes").alias("place", "rule"))
+    fired = clean(df, source, reviews=False, **options).select(F.posexplode_outer("drop_codes").alias("place", "rule")).filter("rule IS NOT NULL")  # a plain explode would work out all codes once more for a filter
     return fired.groupBy("rule").agg(F.count_if(F.col("place") == 0).alias("n_first"), F.count(F.lit(1)).alias("n_any"))
 
 

@@ -1,7 +1,7 @@
 """Linking records of one person across datasets, and scanning the groups for conflicts.
 
 Every step is an equality join on a block: the number itself, its delete-neighbourhood, name and
-birth date, or month of birth. Clusters are led by their earliest record: a record without an
+birth date, or day of birth. Clusters are led by their earliest record: a record without an
 earlier free neighbour becomes a leader, and others join their earliest leader.
 """
 
@@ -54,34 +54,120 @@ def fuzzy_pairs(ids: DataFrame, most: int = 1) -> DataFrame:
     return met.filter((near >= 1) & (near <= most)).select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"), F.col("l.first").alias("a_first"), F.col("r.first").alias("b_first")).distinct()
 
 
+#: A rest of at most this many open links is decided by one task, and so is each component of a larger rest.
+ONE_TASK = 200_000
+#: Parallel rounds before the rest is looked at; they decide all but chains.
+ROUNDS = 2
+
+
+def _deciding(kind: str):
+    """Rows (root, b, a, a_leads) in order of root, b and a, one with a null ``a`` for every b, to (node, role, leader) of every b.
+
+    Of one component only what has been decided so far is held: a node comes before all that it could lead.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "bigint": pa.int64()}
+        leads, root, b, leader, made = set(), None, None, None, []
+
+        def batch():
+            node, role, lead = (list(x) for x in zip(*made)) if made else ([], [], [])
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(node, kinds[kind]), pa.array(role, pa.string()), pa.array(lead, kinds[kind])], names=["node", "role", "leader"])
+
+        def close():
+            if b is not None:
+                made.append((b, "follows", leader) if leader is not None else (b, "leads", b))
+                if leader is None:
+                    leads.add(b)
+
+        for part in batches:
+            for r, node, a, a_leads in zip(*[c.to_pylist() for c in part.columns]):
+                if node != b or r != root:
+                    close()
+                    b, leader = node, None
+                if r != root:
+                    root = r
+                    leads.clear()
+                if a is not None and leader is None and (a_leads or a in leads):
+                    leader = a
+            yield batch()
+        close()
+        yield batch()
+
+    return run
+
+
+def components(links: DataFrame, settle) -> DataFrame:
+    """(node, root) for the nodes of ``links`` (a, b), root the least node reachable.
+
+    Least labels go to neighbours, and labels of labels are taken: settled rounds that grow with the logarithm of a path's length.
+    """
+    both = settle(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").filter("u <> v").distinct())
+    labels = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
+    while True:
+        least = both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").groupBy("u").agg(F.min("lv").alias("near"))
+        near = labels.join(least, "u").select("u", F.col("l").alias("old"), F.least("l", "near").alias("l"))
+        moved = settle(near.join(labels.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l").select("u", "old", F.least("l", "ll").alias("l")))
+        labels = moved.select("u", "l")
+        if moved.filter("old <> l").isEmpty():
+            return labels.select(F.col("u").alias("node"), F.col("l").alias("root"))
+
+
 def lead_clusters(nodes: DataFrame, links: DataFrame, settle) -> DataFrame:
-    """(node, leader) by greedy leader clustering in order of ``first``, worked out in parallel rounds.
+    """(node, leader) by greedy leader clustering in order of ``first``.
 
     ``nodes`` (node, first), ``links`` (a, b, a_first, b_first) with a before b. A node all of whose earlier neighbours are followers
-    leads; a node whose earliest neighbour that is not a follower is a leader follows it. Rounds go on until every node is decided; each is
-    settled, so lineage stays short.
+    leads; a node whose earliest neighbour that is not a follower is a leader follows it. Two parallel rounds decide all but
+    chains. The rest is decided in order: by one task if it is small, else by tasks that hold whole components. Only components of
+    more than ONE_TASK links take further rounds. Every step is settled, so lineage stays short.
     """
     state = settle(nodes.select("node", "first", F.when(F.lit(False), "").alias("role"), F.when(F.lit(False), F.col("node")).alias("leader")))
+    kind = dict(state.dtypes)["node"]
+    rounds = 0
     while True:
-        open_links = links.join(state.select(F.col("node").alias("a"), F.col("role").alias("a_role")), "a").filter("a_role IS NULL OR a_role = 'leads'")
-        earliest = open_links.groupBy("b").agg(F.min(F.struct("a_first", "a", "a_role")).alias("e"))
+        live = links.join(state.select(F.col("node").alias("a"), F.col("role").alias("a_role")), "a").filter("a_role IS NULL OR a_role = 'leads'")
+        if rounds == ROUNDS:
+            undecided = state.filter("role IS NULL").select(F.col("node").alias("b"), F.col("first").alias("b_first"))
+            live = settle(live.join(undecided.select("b"), "b", "left_semi"))
+            rows = live.select("b", "b_first", "a", "a_first", F.col("a_role").isNotNull().alias("a_leads"))
+            none = rows.schema["a"].dataType, rows.schema["a_first"].dataType
+            rows = rows.unionByName(undecided.select("b", "b_first", F.lit(None).cast(none[0]).alias("a"), F.lit(None).cast(none[1]).alias("a_first"), F.lit(False).alias("a_leads")))
+            if live.count() <= ONE_TASK:
+                rows = rows.join(live.select(F.col("a").alias("b")).union(live.select("b")).distinct(), "b", "left_semi").withColumn("root", F.lit(0)).coalesce(1)
+            else:
+                roots = components(live.filter("a_role IS NULL"), settle)
+                rows = rows.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+                rows = rows.join(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= ONE_TASK).select("root"), "root").repartition("root")
+            decided = rows.sortWithinPartitions("root", "b_first", "b", F.col("a_first").asc_nulls_first()).select("root", "b", "a", "a_leads").mapInArrow(_deciding(kind), f"node {kind}, role string, leader {kind}")
+            state = settle(state.join(settle(decided).toDF("node", "r", "l"), "node", "left").select("node", "first", F.coalesce("role", "r").alias("role"), F.coalesce("leader", "l").alias("leader")))
+            rounds += 1
+            continue
+        earliest = live.groupBy("b").agg(F.min(F.struct("a_first", "a", "a_role")).alias("e"))
         now = state.join(earliest, state.node == F.col("b"), "left").select(
             "node", "first",
             F.coalesce("role", F.when(F.col("e").isNull(), "leads").when(F.col("e.a_role") == "leads", "follows")).alias("role"),
             F.coalesce("leader", F.when(F.col("role").isNull() & F.col("e").isNull(), F.col("node")).when(F.col("role").isNull() & (F.col("e.a_role") == "leads"), F.col("e.a"))).alias("leader"),
         )
-        state = settle(now)
+        state, rounds = settle(now), rounds + 1
         if state.filter("role IS NULL").isEmpty():
             return state.select("node", "leader")
 
 
 def shared_scratch(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared checkpoint folder; one is made only where none is set."""
+    """Cut the lineage in the session's shared checkpoint folder; one is made only in local mode where none is set."""
     import tempfile
 
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="grovetable-"))
+        root = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="spark-grovetable-")
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
@@ -102,14 +188,13 @@ def link_records(records: DataFrame, id_edits: int = 1, dob_days: int = 1, name_
     bare = rows.filter("nid = ''")
     named = known.filter("nname <> '' AND ndob <> ''").groupBy("nname", "ndob").agg(F.min("group").alias("group"))
     third = bare.filter("nname <> '' AND ndob <> ''").join(named, ["nname", "ndob"]).select("row", "group", F.lit(0.7).alias("confidence"), F.lit("name_dob").alias("reason"))
-    # The rest meets the first record of every group, and each other, in blocks of the month of birth.
+    # The rest meets the first record of every group, and each other, on the days of birth within reach.
     rest = bare.join(third.select("row"), "row", "left_anti")
     heads = known.groupBy("group").agg(F.min_by(F.struct("name", "bdate"), "row").alias("h")).select(F.col("group").alias("node"), F.col("h.name").alias("name"), F.col("h.bdate").alias("bdate"), F.lit(0).alias("late"))
     members = heads.union(rest.select(F.col("row").alias("node"), "name", "bdate", F.lit(1).alias("late")))
-    month = F.year("bdate") * 12 + F.month("bdate")
-    dated = members.filter("bdate IS NOT NULL AND name IS NOT NULL").withColumn("m", month)
-    near = dated.filter("late = 1").withColumn("m", F.explode(F.array(F.col("m") - 1, F.col("m"), F.col("m") + 1)))
-    pairs = near.alias("r").join(dated.alias("l"), F.expr(f"l.m = r.m AND abs(datediff(l.bdate, r.bdate)) <= {dob_days} AND (l.late < r.late OR (l.late = r.late AND l.node < r.node))"))
+    dated = members.filter("bdate IS NOT NULL AND name IS NOT NULL").withColumn("on", F.col("bdate"))
+    near = dated.filter("late = 1").withColumn("on", F.explode(F.sequence(F.date_sub("bdate", dob_days), F.date_add("bdate", dob_days))))
+    pairs = near.alias("r").join(dated.alias("l"), F.expr("l.on = r.on AND (l.late < r.late OR (l.late = r.late AND l.node < r.node))"))
     pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.name").alias("an"), F.col("r.name").alias("bn"), F.col("l.late").alias("al"))
     alike = shared_scratch(pairs.withColumn("s", name_similarity(F.col("an"), F.col("bn"))).filter(F.col("s") >= name_cut).select("a", "b", F.struct(F.col("al"), F.col("a")).alias("a_first"), F.struct(F.lit(1).alias("al"), F.col("b").alias("a")).alias("b_first")))
     nodes = members.select("node", F.struct(F.col("late").alias("al"), F.col("node").alias("a")).alias("first"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import missing_severity, severity_score, text, try_num
+from .quantiles import percentiles
 
 pct_of = lambda part, whole, digits=2: F.round(F.coalesce(F.try_divide(100.0 * part, whole), F.lit(0.0)), digits)
 
@@ -68,14 +69,15 @@ def categorical_summary(df: DataFrame, columns: list[str], blank: str = "TIADA D
 
 
 def numerical_summary(df: DataFrame, columns: list[str], bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """Moments, quantiles, outlier counts and box-plot whiskers per column, in two passes.
+    """Moments, quantiles, outlier counts and box-plot whiskers per column.
 
-    Skewness and kurtosis are the bias-corrected sample ones. The smallest of equally frequent modes is given.
+    Skewness and kurtosis are the bias-corrected sample ones. The smallest of equally frequent modes is given. Quantiles are
+    selected before, as exact ones that need no buffer of all values.
     """
     x = long_numbers(df, columns).filter("x IS NOT NULL")
     modes = x.groupBy("column", "x").agg(F.count(F.lit(1)).alias("c")).groupBy("column").agg(F.min_by("x", F.struct(-F.col("c"), F.col("x"))).alias("mode"))
-    p = F.percentile("x", F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    base = x.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"), p.alias("p"))
+    p = quantile_table(df, columns, (0.05, 0.25, 0.5, 0.75, 0.95))
+    base = x.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2")).join(p, "column")
     n = F.col("n").cast("double")
     base = base.select(
         "column", "n", "min", "max", (F.col("max") - F.col("min")).alias("range"), "mean", "std", *[F.col("p")[i].alias(a) for i, a in enumerate(("p5", "q1", "median", "q3", "p95"))],
@@ -95,10 +97,28 @@ def numerical_summary(df: DataFrame, columns: list[str], bounds: dict[str, tuple
     return base.join(second, "column")
 
 
+def quantile_table(df: DataFrame, columns: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(column, p): exact quantiles, one row a column that has numbers."""
+    held = percentiles(long_numbers(df, columns), shares)
+    return F.broadcast(df.sparkSession.createDataFrame([(c, p) for c, (_, p) in held.items()], "column string, p array<double>"))
+
+
+def outlier_points(df: DataFrame, columns: list[str], most: int = 50) -> DataFrame:
+    """(column, place, x): the ``most`` least values beyond 1.5 interquartile ranges, to three digits.
+
+    Places are limited in every task before values of a column come together.
+    """
+    q = quantile_table(df, columns, (0.25, 0.75)).select("column", F.col("p")[0].alias("q1"), F.col("p")[1].alias("q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    far = long_numbers(df, columns).join(q, "column").filter((F.col("x") < F.col("q1") - reach) | (F.col("x") > F.col("q3") + reach))
+    placed = far.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy("x")))
+    return placed.filter(F.col("place") <= most).select("column", "place", F.round("x", 3).alias("x"))
+
+
 def fences(df: DataFrame, columns: list[str], reach: float) -> dict[str, tuple[float, float]]:
     """Quartile fences of each column, as numbers for the plan."""
-    rows = long_numbers(df, columns).groupBy("column").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("p")).collect()
-    return {r["column"]: (r["p"][0] - reach * (r["p"][1] - r["p"][0]), r["p"][1] + reach * (r["p"][1] - r["p"][0])) for r in rows if r["p"]}
+    held = percentiles(long_numbers(df, columns), (0.25, 0.75))
+    return {c: (a - reach * (b - a), b + reach * (b - a)) for c, (_, (a, b)) in held.items()}
 
 
 #: The outlier module's own ranges.
@@ -108,11 +128,12 @@ OUTLIER_RANGES = {"weight": (0.5, 80.0), "height": (30.0, 200.0), "bmi": (5.0, 6
 def outlier_masks(df: DataFrame, column: str, bio: tuple[float, float] | None) -> dict[str, Column]:
     """Conditions for one column: biological, iqr, extreme, zscore. A null is never an outlier."""
     x = try_num(F.col(f"`{column}`"))
-    q = long_numbers(df, [column]).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("p"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).first()
+    numbers = long_numbers(df, [column])
+    held, q = percentiles(numbers, (0.25, 0.75)), numbers.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).first()
     none = F.lit(False)
-    if q["p"] is None:
+    if not held:
         return dict.fromkeys(("biological", "iqr", "extreme", "zscore"), none)
-    a, b = q["p"]
+    a, b = held[column][1]
     off = lambda k: F.coalesce((x < a - k * (b - a)) | (x > b + k * (b - a)), none)
     return {
         "biological": F.coalesce(~x.between(*bio), none) if bio else none, "iqr": off(1.5), "extreme": off(3.0),
@@ -169,7 +190,9 @@ def trend_by_year(df: DataFrame, year: Column, flags: dict[str, tuple[Column, Co
 def age_distribution(df: DataFrame, months: Column, measured: Column, today: Column) -> DataFrame:
     """One row: range, mean, median and counts of young, older, missing, impossible ages and future dates."""
     m = df.select(months.cast("double").alias("m"), measured.alias("d"))
-    return m.agg(F.min("m").alias("min"), F.max("m").alias("max"), F.round(F.avg("m"), 2).alias("mean"), F.percentile("m", F.lit(0.5)).alias("median"), F.count_if(F.col("m") < 24).alias("under2"), F.count_if(F.col("m") < 60).alias("under5"),
+    held = percentiles(m.select(F.lit("m").alias("column"), F.col("m").alias("x")), (0.5,))
+    median = F.lit(held["m"][1][0] if held else None).cast("double")
+    return m.agg(F.min("m").alias("min"), F.max("m").alias("max"), F.round(F.avg("m"), 2).alias("mean"), median.alias("median"), F.count_if(F.col("m") < 24).alias("under2"), F.count_if(F.col("m") < 60).alias("under5"),
                  F.count_if(F.col("m") >= 60).alias("over5"), F.count_if(F.col("m").isNull()).alias("missing"), F.count_if(F.col("m") < 0).alias("invalid"), F.count_if(F.col("d") > today).alias("future"))
 
 

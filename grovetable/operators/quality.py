@@ -56,24 +56,48 @@ def quality_score(df: DataFrame, *, mapped: int, id_valid: Column | None, critic
     return out.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)).withColumn("grade", grade(F.col("score")))
 
 
-def business_rules(df: DataFrame, *, measured: Column, weight: Column, height: Column, child: Column, gender: Column, dob: Column, year_level: Column | None = None, id_text: Column | None = None, as_of: str) -> DataFrame:
-    """(rule, n, pct, severity) for BR-01 to BR-09, all counted in one aggregate over one window by child."""
+def _rule_tests(measured: Column, weight: Column, height: Column, gender: Column, dob: Column, year_level: Column | None, id_text: Column | None, as_of: str) -> dict[str, tuple[Column, str]]:
+    """The condition and severity of every rule that a row's own values decide: all but BR-04."""
     b = lambda k: R.bounds(R.RANGES, k)
     today = F.to_date(F.lit(as_of))
     oldest = F.make_date(F.year(today) - int(R.RANGES["rule_age_years"]["value"]), F.lit(1), F.lit(1))
     latest = F.make_date(F.year(today), F.lit(12), F.lit(31))
     digits = F.regexp_replace(F.coalesce(text(id_text), F.lit("")) if id_text is not None else F.lit(""), "^[A-Za-z]", "")
     coded = F.try_to_date(F.substring(digits, 1, 8), "ddMMyyyy")
-    per_child = F.count(F.lit(1)).over(Window.partitionBy(child))
-    tests = {
-        "BR-01": (measured.isNull(), "WARNING"), "BR-02": (~weight.between(*b("rule_weight")), "ERROR"), "BR-03": (~height.between(*b("rule_height")), "ERROR"), "BR-04": (child.isNotNull() & (per_child > 1), "WARNING"),
+    return {
+        "BR-01": (measured.isNull(), "WARNING"), "BR-02": (~weight.between(*b("rule_weight")), "ERROR"), "BR-03": (~height.between(*b("rule_height")), "ERROR"),
         "BR-05": (~F.coalesce(F.lower(F.trim(text(gender))).isin("male", "female", "lelaki", "perempuan", "m", "f", "l", "p"), F.lit(False)), "WARNING"),
         "BR-06": (~F.coalesce(year_level.between(*b("rule_year_level")), F.lit(False)) if year_level is not None else F.lit(False), "INFO"), "BR-07": (coded != dob, "INFO"), "BR-08": (weight.isNull() & height.isNull(), "WARNING"),
         "BR-09": ((measured < oldest) | (measured > latest) | (dob < oldest) | (dob > latest), "ERROR"),
     }
+
+
+def rule_samples(df: DataFrame, order: list[str], *, child: Column, as_of: str, most: int = 100, most_children: int = 1_000, **columns) -> DataFrame:
+    """(rule, place, order columns): the first rows that each business rule fires on, in ``order``; BR-04 by child first, and more of them.
+
+    Columns are named as for ``business_rules``. Places are limited in every task before a rule's rows come together; children
+    with several rows are found by a count that is joined back, and rows without a child are left out of it.
+    """
+    tests = _rule_tests(columns["measured"], columns["weight"], columns["height"], columns["gender"], columns["dob"], columns.get("year_level"), columns.get("id_text"), as_of)
+    own = df.select(*order, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, (c, _) in tests.items()]))).alias("rule"))
+    first = own.withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy(*order))).filter(F.col("place") <= most)
+    named = df.select(child.alias("__child"), *order).filter("__child IS NOT NULL")
+    several = named.groupBy("__child").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__child")
+    shared = named.join(several, "__child").withColumn("rule", F.lit("BR-04")).withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy("__child", *order))).filter(F.col("place") <= most_children)
+    return first.select("rule", "place", *order).unionByName(shared.select("rule", "place", *order))
+
+
+def business_rules(df: DataFrame, *, measured: Column, weight: Column, height: Column, child: Column, gender: Column, dob: Column, year_level: Column | None = None, id_text: Column | None = None, as_of: str) -> DataFrame:
+    """(rule, n, pct, severity) for BR-01 to BR-09: one aggregate over rows, and one over counts by child for BR-04."""
+    tests = _rule_tests(measured, weight, height, gender, dob, year_level, id_text, as_of)
+    names = sorted([*tests, "BR-04"])
+    severities = {k: v for k, (_, v) in tests.items()} | {"BR-04": "WARNING"}
     rows = df.select(*[F.coalesce(c, F.lit(False)).alias(k) for k, (c, _) in tests.items()])
-    counts = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{k}`")).alias(k) for k in tests])
-    out = counts.select("rows", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"`{k}`").alias("n"), F.lit(s).alias("severity")) for k, (_, s) in tests.items()])).alias("v")).select("rows", "v.*")
+    own = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{k}`")).alias(k) for k in tests])
+    children = df.select(child.alias("c")).filter("c IS NOT NULL").groupBy("c").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("BR-04"))
+    both = own.unionByName(children, allowMissingColumns=True)
+    counts = both.agg(F.max("rows").alias("rows"), *[F.max(f"`{k}`").alias(k) for k in names])
+    out = counts.select("rows", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"`{k}`").alias("n"), F.lit(severities[k]).alias("severity")) for k in names])).alias("v")).select("rows", "v.*")
     severity = F.when((F.col("rule") == "BR-01") & (F.col("n") == F.col("rows")) & (F.col("rows") > 0), "CRITICAL").otherwise(F.col("severity"))
     return out.select("rule", "n", F.when(F.col("rule") == "BR-07", 0.0).otherwise(pct_of(F.col("n"), F.col("rows"))).alias("pct"), severity.alias("severity"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.identity import id_birth_date, id_gender, validate_id
 from ..functions.values import INCOMES, VACCINES, gender_cleaner, is_blank, parse_date, text, try_num
@@ -35,6 +34,12 @@ def with_id_check(df: DataFrame, columns: list[str], source: str, today: Column)
     ic = id_column(columns, source)
     if ic is None:
         return df
+    if source == "wide_multiyear":
+        # Numbers with several rows, counted before the shuffle and joined back; rows without a number are spread over tasks.
+        number = F.when(~is_blank(ic), F.trim(text(ic)))
+        several = df.select(number.alias("__number")).filter("__number IS NOT NULL").groupBy("__number").agg((F.count(F.lit(1)) > 1).alias("__same")).filter("__same").withColumn("__part", F.lit(0))
+        part = F.when(F.col("__number").isNull(), F.pmod(F.xxhash64("_row_id"), F.lit(64)).cast("int")).otherwise(0)
+        df = df.withColumn("__number", number).withColumn("__part", part).join(several, ["__number", "__part"], "left").drop("__number", "__part")
     return df.withColumn("__vid", validate_id(ic)).withColumn("__born", id_birth_date(F.col("__vid.cleaned"), today))
 
 
@@ -52,8 +57,7 @@ def rules(columns: list[str], source: str, ranges: dict, today: Column) -> list[
     add("review_future_measure_date", measured > today)
     ic = like("ic no passport", "no kp", "kad pengenalan", "passport")
     if source == "wide_multiyear" and ic is not None:
-        apart = F.when(is_blank(ic), F.xxhash64("raw"))  # rows without a number are not gathered in one task
-        add("review_duplicate_ic", ~is_blank(ic) & (F.count(F.lit(1)).over(Window.partitionBy(F.trim(text(ic)), apart)) > 1))
+        add("review_duplicate_ic", F.col("__same"))
         add("review_ic_gender_mismatch", id_gender(ic) != F.col("Gender"))
     if (name := like("nama", "name")) is not None:
         n = F.concat(F.lit(" "), F.lower(F.trim(text(name))), F.lit(" "))

@@ -159,8 +159,8 @@ SELECT unnest([CASE WHEN seen > DATE '1996-06-01' THEN 'review_future_measure_da
   CASE WHEN (weight > 40) <> (weight > 20) THEN 'review_indicator_class_mismatch' END]) AS code FROM e)
 SELECT code, count(*) AS n FROM x WHERE code IS NOT NULL GROUP BY code""")
 def review_flags(spark, d):
-    out = cleaning.clean(review_frame(spark, d), "wide_multiyear", roles={"gender": "gender", "dob": "dob", "date": "seen", "weight": "weight", "height": "height"}, as_of="1996-06-01")
-    return out.select(F.explode("review_codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    out = cleaning.clean(review_frame(spark, d), "wide_multiyear", roles={"gender": "gender", "dob": "dob", "date": "seen", "weight": "weight", "height": "height"}, as_of="1996-06-01", zscores=False)
+    return out.select(F.explode_outer("review_codes").alias("code")).filter("code IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {V}, {Z} SELECT negeri, gender, count(waz) AS n, count(baz) AS n_baz, round(avg(waz), 1) AS waz, round(avg(haz), 1) AS haz, round(avg(baz), 1) AS baz FROM c GROUP BY 1, 2")
@@ -312,13 +312,24 @@ NUM = ("l_quantity", "l_extendedprice", "l_discount")
 NUM_L = "l AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS \"column\", unnest([l_quantity, l_extendedprice, l_discount]) AS x FROM lineitem)"
 
 
-@query(f"""WITH {NUM_L}, s AS (SELECT "column", count(*) AS n, min(x) AS min, max(x) AS max, avg(x) AS mean, stddev_samp(x) AS std, skewness(x) AS skew, kurtosis(x) AS kurtosis, quantile_cont(x, 0.25) AS q1, median(x) AS median, quantile_cont(x, 0.75) AS q3 FROM l GROUP BY 1),
+@query(f"""WITH {NUM_L}, s AS (SELECT "column", count(*) AS n, min(x) AS min, max(x) AS max, avg(x) AS mean, stddev_samp(x) AS std, skewness(x) AS skew, kurtosis(x) AS kurtosis, quantile_cont(x, 0.05) AS p5, quantile_cont(x, 0.25) AS q1, median(x) AS median, quantile_cont(x, 0.75) AS q3, quantile_cont(x, 0.95) AS p95 FROM l GROUP BY 1),
 m AS (SELECT "column", min_by(x, (-c, x)) AS mode FROM (SELECT "column", x, count(*) AS c FROM l GROUP BY 1, 2) GROUP BY 1)
-SELECT s."column", n, min, max, round(mean, 4) AS mean, round(std, 4) AS std, round(skew, 4) AS skew, round(kurtosis, 4) AS kurtosis, q1, median, q3, mode, o.iqr_outliers, o.z_outliers, o.whisker_high FROM s JOIN m USING ("column") JOIN
-(SELECT "column", count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS iqr_outliers, count(*) FILTER (WHERE abs(x - mean) > 3 * std) AS z_outliers, max(x) FILTER (WHERE x <= q3 + 1.5 * (q3 - q1)) AS whisker_high FROM l JOIN s USING ("column") GROUP BY 1) o USING ("column")""")
+SELECT s."column", n, min, max, round(mean, 4) AS mean, round(std, 4) AS std, round(skew, 4) AS skew, round(kurtosis, 4) AS kurtosis, p5, q1, median, q3, p95, round(q3 - q1, 4) AS iqr, round(max - min, 4) AS range, mode, o.iqr_outliers, o.extreme_outliers, o.bio_outliers, o.z_outliers, o.whisker_low, o.whisker_high FROM s JOIN m USING ("column") JOIN
+(SELECT "column", count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS iqr_outliers, count(*) FILTER (WHERE x < q1 - 3 * (q3 - q1) OR x > q3 + 3 * (q3 - q1)) AS extreme_outliers, count(*) FILTER (WHERE "column" = 'l_quantity' AND x NOT BETWEEN 3 AND 45) AS bio_outliers, count(*) FILTER (WHERE abs(x - mean) > 3 * std) AS z_outliers, min(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(x) FILTER (WHERE x <= q3 + 1.5 * (q3 - q1)) AS whisker_high FROM l JOIN s USING ("column") GROUP BY 1) o USING ("column")""")
 def numerical_summary(spark, d):
-    out = profile.numerical_summary(table(spark, d, "lineitem"), list(NUM))
-    return out.select("column", "n", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "std", "skew", "kurtosis")], "q1", "median", "q3", "mode", "iqr_outliers", "z_outliers", "whisker_high")
+    out = profile.numerical_summary(table(spark, d, "lineitem"), list(NUM), {"l_quantity": (3, 45)})
+    rounded = [F.round(c, 4).alias(c) for c in ("mean", "std", "skew", "kurtosis", "iqr", "range")]
+    return out.select("column", "n", "min", "max", *rounded, "p5", "q1", "median", "q3", "p95", "mode", "iqr_outliers", "extreme_outliers", "bio_outliers", "z_outliers", "whisker_low", "whisker_high")
+
+
+WIDE_L = "l AS (SELECT unnest(['x1', 'x2']) AS \"column\", unnest([l_extendedprice * l_quantity, l_quantity * l_quantity * l_discount]) AS x FROM lineitem)"
+
+
+@query(f"""WITH {WIDE_L}, s AS (SELECT "column", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM l GROUP BY 1)
+SELECT "column", CAST(place AS INTEGER) AS place, round(x, 3) AS x FROM (SELECT "column", x, row_number() OVER (PARTITION BY "column" ORDER BY x) AS place FROM l JOIN s USING ("column") WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) WHERE place <= 50""")
+def numerical_outlier_points(spark, d):
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    return profile.outlier_points(table(spark, d, "lineitem").select((p * q).alias("x1"), (q * q * F.col("l_discount")).alias("x2")), ["x1", "x2"])
 
 
 @query("""WITH e AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem), x AS (SELECT least(CAST(floor((l_extendedprice - a) / ((b - a) / 20)) AS INTEGER) + 1, 20) AS bin, a, b FROM lineitem, e)
@@ -378,6 +389,21 @@ def business_rules(spark, d):
     return quality.business_rules(visits(spark, d), measured=F.col("seen"), weight=F.col("weight"), height=F.col("height"), child=F.col("child"), gender=F.col("gender"), dob=F.col("dob"), year_level=F.col("k2").cast("double"), as_of="1996-06-01")
 
 
+RULED = {"measured": "seen", "weight": "weight", "height": "height", "gender": "gender", "dob": "dob"}
+
+
+@query(f"""WITH {V}, g AS (SELECT k1, k2, k3, child, CASE WHEN k1 % 5 > 0 THEN seen END AS seen, CASE WHEN k1 % 7 > 0 THEN weight END AS weight, CASE WHEN k1 % 14 > 0 THEN height END AS height, gender, dob, k2 AS year_level FROM d),
+f AS (SELECT k1, k2, k3, unnest([CASE WHEN seen IS NULL THEN 'BR-01' END, CASE WHEN weight NOT BETWEEN 10 AND 125 THEN 'BR-02' END, CASE WHEN height NOT BETWEEN 50 AND 200 THEN 'BR-03' END, CASE WHEN gender = 'RAGU' THEN 'BR-05' END,
+CASE WHEN year_level NOT BETWEEN 1 AND 6 THEN 'BR-06' END, CASE WHEN weight IS NULL AND height IS NULL THEN 'BR-08' END, CASE WHEN seen < DATE '1976-01-01' OR seen > DATE '1996-12-31' OR dob < DATE '1976-01-01' OR dob > DATE '1996-12-31' THEN 'BR-09' END]) AS rule FROM g),
+p AS (SELECT rule, k1, k2, k3, row_number() OVER (PARTITION BY rule ORDER BY k1, k2, k3) AS place FROM f WHERE rule IS NOT NULL),
+c AS (SELECT 'BR-04' AS rule, k1, k2, k3, row_number() OVER (ORDER BY child, k1, k2, k3) AS place FROM (SELECT *, count(*) OVER (PARTITION BY child) AS n FROM g) WHERE n > 1)
+SELECT rule, CAST(place AS INTEGER) AS place, k1, k2, k3 FROM (SELECT * FROM p WHERE place <= 100 UNION ALL SELECT * FROM c WHERE place <= 1000)""")
+def business_rule_samples(spark, d):
+    g = visits(spark, d).withColumn("seen", F.when(F.col("k1") % 5 > 0, F.col("seen"))).withColumn("weight", F.when(F.col("k1") % 7 > 0, F.col("weight"))).withColumn("height", F.when(F.col("k1") % 14 > 0, F.col("height")))
+    return quality.rule_samples(g, ["k1", "k2", "k3"], child=F.col("child"), as_of="1996-06-01", year_level=F.col("k2") + F.when(F.col("k2") > 6, 1).otherwise(0), **{k: F.col(c) for k, c in RULED.items()})
+
+
+
 @query("SELECT count(*) AS n, count(*) - count(DISTINCT text) AS duplicates, round(100.0 * (count(*) - count(DISTINCT text)) / count(*), 2) AS pct FROM documents")
 def row_dup_pct(spark, d):
     return quality.duplicate_rows(table(spark, d, "documents"), ["text"])
