@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +28,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Folders that ``settle`` wrote and nobody has discarded yet.
-_settled: list[str] = []
+#: Folders that ``settle`` writes in a block of ``owning``, of this thread's block alone.
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owning() -> Iterator[list[str]]:
+    """The list of folders that ``settle`` writes in the block and nobody discards there. What they hold can be deleted by the block's owner."""
+    paths: list[str] = []
+    token = _owner.set(paths)
+    try:
+        yield paths
+    finally:
+        _owner.reset(token)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -38,7 +52,8 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _settled.append(path)
+    if (own := _owner.get()) is not None:
+        own.append(path)
     release(spark)
     settled = spark.read.schema(df.schema).parquet(path)
     settled.settled_path = path
@@ -56,27 +71,10 @@ def discard(df: DataFrame) -> None:
     remove_path(df.sparkSession, df.settled_path)
 
 
-def settled_since(mark: int) -> list[str]:
-    """Folders written after the first ``mark`` ones, and not discarded."""
-    return _settled[mark:]
-
-
-def mark() -> int:
-    return len(_settled)
-
-
-def sweep(spark: SparkSession, paths: list[str], but: list[str]) -> None:
-    """Delete ``paths``, apart from those in which one of the files ``but`` lies."""
-    for path in paths:
-        name = path.rsplit("/", 1)[-1]
-        if not any(f"/{name}/" in f for f in but):
-            remove_path(spark, path)
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's own file system layer."""
-    if path in _settled:
-        _settled.remove(path)
+    if (own := _owner.get()) is not None and path in own:
+        own.remove(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -121,3 +121,34 @@ def test_whole_run(spark, tmp_path, docs, nothing):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     nothing.write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stages_leave_each_other_alone(spark, docs):
+    """Results of a stage that are not written yet can still be read after other calls, and runs in two threads do not meet."""
+    one, two = (corpus_pipeline.quality_rules(spark, docs.filter(f"doc_id % 2 = {i}"), "") for i in (0, 1))
+    corpus_pipeline.exact_dedup(spark, docs, "")
+    assert one.count() + two.count() > 0
+
+
+def test_runs_in_threads(spark, tmp_path, docs):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for i in (0, 1):
+        docs.filter(f"doc_id % 2 = {i}").write.parquet(str(tmp_path / str(i) / "documents.parquet"))
+    alone = [sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path / str(i))).select("doc_id", "start", "length").collect())) for i in (0, 1)]
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda i: sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path / str(i))).select("doc_id", "start", "length").collect())), (0, 1)))
+    assert both == alone
+
+
+def test_only_what_the_block_wrote_is_its_own(spark):
+    from grovetable.llm.common import discard, owning, settle
+
+    before = settle(spark.range(3), "a")
+    with owning() as left:
+        kept, gone = settle(spark.range(4), "b"), settle(spark.range(5), "c")
+        discard(before)
+        discard(gone)
+        assert left == [kept.settled_path]
+    settle(spark.range(2), "d")
+    assert left == [kept.settled_path] and kept.count() == 4
