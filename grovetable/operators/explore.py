@@ -97,14 +97,3 @@ def select_rows(df: DataFrame, flagged: bool = False, analyzable: bool = False,
     if analyzable:
         keep.append(F.col("analyzable"))
     return search(df.filter(reduce(lambda a, b: a & b, keep)), query)
-
-
-def ask_sql(df: DataFrame, sql: str, rows: int = 20) -> DataFrame:
-    """One SELECT over the view ``df``, at most ``rows`` rows. Anything that is not a single SELECT is refused."""
-    import re
-
-    plain = re.sub(r"'(?:[^']|'')*'", "''", sql)
-    if not re.match(r"\s*(select|with)\b", plain, re.I) or ";" in plain or re.search(r"\b(insert|update|delete|drop|create|alter|merge|load|reflect|java_method)\b", plain, re.I):
-        raise ValueError("only a single SELECT is allowed")
-    df.createOrReplaceTempView("df")
-    return df.sparkSession.sql(sql).limit(rows)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovetable.functions import growth, identity, values
-from grovetable.operators import anomaly, cleaning, explore, indicators, joins, linkage, profile, quality, reshape, risk, trend
+from grovetable.operators import anomaly, ask, cleaning, explore, indicators, joins, linkage, profile, quality, reshape, risk, trend
 from grovetable.plans import binder, ranges, rules
 from grovetable.sources import tables, xlsx
 from grovetable.streaming import arrivals
@@ -163,7 +163,7 @@ def test_profile_helpers(spark):
     assert profile.scatter_sample(df, "n", "id", "id", 7).count() == 7
     assert explore.search(df, "A").count() == 25 and explore.page(df, "n", limit=3, key="id").count() == 3
     with pytest.raises(ValueError):
-        explore.ask_sql(df, "DROP TABLE x")
+        ask.ask_sql(df, "DROP TABLE x")
     flagged = anomaly.anomaly_flags(frame(spark, [(float(i % 7),) for i in range(99)] + [(500.0,)], "x double"), ["x"])
     assert flagged.filter("is_anomaly").count() >= 1 and flagged.filter("x = 500 AND is_anomaly").count() == 1
     filled = quality.fill_nulls(frame(spark, [(None, None)], "a string, b string"), ["a"], ["b"]).first()
