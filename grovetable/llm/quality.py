@@ -7,7 +7,8 @@ replace fixed cutoffs; documents meet their group's fences in a join.
 
 The length of words has fences on both sides, in interquartile ranges beyond the quartiles. The
 other measures are zero for most documents, so that quartiles say nothing; their fence is a high
-quantile among the group's plain documents, those with ordinary words, and some slack.
+quantile among the group's plain documents, those with ordinary words, and some slack. Where plain documents hold
+none at all that fence is zero; so a single occurrence, as ALLOWED counts it, is never held against a document.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MEASURES = (LENGTH, *SHARES)
 REACH, PLAIN = 4.0, 1.0
 #: The share of plain documents within a fence of the other measures, and its factor.
 TAIL, SLACK = 0.998, 1.25
+#: Counts that are set off before a share meets its fence, with the whole of the share: two symbols, a line, an 8-word window found twice.
+ALLOWED = {"symbol_share": ("n_symbols", 2, "word_chars"), "dup_line_share": ("n_dup_lines", 1, "n_lines"), "repeat_share": ("n_repeat_words", 2 * WINDOW, "n_words")}
 OWN = "__quality"
 
 
@@ -171,9 +174,10 @@ def learn_fences(features: DataFrame, name: str = OWN, reach: float = REACH, lea
 def judge(features: DataFrame, limits: DataFrame, verdict: str = "kept", name: str = OWN) -> DataFrame:
     """Add ``verdict``: false where the base rules fail or a measure lies beyond its group's fences."""
     joined = features.join(limits, [LANG, SOURCE], "left")
-    fine = F.col(f"{name}.{LENGTH}") >= F.col(f"__q_{LENGTH}_low")
-    for m in MEASURES:
-        fine = fine & F.coalesce(F.col(f"{name}.{m}") <= F.col(f"__q_{m}_high"), F.lit(True))
+    fine = F.col(f"{name}.{LENGTH}").between(F.col(f"__q_{LENGTH}_low"), F.col(f"__q_{LENGTH}_high"))
+    for m, (count, allowed, whole) in ALLOWED.items():
+        over = F.expr(f"greatest({name}.{count} - {allowed}, 0) * 10000 div greatest({name}.{whole}, 1)")
+        fine = fine & F.coalesce(over <= F.col(f"__q_{m}_high"), F.lit(True))
     return joined.withColumn(verdict, ~F.col(f"{name}.base_failed") & F.coalesce(fine, F.lit(True)))
 
 

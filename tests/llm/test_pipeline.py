@@ -15,6 +15,13 @@ def measures(text):
     return (chars * 1000 // max(n, 1), symbols * 10_000 // max(chars, 1), dups * 10_000 // max(len(lines), 1), repeats * 10_000 // max(n, 1)), failed
 
 
+def beyond(text):
+    """The shares that meet fences: without two symbols, a repeated line, a window found twice."""
+    n, chars, symbols, dups, repeats, _ = R.quality_counts(text)
+    lines = [x for x in (text or "").split("\n") if R.words(x)]
+    return max(symbols - 2, 0) * 10_000 // max(chars, 1), max(dups - 1, 0) * 10_000 // max(len(lines), 1), max(repeats - 16, 0) * 10_000 // max(n, 1)
+
+
 def bucket(v):
     power = (v + 1).bit_length() - 1
     return power * 32 + (v + 1 - (1 << power)) * 32 // (1 << power)
@@ -41,7 +48,7 @@ def good(rows):
     q1, q3 = (quantile([m[0] for m in fine], s) for s in (0.25, 0.75))
     plain = [m for m in fine if q1 - (q3 - q1) <= m[0] <= q3 + (q3 - q1)]
     high = [1.25 * quantile([m[i] for m in plain], 0.998) for i in (1, 2, 3)]
-    return [r for r, (m, failed) in zip(rows, own) if not failed and q1 - 4 * (q3 - q1) <= m[0] <= q3 + 4 * (q3 - q1) and all(m[i + 1] <= h for i, h in enumerate(high))]
+    return [r for r, (m, failed) in zip(rows, own) if not failed and q1 - 4 * (q3 - q1) <= m[0] <= q3 + 4 * (q3 - q1) and all(x <= h for x, h in zip(beyond(r[1]), high))]
 
 
 def similar(rows):
