@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import growth, identity, values
-from ..operators import anomaly, cleaning, explore, indicators, joins, linkage, profile, quality, reshape, risk, trend
+from ..operators import anomaly, cleaning, explore, forest, indicators, joins, linkage, profile, quality, reshape, risk, trend
 from . import ranges, rules
 
 QUERIES: dict = {}
@@ -582,6 +582,14 @@ def spelling_check(spark, d):
 
 
 @query()
+def anomaly_forest(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), "l_quantity", "l_extendedprice", "l_discount")
+    return forest.isolation_flags(rows, ["l_quantity", "l_extendedprice", "l_discount"], "row")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS p FROM lineitem), m AS (SELECT median(q) AS mq, median(p) AS mp FROM l), g AS (SELECT median(abs(q - mq)) AS gq, median(abs(p - mp)) AS gp FROM l, m),
+s AS (SELECT l_orderkey, l_linenumber, q AS l_quantity, p AS l_extendedprice, greatest(abs(q - mq) / (1.4826 * gq), abs(p - mp) / (1.4826 * gp)) AS anomaly_score FROM l, m, g), c AS (SELECT quantile_cont(anomaly_score, 0.95) AS cut FROM s)
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, anomaly_score, anomaly_score > cut AS is_anomaly FROM s, c""")
 def anomaly_flags(spark, d):
     return anomaly.anomaly_flags(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"])
 
