@@ -125,8 +125,7 @@ def lead_clusters(nodes: DataFrame, links: DataFrame, settle) -> DataFrame:
     more than ONE_TASK links take further rounds. Every step is settled, so lineage stays short.
     """
     state = settle(nodes.select("node", "first", F.when(F.lit(False), "").alias("role"), F.when(F.lit(False), F.col("node")).alias("leader")))
-    kind = dict(state.dtypes)["node"]
-    rounds = 0
+    links, kind, rounds = settle(links), dict(state.dtypes)["node"], 0
     while True:
         live = links.join(state.select(F.col("node").alias("a"), F.col("role").alias("a_role")), "a").filter("a_role IS NULL OR a_role = 'leads'")
         if rounds == ROUNDS:
@@ -196,7 +195,7 @@ def link_records(records: DataFrame, id_edits: int = 1, dob_days: int = 1, name_
     near = dated.filter("late = 1").withColumn("on", F.explode(F.sequence(F.date_sub("bdate", dob_days), F.date_add("bdate", dob_days))))
     pairs = near.alias("r").join(dated.alias("l"), F.expr("l.on = r.on AND (l.late < r.late OR (l.late = r.late AND l.node < r.node))"))
     pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.name").alias("an"), F.col("r.name").alias("bn"), F.col("l.late").alias("al"))
-    alike = shared_scratch(pairs.withColumn("s", name_similarity(F.col("an"), F.col("bn"))).filter(F.col("s") >= name_cut).select("a", "b", F.struct(F.col("al"), F.col("a")).alias("a_first"), F.struct(F.lit(1).alias("al"), F.col("b").alias("a")).alias("b_first")))
+    alike = pairs.withColumn("s", name_similarity(F.col("an"), F.col("bn"))).filter(F.col("s") >= name_cut).select("a", "b", F.struct(F.col("al"), F.col("a")).alias("a_first"), F.struct(F.lit(1).alias("al"), F.col("b").alias("a")).alias("b_first"))
     nodes = members.select("node", F.struct(F.col("late").alias("al"), F.col("node").alias("a")).alias("first"))
     late = lead_clusters(nodes, alike, shared_scratch)
     fourth = rest.select("row").join(late, F.col("row") == F.col("node")).withColumn("own", F.col("leader") == F.col("row"))
