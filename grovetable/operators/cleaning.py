@@ -14,6 +14,7 @@ from ..plans.binder import find_col
 from ..plans.rules import DROP_RULES, Rule, codes, joined, review_on, rule_on
 from . import review
 from .quantiles import percentiles
+from .rows import in_file_order
 
 #: Header patterns of each role.
 ROLES = {
@@ -50,8 +51,14 @@ class Binding:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Add ``_row_id`` in file order, once; a frame that has one keeps it."""
-    return df if "_row_id" in df.columns else df.withColumn("_row_id", F.monotonically_increasing_id())
+    """Add ``_row_id``, once; a frame that has one keeps it. Rows from Parquet are numbered in file order, whatever the splits.
+
+    Other frames take the order of their partitions; ``rows.number_rows``, which writes them once, gives theirs a lasting order.
+    """
+    if "_row_id" in df.columns:
+        return df
+    placed = in_file_order(df)
+    return placed if placed is not None else df.withColumn("_row_id", F.monotonically_increasing_id())
 
 
 def _prepared(df: DataFrame, b: Binding) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import null_sentinels, parse_date
+from .rows import number_rows
 
 
 def equi_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = True) -> DataFrame:
@@ -70,13 +71,16 @@ def keep_latest(df: DataFrame, key: Column, at: Column, tie: Column) -> DataFram
 def merge_files(tables: list[DataFrame], key: str, date: str) -> tuple[DataFrame, DataFrame]:
     """Put files with the same headers together: latest date per id, blanks to null, rows with any null out.
 
-    Returns the rows, in file and row order by ``_order``, and one row of statistics.
+    Returns the rows, in file and row order by ``_order``, and one row of statistics. Of one id's rows with the same date the first
+    in that order stays, however Spark splits the files.
     """
+    from .linkage import shared_scratch
+
     first = tables[0].columns
     for t in tables[1:]:
         if t.columns != first:
             raise ValueError(f"headers differ: {sorted(set(t.columns) ^ set(first)) or 'their order'}")
-    numbered = reduce(DataFrame.unionByName, [t.withColumn("_order", F.lit(i).cast("long") * (1 << 50) + F.monotonically_increasing_id()) for i, t in enumerate(tables)])
+    numbered = reduce(DataFrame.unionByName, [number_rows(t, shared_scratch, "_order").withColumn("_order", F.lit(i).cast("long") * (1 << 50) + F.col("_order")) for i, t in enumerate(tables)])
     latest = keep_latest(numbered, F.col(key), parse_date(F.col(date), "day_first"), F.col("_order"))
     clean = null_sentinels(latest)
     whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in first])
