@@ -39,8 +39,59 @@ def union_tables(tables: list[DataFrame], distinct: bool = False) -> DataFrame:
     return out.dropDuplicates() if distinct else out
 
 
-def joined_source(left: str, right: str) -> str:
-    return left if left == right else "joined"
+def joined_source(left: str | None, right: str | None) -> str:
+    """The source type of a join: that of both sides if they agree on one."""
+    return left if left and left == right else "joined"
+
+
+#: Ways to put two tables together.
+WAYS = ("inner", "left", "right", "outer", "union")
+
+
+def join_tables(left: DataFrame, right: DataFrame, how: str, keys: list[str] | None = None, distinct: bool = False) -> DataFrame:
+    """Two tables side by side on ``keys``, or one under the other for ``union``; keys that a side lacks are refused."""
+    if how not in WAYS:
+        raise ValueError(f"{how!r} is none of {WAYS}")
+    if how == "union":
+        return union_tables([left, right], distinct)
+    if not keys:
+        raise ValueError("a join needs key columns")
+    for side, df in (("left", left), ("right", right)):
+        if missing := [k for k in keys if k not in df.columns]:
+            raise ValueError(f"the {side} table has no {missing}")
+    return equi_join(left, right, keys, how)
+
+
+def join_counts(left: DataFrame, right: DataFrame, how: str, keys: list[str]) -> DataFrame:
+    """One row: left_rows, right_rows, result_rows of a join, and how many values of the first key meet.
+
+    Rows are counted by key before they meet, and products of counts are summed, so a frequent key costs no more than a rare one.
+    """
+    def per(df: DataFrame, n: str) -> DataFrame:
+        k = F.struct(*[x for c in keys for x in (F.col(c).isNull().alias(f"n_{c}"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"v_{c}"))])
+        return df.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias(n))
+
+    both = per(left, "l").join(per(right, "r"), "k", "outer")
+    alone = {"inner": F.lit(0), "left": F.col("l"), "right": F.col("r"), "outer": F.coalesce("l", "r")}[how]
+    made = F.coalesce(F.col("l") * F.col("r"), alone, F.lit(0))
+    rows = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("left_rows", F.col("l")), ("right_rows", F.col("r")), ("result_rows", made))])
+    return rows.crossJoin(key_overlap(left, right, keys[0]))  # one row each
+
+
+def join_stats(left: DataFrame, right: DataFrame, how: str, keys: list[str] | None = None, distinct: bool = False) -> dict:
+    """What a join or union does to the rows, without making it: keys that meet and rows for a join, rows and repeats taken out for a union."""
+    if how != "union":
+        r = join_counts(left, right, how, keys).first()
+        return {"matched_keys": r["matched"], "left_only_keys": r["left_only"], "right_only_keys": r["right_only"], "result_rows": r["result_rows"], "left_rows": r["left_rows"], "right_rows": r["right_rows"]}
+    n = [left.count(), right.count()]
+    kept = union_tables([left, right], True).count() if distinct else sum(n)
+    return {"left_rows": n[0], "right_rows": n[1], "result_rows": kept, "duplicates_removed": sum(n) - kept}
+
+
+def join_preview(left: DataFrame, right: DataFrame, how: str, keys: list[str] | None = None, distinct: bool = False, rows: int = 50) -> dict:
+    """The first rows of a join or union, its columns and those of both sides, and ``join_stats``."""
+    out = join_tables(left, right, how, keys, distinct)
+    return {"preview": [r.asDict() for r in out.limit(rows).collect()], "columns": out.columns, "left_columns": left.columns, "right_columns": right.columns, "stats": join_stats(left, right, how, keys, distinct)}
 
 
 def latest_results(sessions: DataFrame, results: DataFrame) -> DataFrame:

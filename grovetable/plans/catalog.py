@@ -468,6 +468,15 @@ def union_dedup(spark, d):
     return joins.union_tables([table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))], True)
 
 
+@query("""WITH l AS (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1)
+SELECT coalesce(sum(l.n), 0) AS left_rows, coalesce(sum(r.n), 0) AS right_rows, sum(coalesce(l.n * r.n, l.n, r.n)) AS result_rows,
+  count(*) FILTER (l.n IS NOT NULL AND r.n IS NOT NULL) AS matched, count(*) FILTER (r.n IS NULL) AS left_only, count(*) FILTER (l.n IS NULL) AS right_only FROM l FULL JOIN r ON l.k = r.k""")
+def join_preview_counts(spark, d):
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    visits_ = table(spark, d, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    return joins.join_counts(people, visits_, "outer", ["k"])
+
+
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%d/%m/%Y') AS dose, nullif(o_orderpriority, '5-LOW') AS p, o_orderkey % 2 AS f, o_orderdate FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS r FROM o)
 SELECT o_orderkey, o_custkey, dose, p FROM k WHERE r = 1 AND p IS NOT NULL""")
 def merge_dedup_latest(spark, d):
