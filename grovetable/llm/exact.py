@@ -3,7 +3,8 @@
 A Misra-Gries style frequent-items sketch over the texts' digests names every digest that is
 frequent enough to load one task. Their exact counts and winners are looked up, which makes a
 table bounded by the sketch's size, and rows of these digests are settled where they are read
-against that broadcast table. All other digests meet in an ordinary shuffle.
+against that broadcast table. All other digests are counted before an ordinary shuffle and joined
+back, so a text that just missed the table is a join key of many rows, which Spark may split.
 """
 
 from __future__ import annotations
@@ -30,26 +31,29 @@ def frequent_winners(digests: DataFrame, frequent: int = FREQUENT, tracked: int
     )
 
 
-def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT, tracked: int = TRACKED) -> DataFrame:
+def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT, tracked: int = TRACKED, carry: bool = True) -> DataFrame:
     """Add keep_id, group_size, kept and text_sha256 to every row of ``docs``.
 
     Texts are equal when identical after no change; null counts as empty. Of equal texts the
     row with the largest id stays (a null id is the least); if rows repeat that id too, one of them
-    stays. Input columns with the added names are replaced, others carried along; an empty table stays empty.
+    stays. Input columns with the added names are replaced, others carried along, or left out but for the id
+    without ``carry``, so that no text is written; an empty table stays empty.
     """
     numbered = (
         docs.drop("keep_id", "group_size", "kept", "text_sha256")
         .withColumn("text_sha256", F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"), 256))
         .withColumn("__row", F.monotonically_increasing_id())
     )
+    if not carry:
+        numbered = numbered.select(id_column, "text_sha256", "__row")
     # Row numbers depend on how the input is split, so they are written with their rows and never worked out again.
     rows = settle(numbered, "exact-rows")
     winners = frequent_winners(rows.select("text_sha256", F.struct(F.col(id_column).alias("id"), F.col("__row").alias("r")).alias("w")), frequent, tracked)
     split = rows.join(F.broadcast(winners), "text_sha256", "left")  # at most `frequent` rows
     hot = split.filter(F.col("__n").isNotNull())
-    alike = Window.partitionBy("text_sha256")
     own = F.struct(F.col(id_column).alias("id"), F.col("__row").alias("r"))
-    cold = split.filter(F.col("__n").isNull()).withColumn("__n", F.count(F.lit(1)).over(alike)).withColumn("__w", F.max(own).over(alike))
+    rest = split.filter(F.col("__n").isNull()).drop("__n", "__w")
+    cold = rest.join(rest.groupBy("text_sha256").agg(F.max(own).alias("__w"), F.count(F.lit(1)).alias("__n")), "text_sha256")
     both = hot.unionByName(cold)
     return (
         both.withColumn("keep_id", F.col("__w.id")).withColumn("group_size", F.col("__n").cast("long")).withColumn("kept", F.col("__w.r") == F.col("__row"))

@@ -41,7 +41,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact.exact_groups(table(spark, sf_dir, "documents"))
+    groups = exact.exact_groups(table(spark, sf_dir, "documents"), carry=False)
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
