@@ -5,6 +5,7 @@ lengths, each twice a template size class and moved by half, are min-hashed; a w
 shares a band with a template is a candidate, and the share of the template's shingles that
 the window holds decides. A window can share a band only if it holds the shingle that is the
 template's minimum there, so texts and windows without any such shingle are left out first.
+Templates shorter than a shingle are looked up by their words among the runs of as many words.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ CONTAINMENT = 0.8
 #: a whole template has 0.25 at least and 0.0001.
 BANDS = 32
 
-#: The minima of all templates become constants of the plan, 32 for each.
-MOST_TEMPLATES = 400
+#: So many minima, 32 for each template, become constants of the plan; more of them are a table that texts are joined with.
+CONSTANTS = 12_800
+
 
 def plain_words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
@@ -47,40 +49,68 @@ def band_minima(hashes: Column, bands: int = BANDS, seed: int = 5) -> Column:
 
 
 def template_table(spark: SparkSession, templates) -> DataFrame:
+    """license_id and words of every template, from (id, text) pairs or a table (license_id, template)."""
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame([(str(a), str(b)) for a, b in templates], "license_id string, template string")
+    return templates.select(F.col("license_id").cast("string").alias("license_id"), plain_words(F.col("template")).alias("words")).filter(F.size("words") > 0)
+
+
+def with_class(table: DataFrame) -> DataFrame:
     """license_id, its shingles and its size class: the power of two at or above its number of shingles."""
-    t = spark.createDataFrame([(str(a), str(b)) for a, b in templates], "license_id string, template string")
-    t = t.withColumn("words", plain_words(F.col("template"))).withColumn("t", F.array_distinct(shingle_hashes("words"))).drop("words").filter(F.size("t") > 0)
+    t = table.withColumn("t", F.array_distinct(shingle_hashes("words"))).drop("words")
     return t.withColumn("class", F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int"))
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
+def holding(rows: DataFrame, keys: list[str], hashes: str, minima: DataFrame, constants: int) -> DataFrame:
+    """The rows of which the array ``hashes`` holds one of ``minima`` (shingle), which has no repeats. ``keys`` tell the rows apart."""
+    known = minima.limit(constants + 1).collect()  # bounded
+    if len(known) <= constants:
+        return rows.filter(F.arrays_overlap(hashes, F.array(*[F.lit(r[0]) for r in known])))
+    met = rows.select(*keys, F.explode(hashes).alias("shingle")).join(minima, "shingle", "left_semi").select(*keys).distinct()
+    return rows.join(met, keys)
+
+
+def scan_short(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, license_id, containment, first_word, last_word) of templates under SHINGLE words: the first run of the same words in each document."""
+    lengths = sorted(r[0] for r in table.select(F.size("words")).distinct().collect())  # SHINGLE - 1 at most
+    w = docs.select("doc_id", plain_words(F.col("text")).alias("w"))
+    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, n), " ").alias("run"))))
+    runs = w.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(*[run(n) for n in lengths])))).alias("r")).select("doc_id", "r.*")
+    named = table.select("license_id", F.size("words").alias("n"), F.array_join("words", " ").alias("run"))
+    first = runs.join(named, "run").groupBy("doc_id", "license_id", "n").agg(F.min("at").alias("first_word"))
+    return first.select("doc_id", "license_id", F.lit(1.0).alias("containment"), "first_word", (F.col("first_word") + F.col("n") - 1).alias("last_word"))
+
+
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, bands: int = BANDS, constants: int = CONSTANTS) -> DataFrame:
     """(doc_id, license_id, containment, first_word, last_word) of every template found in ``docs`` (doc_id, text), best window each.
 
-    ``templates`` is a list of up to MOST_TEMPLATES (id, text). Word places count plain words from 0.
-    Null and empty texts hold nothing; a text or template shorter than a shingle is compared whole;
+    ``templates`` is a list of any number of (id, text), or a table (license_id, template). Word places count plain words from 0.
+    Null and empty texts and templates hold nothing; a template shorter than a shingle is found where its words follow each other;
     rows that repeat a doc_id give one result together; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    templates = list(templates)
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates in one scan")
-    table = template_table(spark, templates)
+    everything = template_table(spark, templates)
+    short, table = everything.filter(F.size("words") < SHINGLE), with_class(everything.filter(F.size("words") >= SHINGLE))
+    none = docs.limit(0).select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
+    brief = none if short.isEmpty() else scan_short(docs, short)
     banded = settle(table.select("license_id", "class", F.posexplode(band_minima(F.col("t"), bands)).alias("band", "m")).select("license_id", "class", "band", "m.value", "m.shingle"), "license-bands")
-    minima = [F.lit(r[0]) for r in banded.select("shingle").distinct().collect()]  # at most `bands` for each template
-    classes = sorted({r["class"] for r in table.select("class").distinct().collect()})
-    if not minima:
-        return docs.limit(0).select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
+    minima = banded.select("shingle").distinct()
+    classes = sorted({r["class"] for r in banded.select("class").distinct().collect()})  # powers of two
+    if not classes:
+        return brief
 
     # The row number is not deterministic, so the filter is not pushed below and shingles are hashed once.
     own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), plain_words(F.col("text")).alias("words")).select("doc_id", "row", shingle_hashes("words").alias("s"))
-    shared = settle(own.filter(F.arrays_overlap("s", F.array(*minima))), "license-shared")
+    few = minima.limit(constants + 1).count() <= constants
+    numbered = own if few else settle(own, "license-shingles")  # rows that are joined by their number need a lasting one
+    shared = settle(holding(numbered, ["row"], "s", minima, constants), "license-shared")
 
     def windows_of(c: int) -> Column:
         last = F.greatest(F.lit(0), F.ceil(F.size("s") / F.lit(c)).cast("int") - 2)
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.lit(c).alias("class"), (i * c).alias("at"), F.slice("s", i * c + 1, 2 * c).alias("w")))
 
     windows = shared.select("doc_id", "row", F.explode(F.flatten(F.array(*[windows_of(c) for c in classes]))).alias("x")).select("doc_id", "row", "x.*")
-    windows = settle(windows.filter(F.arrays_overlap("w", F.array(*minima))), "license-windows")
+    windows = settle(holding(windows, ["row", "class", "at"], "w", minima, constants), "license-windows")
     keys = windows.select("row", "class", "at", F.posexplode(F.transform(band_minima(F.col("w"), bands), lambda m: m["value"])).alias("band", "value"))
     met = keys.join(banded.drop("shingle"), ["class", "band", "value"]).select("row", "class", "at", "license_id").distinct()
     met = met.join(windows, ["row", "class", "at"]).join(table.select("license_id", "t"), "license_id")
@@ -91,6 +121,6 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
     )
     best = F.max_by(F.struct("containment", "first_word", "last_word"), F.struct("containment", -F.col("first_word"), -F.col("last_word")))
     found = settle(spans.groupBy("doc_id", "license_id").agg(best.alias("m")), "license-found")
-    for done in (banded, shared, windows):
+    for done in (banded, shared, windows, *([] if few else [numbered])):
         discard(done)
-    return found.select("doc_id", "license_id", "m.containment", "m.first_word", "m.last_word")
+    return found.select("doc_id", "license_id", "m.containment", "m.first_word", "m.last_word").unionByName(brief)
