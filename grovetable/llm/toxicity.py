@@ -21,8 +21,12 @@ BUCKETS = 1 << 18
 SAMPLE = 12_000
 #: Words seen in fewer sampled documents carry no weight.
 LEAST_DOCUMENTS = 6
-#: Standard errors that a word's log odds must be from zero to carry a weight.
+#: Standard errors that a word's log odds must be from zero to carry a weight under the plain penalty.
 SURE = 2.5
+#: Words between UNSURE and SURE standard errors carry a weight that is held HEAVY times as hard.
+UNSURE, HEAVY = 1.5, 10.0
+#: How far toxic rows are brought to count as much as clean ones: 0 a row is a row, 1 both kinds count the same.
+EVEN = 1.0
 #: Words known to a scoring task before it starts anew.
 REMEMBERED = 400_000
 
@@ -70,11 +74,12 @@ def log_odds(hit, flat, owner, seen):
     return np.log(a / c) - np.log(b / d), np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
 
 
-def fit_ordinal(rows: list[tuple[int, list[int]]], grades: int, least: int = LEAST_DOCUMENTS, rounds: int = 300, penalty: float = 3e-4, rate: float = 0.1, sure: float = SURE) -> OrdinalModel:
-    """Fit by full-batch Adam on the mean negative log likelihood. ``rows`` has (grade, features).
+def fit_ordinal(rows: list[tuple[int, list[int]]], grades: int, least: int = LEAST_DOCUMENTS, rounds: int = 300, penalty: float = 3e-4, rate: float = 0.1, sure: float = SURE, even: float = EVEN, unsure: float = UNSURE) -> OrdinalModel:
+    """Fit by full-batch Adam on the mean negative log likelihood and half the penalty times the squared weights. ``rows`` has (grade, features).
 
     Features carry a weight if at least ``least`` rows have them, no more than half of all do, and they tell
-    grade 0 from the others by ``sure`` standard errors of their log odds.
+    grade 0 from the others by ``unsure`` standard errors of their log odds; below ``sure`` the penalty is HEAVY times
+    as large. Rows of grade 0 and all others are weighed by the inverse of their share to the power of ``even``.
     """
     import numpy as np
 
@@ -85,12 +90,16 @@ def fit_ordinal(rows: list[tuple[int, list[int]]], grades: int, least: int = LEA
     owner = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
     seen = np.bincount(flat, minlength=BUCKETS)
     odds, error = log_odds(y > 0, flat, owner, seen)
-    used = np.flatnonzero((seen >= least) & (seen <= 0.5 * len(rows)) & (np.abs(odds) >= sure * error))
+    clear = np.abs(odds) / error
+    used = np.flatnonzero((seen >= least) & (seen <= 0.5 * len(rows)) & (clear >= unsure))
+    ridge = penalty * np.where(clear[used] >= sure, 1.0, HEAVY)
     index = np.full(BUCKETS, -1)
     index[used] = np.arange(len(used))
     keep = index[flat] >= 0
     cols, owner = index[flat][keep], owner[keep]
-    share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / len(y), 1e-3, 1 - 1e-3)
+    part = np.where(y > 0, (y > 0).mean(), (y == 0).mean()) ** -even
+    part = part / part.sum()  # what a row counts
+    share = np.clip(np.cumsum(np.bincount(y, weights=part, minlength=grades))[:-1], 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
     # Thresholds are the first one plus sums of exp(gap): in order whatever the step.
     gaps = np.log(np.maximum(np.diff(first), 1e-2))
@@ -103,11 +112,11 @@ def fit_ordinal(rows: list[tuple[int, list[int]]], grades: int, least: int = LEA
         up = np.where(y < grades - 1, sig(np.append(t, 0.0)[np.minimum(y, grades - 2)] - s), 1.0)
         lo = np.where(y > 0, sig(t[np.maximum(y - 1, 0)] - s), 0.0)
         q = np.maximum(up - lo, 1e-9)
-        d_up, d_lo = np.where(y < grades - 1, up * (1 - up), 0.0) / q, np.where(y > 0, lo * (1 - lo), 0.0) / q
+        d_up, d_lo = part * np.where(y < grades - 1, up * (1 - up), 0.0) / q, part * np.where(y > 0, lo * (1 - lo), 0.0) / q
         d_t = np.zeros(grades - 1)
         np.add.at(d_t, np.minimum(y, grades - 2), -d_up * (y < grades - 1))
         np.add.at(d_t, np.maximum(y - 1, 0), d_lo * (y > 0))
-        g = np.concatenate([np.bincount(cols, weights=(d_up - d_lo)[owner], minlength=len(used)) / len(rows) + penalty * w, [d_t.sum() / len(rows)], np.exp(p[len(used) + 1 :]) * np.cumsum(d_t[::-1])[::-1][1:] / len(rows)])
+        g = np.concatenate([np.bincount(cols, weights=(d_up - d_lo)[owner], minlength=len(used)) + ridge * w, [d_t.sum()], np.exp(p[len(used) + 1 :]) * np.cumsum(d_t[::-1])[::-1][1:]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     w, t = p[: len(used)], np.cumsum(np.concatenate([p[len(used) : len(used) + 1], np.exp(p[len(used) + 1 :])]))
