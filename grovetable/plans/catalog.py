@@ -109,6 +109,38 @@ def clean_run_stats(spark, d):
     return cleaning.run_stats(cleaning.clean(visits(spark, d), "school_age", roles=ROLES, as_of="1997-01-01", enabled=on)).select("original_count", "final_count", "total_dropped")
 
 
+def pupils(spark, d):
+    """Visits with a lasting order of rows, some without a pupil's number or a weight."""
+    v = visits(spark, d)
+    number = F.when(F.col("child") % 10 != 0, F.concat(F.lit("P"), F.pmod(F.col("child") * 7 + F.col("k2") * F.col("k1"), F.lit(5000))))
+    return v.withColumn("_row_id", F.struct("k1", "k2", "k3")).withColumn("child", number).withColumn("weight", F.nullif("weight", F.lit(27.0)))
+
+
+PUPILS = f"""{V}, p AS (SELECT * REPLACE (CASE WHEN child % 10 <> 0 THEN 'P' || (child * 7 + k2 * k1) % 5000 END AS child, nullif(weight, 27) AS weight) FROM d),
+u AS (SELECT *, list_filter([CASE WHEN gender = 'RAGU' THEN 'dropped_ragu_gender' END, CASE WHEN gender = 'RAGU' THEN 'dropped_invalid_gender' END, CASE WHEN row_number() OVER (PARTITION BY child ORDER BY k1, k2, k3) > 1 THEN 'dropped_duplicate_id' END,
+  CASE WHEN seen > DATE '1997-01-01' OR seen < dob THEN 'dropped_invalid_date' END, CASE WHEN round_even(days / 365.25, 1) NOT BETWEEN 5 AND 10 THEN 'dropped_age_invalid' END,
+  CASE WHEN weight NOT BETWEEN 12 AND 50 OR height NOT BETWEEN 100 AND 160 THEN 'dropped_measurement_outlier' END, CASE WHEN weight IS NULL THEN 'dropped_no_bmi' END], lambda c: c IS NOT NULL) AS codes FROM p)"""
+
+
+@query(f"WITH {PUPILS} SELECT k1, k2, k3, len(codes) = 0 AS analyzable, array_to_string(codes, '; ') AS exclude_reason FROM u")
+def clean_school_all_rules(spark, d):
+    """All rules of the school profile, the first row of every pupil's number kept."""
+    return cleaning.clean(pupils(spark, d), "school_age", roles=ROLES, as_of="1997-01-01").select(*keys(), "analyzable", "exclude_reason")
+
+
+@query(f"""WITH {PUPILS}, f AS (SELECT codes[1] AS first, unnest(codes) AS rule FROM u) SELECT rule, count(*) FILTER (WHERE rule = first) AS n_first, count(*) AS n_any FROM f GROUP BY rule""")
+def clean_preview_rules(spark, d):
+    return cleaning.preview_rules(pupils(spark, d), "school_age", roles=ROLES, as_of="1997-01-01")
+
+
+@query(f"""WITH {PUPILS}, f AS (SELECT codes[1] AS rule, count(*) AS n FROM u GROUP BY 1), o(place, rule, label, locked) AS (VALUES (0, 'dropped_ragu_gender', 'Doubtful gender', false), (1, 'dropped_invalid_gender', 'Unknown gender', false), (2, 'dropped_duplicate_id', 'Repeated student number', false),
+(3, 'dropped_invalid_date', 'Measurement date out of range', false), (4, 'dropped_age_invalid', 'Age out of range', false), (5, 'dropped_measurement_outlier', 'Implausible weight or height', false), (6, 'dropped_no_bmi', 'No BMI', true))
+SELECT place, rule, label, locked, locked OR rule <> 'dropped_age_invalid' AS enabled, coalesce(n, 0) AS n, coalesce(n, 0) > 0 AS fired FROM o LEFT JOIN f USING (rule)""")
+def rule_registry(spark, d):
+    counts = rules.rule_counts(cleaning.clean(pupils(spark, d), "school_age", roles=ROLES, as_of="1997-01-01"))
+    return rules.registry(spark, counts, "school_age", set(rules.DROP_RULES["school_age"]) - {"dropped_age_invalid", "dropped_no_bmi"})
+
+
 @query("""SELECT dataset_id, created_at, result_id, result_json FROM (SELECT o_custkey AS dataset_id, l_shipdate AS created_at, l_orderkey * 10 + l_linenumber AS result_id, nullif(l_linestatus, 'O') AS result_json,
 row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE k = 1 AND result_json IS NOT NULL""")
 def latest_analysis(spark, d):
@@ -163,6 +195,57 @@ def review_flags(spark, d):
     return out.select(F.explode_outer("review_codes").alias("code")).filter("code IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def registry_frame(spark, d):
+    """Visits under a registry's headers, with something wrong in every column for some rows and right for others."""
+    v, child, k2, w = visits(spark, d), F.col("child"), F.col("k2"), F.col("weight")
+    cut = F.pmod(child, F.lit(7))
+    mykid = F.when(cut == 0, "12345").when(cut == 2, F.concat(F.lit("900115"), F.lpad(child, 6, "0"))).when(cut == 3, F.concat(F.lit("901315"), F.lpad(child, 6, "0"))).when(cut > 3, F.concat(F.lit("K"), child))
+    days = F.datediff("seen", "dob")
+    return v.select(
+        "k1", "k2", "k3", mykid.alias("mykid"), F.when(child % 3 == 0, "Ali bin Abu").when(child % 3 == 1, "Siti BINTI Abu").otherwise("Chan").alias("nama"),
+        "gender", F.when(k2 == 1, "LELAKI").when(k2 == 2, "PEREMPUAN").otherwise(F.col("gender")).alias("jantina_2"), F.col("dob").cast("string").alias("tarikh_lahir"),
+        F.date_add("dob", (k2 == 4).cast("int")).cast("string").alias("dob"), "seen", "weight", "height", (F.year("seen") + (k2 == 3).cast("int")).alias("year"),
+        (F.floor(days / 30.4375) + F.when(k2 == 5, 3).otherwise(0)).alias("age_months"), F.when(w < 17, "Bawah 2 Tahun").when(w < 34, "2-5 tahun").otherwise("5 tahun ke atas").alias("kumpulan_umur"), (w / 8).alias("age_at_vaccination"),
+        F.when(child % 11 != 0, F.col("daerah")).alias("daerah"), F.when(child % 13 == 0, " ").otherwise("Bahagian").alias("bahagian"), (w / 6).alias("lat"), (k2 + 100).alias("lon"),
+        (F.col("height") * 1.5).alias("tinggi_cm"), (F.col("height") * 1.5 + (k2 == 6).cast("int")).alias("length_height_cm"), F.nullif("weight", F.lit(7.0)).alias("berat_kg"), F.lit(15.0).alias("bmi"),
+        F.when(w != 9, w / 4 - 6).alias("haz"), F.when(w != 10, F.when(w < 15, "Stunted").otherwise("normal")).alias("haz_class"), (w < 12).cast("int").alias("ind_bantut_zscore"),
+        F.when(k2 % 4 == 1, "b 40").when(k2 % 4 == 2, "X").when(k2 % 4 == 3, "rich").alias("pendapatan"), F.when(k2 == 1, "BCG ").when(k2 == 2, "Covax").when(k2 > 3, "mmr").alias("vaccine_name"),
+        F.when(k2 % 2 == 0, "JKM").alias("agensi"), F.when(child % 5 != 0, "T").alias("nama_taska"),
+    )
+
+
+@query(f"""WITH {V}, e AS (SELECT *, floor(days / 30.4375) + CASE WHEN k2 = 5 THEN 3 ELSE 0 END AS stated, CASE child % 7 WHEN 0 THEN '12345' WHEN 1 THEN NULL WHEN 2 THEN '900115' || lpad(CAST(child AS VARCHAR), 6, '0') WHEN 3 THEN '901315' || lpad(CAST(child AS VARCHAR), 6, '0') ELSE 'K' || child END AS mykid FROM d)
+SELECT k1, k2, k3, concat_ws('; ', CASE WHEN seen > DATE '1996-06-01' THEN 'review_future_measure_date' END, CASE WHEN (child % 3 = 0 AND gender = 'PEREMPUAN') OR (child % 3 = 1 AND gender = 'LELAKI') THEN 'review_name_gender_mismatch' END,
+  CASE WHEN (k2 = 1 AND gender = 'PEREMPUAN') OR (k2 = 2 AND gender = 'LELAKI') THEN 'review_gender_cols_disagree' END, CASE WHEN k2 = 3 THEN 'review_year_mismatch' END, CASE WHEN k2 = 4 THEN 'review_dob_dual_mismatch' END,
+  CASE WHEN child % 7 IN (0, 3) THEN 'review_mykid_invalid' END, CASE WHEN k2 = 5 THEN 'review_age_source_mismatch' END,
+  CASE WHEN (CASE WHEN stated < 24 THEN 'u2' WHEN stated < 60 THEN 'u5' ELSE 'o5' END) <> (CASE WHEN weight < 17 THEN 'u2' WHEN weight < 34 THEN 'u5' ELSE 'o5' END) THEN 'review_age_band_mismatch' END,
+  CASE WHEN weight / 8 NOT BETWEEN 0 AND 5 THEN 'review_age_vacc_range' END, CASE WHEN child % 11 = 0 THEN 'review_daerah_null' END, CASE WHEN child % 13 = 0 THEN 'review_bahagian_null' END,
+  CASE WHEN weight / 6 NOT BETWEEN 1 AND 7.5 THEN 'review_geo_out_of_bounds' END, CASE WHEN height * 1.5 > 200 THEN 'review_height_unit_suspect' END, CASE WHEN weight = 7 THEN 'review_ghost_bmi' END, CASE WHEN k2 = 6 THEN 'review_dual_measure_mismatch' END,
+  CASE WHEN weight = 9 THEN 'review_ghost_class' END, CASE WHEN weight <> 9 AND abs(weight / 4 - 6) > 6 THEN 'review_zscore_biv' END, CASE WHEN (weight < 12) <> (weight < 15 AND weight <> 10) THEN 'review_indicator_class_mismatch' END,
+  CASE WHEN k2 % 4 = 0 THEN 'review_pendapatan_null' END, CASE WHEN k2 % 4 = 3 THEN 'review_pendapatan_invalid' END, CASE WHEN k2 = 2 THEN 'review_vaccine_unknown' END, CASE WHEN k2 % 2 = 0 AND child % 5 = 0 THEN 'review_taska_blank' END,
+  CASE WHEN mykid IS NOT NULL AND min(dob) OVER (PARTITION BY mykid) <> max(dob) OVER (PARTITION BY mykid) THEN 'review_mykid_shared_placeholder' END) AS review_reason FROM e""")
+def review_registry(spark, d):
+    out = cleaning.clean(registry_frame(spark, d), "wide_registry", roles={"gender": "gender", "dob": "tarikh_lahir", "date": "seen", "weight": "weight", "height": "height"}, as_of="1996-06-01", zscores=False)
+    return out.select(*keys(), "review_reason")
+
+
+def numbers_frame(spark, d):
+    """Visits whose identity numbers are absent, short, of an adult, or with the right birth date and shared within an order."""
+    v, child, k2 = visits(spark, d), F.col("child"), F.col("k2")
+    ic = F.when(child % 8 == 0, "12345").when(child % 4 == 1, F.concat(F.lit("750115"), F.lpad(child, 6, "0"))).when(child % 4 == 2, F.concat(F.lit("950115"), F.lpad(child, 6, "0"))).when(child % 4 == 3, F.concat(F.date_format("dob", "yyMMdd"), F.lpad(F.col("k1") % 1_000_000, 6, "0")))
+    return v.select("k1", "k2", "k3", "gender", "dob", "seen", "weight", "height", ic.alias("ic_no_passport"), (F.year("seen") - (k2 == 3).cast("int")).alias("tahun_ukur"), F.date_add("seen", (k2 == 2).cast("int")).cast("string").alias("dose_date"))
+
+
+@query(f"""WITH {V}, e AS (SELECT *, CASE WHEN child % 8 = 0 THEN '12345' WHEN child % 4 = 1 THEN '750115' || lpad(CAST(child AS VARCHAR), 6, '0') WHEN child % 4 = 2 THEN '950115' || lpad(CAST(child AS VARCHAR), 6, '0') WHEN child % 4 = 3 THEN strftime(dob, '%y%m%d') || lpad(CAST(k1 % 1000000 AS VARCHAR), 6, '0') END AS ic,
+  CASE child % 4 WHEN 1 THEN DATE '1975-01-15' WHEN 2 THEN DATE '1995-01-15' WHEN 3 THEN dob END AS born FROM d)
+SELECT k1, k2, k3, concat_ws('; ', CASE WHEN ic IS NOT NULL AND count(*) OVER (PARTITION BY ic) > 1 THEN 'review_duplicate_ic' END, CASE WHEN length(ic) = 12 AND gender <> 'RAGU' AND (CAST(right(ic, 1) AS INTEGER) % 2 = 1) <> (gender = 'LELAKI') THEN 'review_ic_gender_mismatch' END,
+  CASE WHEN k2 = 3 THEN 'review_year_mismatch' END, CASE WHEN child % 8 = 0 THEN 'review_ic_malformed' END, CASE WHEN born <> dob THEN 'review_ic_dob_mismatch' END,
+  CASE WHEN date_diff('day', born, seen) / 365.25 >= 18 AND months < 60 THEN 'review_ic_age_contradiction' END, CASE WHEN k2 = 2 THEN 'review_dose_date_mismatch' END) AS review_reason FROM e""")
+def review_numbers(spark, d):
+    out = cleaning.clean(numbers_frame(spark, d), "wide_multiyear", roles={"gender": "gender", "dob": "dob", "date": "seen", "weight": "weight", "height": "height"}, as_of="2024-01-01", zscores=False)
+    return out.select(*keys(), "review_reason")
+
+
 @query(f"WITH {V}, {Z} SELECT negeri, gender, count(waz) AS n, count(baz) AS n_baz, round(avg(waz), 1) AS waz, round(avg(haz), 1) AS haz, round(avg(baz), 1) AS baz FROM c GROUP BY 1, 2")
 def zscore_lms(spark, d):
     means = [F.round(F.avg(z), 1).alias(z.lower()) for z in growth.INDICATORS]
@@ -431,6 +514,15 @@ def risk_places(spark, d):
     return risk.place_summary(scored(spark, d), F.col("user_id"))
 
 
+@query(f"WITH {RISK} SELECT CASE WHEN score <= 33 THEN 'Low' WHEN score <= 66 THEN 'Medium' ELSE 'High' END AS tier, count(*) AS n, round(avg(score), 2) AS avg_score FROM s GROUP BY 1 UNION ALL SELECT 'Incomplete', count(*), NULL FROM events WHERE event_id % 10 = 0")
+def risk_tiers(spark, d):
+    """All events, and every tenth once more without any score."""
+    s = scored(spark, d)
+    z = [F.lit(None).cast("double")] * 3
+    bare = s.filter("event_id % 10 = 0").withColumn("tier", risk.tier(F.col("risk_score"), *z))
+    return risk.tier_summary(s.unionByName(bare))
+
+
 @query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 100 = 0 THEN p_retailprice * 10 ELSE p_retailprice END AS v FROM part), q AS (SELECT quantile_cont(v, 0.25) AS a, median(v) AS m, quantile_cont(v, 0.75) AS b FROM p)
 SELECT p_partkey, 'v' AS "column", round(v, 4) AS value, round(m, 4) AS suggestion, v / m BETWEEN 9.5 AND 10.5 AS shifted FROM p, q WHERE v < a - 3 * (b - a) OR v > b + 3 * (b - a)""")
 def corrections(spark, d):
@@ -550,7 +642,16 @@ def link_fuzzy_id(spark, d):
     return linkage.fuzzy_pairs(rows).select("a", "b")
 
 
-@query()
+#: Numbers of the first dataset are multiples of 37, so no two are one edit apart and each leads; a changed number is one edit from its own
+#: record's, at least, and follows the earliest such. Records without a number have the name of a record with one.
+LINKED = f"""{R}, i AS (SELECT ic, min(row) AS f FROM r WHERE ic <> '' GROUP BY ic), e AS (SELECT ic, f, unnest(list_distinct(list_concat([ic], list_transform(range(1, 13), lambda p: substr(ic, 1, p - 1) || substr(ic, p + 1))))) AS k FROM i),
+n AS (SELECT r.ic, min(l.f) AS f FROM e l JOIN e r ON l.k = r.k AND l.f < 1000000 AND r.f >= 1000000 WHERE levenshtein(l.ic, r.ic) = 1 GROUP BY r.ic), h AS (SELECT i.ic, CASE WHEN i.f < 1000000 THEN i.f ELSE n.f END AS grp FROM i LEFT JOIN n ON i.ic = n.ic),
+o AS (SELECT *, count(*) OVER (PARTITION BY grp) AS k FROM h), a AS (SELECT r.*, grp, CASE WHEN k > 1 THEN 0.85 ELSE 1.0 END AS c, CASE WHEN k > 1 THEN 'fuzzy_ic' ELSE 'exact_ic' END AS reason FROM r JOIN o ON r.ic = o.ic),
+w AS (SELECT name, min(grp) AS grp FROM a GROUP BY name), y AS (SELECT * FROM a UNION ALL SELECT r.*, grp, 0.7, 'name_dob' FROM r JOIN w ON r.name = w.name WHERE ic = ''),
+t AS (SELECT grp, min(c) AS c, count(DISTINCT state) AS states, count(DISTINCT dataset_id) AS sources FROM y GROUP BY grp)"""
+
+
+@query(f"WITH {LINKED} SELECT row, y.grp AS \"group\", CAST(least(1.0, round(t.c + CASE WHEN sources > 1 AND states = 1 THEN 0.1 ELSE 0 END, 2)) AS DOUBLE) AS confidence, reason FROM y JOIN t ON y.grp = t.grp")
 def link_records(spark, d):
     return linkage.link_records(records(spark, d))
 
@@ -575,6 +676,16 @@ def link_conflicts(spark, d):
     return linkage.conflicts(linked(spark, d))
 
 
+@query(f"WITH {R} SELECT grp AS \"group\", row, dataset_id, name FROM x QUALIFY count(*) OVER (PARTITION BY grp) > 1")
+def link_duplicates(spark, d):
+    return linkage.duplicate_worklist(linked(spark, d).withColumn("confidence", F.lit(1.0))).select("group", "row", "dataset_id", "name")
+
+
+@query(f"WITH {R} SELECT grp AS \"group\", row, dataset_id, 'gender' AS field, 'hard' AS severity, gender AS value FROM x QUALIFY min(gender) OVER (PARTITION BY grp) <> max(gender) OVER (PARTITION BY grp)")
+def link_conflict_rows(spark, d):
+    return linkage.conflict_worklist(linked(spark, d).withColumn("confidence", F.lit(1.0))).select("group", "row", "dataset_id", "field", "severity", "value")
+
+
 @query(f"WITH {R}, g AS (SELECT grp, count(*) AS n, count(DISTINCT dataset_id) AS s FROM x GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS records, count(*) AS groups, count(*) FILTER (WHERE s > 1) AS multi_source, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, round(100.0 * (sum(n) - count(*)) / sum(n), 2) AS duplicate_rate FROM g")
 def link_reconciliation(spark, d):
     return linkage.reconciliation(linked(spark, d))
@@ -585,7 +696,8 @@ def link_overlap(spark, d):
     return linkage.source_overlap(linked(spark, d))
 
 
-@query()
+#: Worked out by hand: "promo" matches "promotion" by 10 of 14 letters; no word comes near 0.6 for the other values.
+@query("""SELECT lower(trim(p_type)) AS value, count(*) AS n, CASE lower(trim(p_type)) WHEN 'promo' THEN 'promotion' END AS suggestion FROM part WHERE lower(trim(p_type)) NOT IN ('economy', 'standard', 'promotion', 'small') GROUP BY 1""")
 def spelling_check(spark, d):
     return identity.check_spelling(table(spark, d, "part"), "p_type", ["ECONOMY", "STANDARD", "PROMOTION", "SMALL"])
 
@@ -618,6 +730,15 @@ def dropped_waterfall(spark, d):
     return indicators.waterfall(rules.rule_counts(c), list(rules.DROP_RULES["school_age"]), c.count())
 
 
+@query("""SELECT p_brand, count(*) AS n, count(*) FILTER (WHERE p_size % 4 < 2) AS kurang_berat, count(*) FILTER (WHERE p_size % 5 < 2) AS bantut, count(*) FILTER (WHERE p_size % 6 < 2) AS susut, count(*) FILTER (WHERE p_size % 6 IN (2, 3, 4)) AS obes FROM part GROUP BY 1""")
+def label_flags(spark, d):
+    of = lambda n, *words: F.try_element_at(F.array(*[F.lit(w) for w in words]), (F.col("p_size") % n + 1).cast("int"))
+    weight = of(4, "Kurang Berat Badan ", "SANGAT KURANG BERAT BADAN", "Normal")
+    height, bmi = of(5, "Bantut", " bantut teruk", "Normal", "Tinggi"), of(6, "Susut", "susut teruk", "Berlebihan Berat Badan", "OBES", "risiko berlebihan berat badan", "Normal")
+    flags = indicators.label_flags(weight, height, bmi)
+    return table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()])
+
+
 @query(f"WITH {V} SELECT negeri AS state, count(*) AS n, count(*) FILTER (WHERE weight <> 7 AND height > 70) AS complete, count(*) FILTER (WHERE weight <> 7) AS z_complete, round(100.0 * count(*) FILTER (WHERE weight <> 7 AND height > 70) / count(*), 2) AS complete_pct FROM d GROUP BY 1")
 def completeness(spark, d):
     v = visits(spark, d).withColumn("weight", F.nullif("weight", F.lit(7.0))).withColumn("height", F.when(F.col("height") > 70, F.col("height")))
