@@ -26,6 +26,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, d: str, frame: DataFrame) -> DataFrame:
+    """``frame`` over lineitem on all cores, where the table has fewer splits than there are cores: rules cost much a row.
+
+    Tables of more splits stay as they are read, so no shuffle is added at scale. Counting the splits of a scan runs no job.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return frame.repartition(cores) if table(spark, d, "lineitem").rdd.getNumPartitions() < cores else frame
+
+
 def visits(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     j = t("lineitem").join(t("orders"), F.expr("l_orderkey = o_orderkey")).join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("nation"), F.expr("c_nationkey = n_nationkey")).join(t("region"), F.expr("n_regionkey = r_regionkey"))
@@ -69,7 +78,7 @@ Z = _z_sql()
 
 def cleaned(spark, d):
     # the prepared frame keeps the input in ``raw``
-    return cleaning.clean(visits(spark, d), "wide_multiyear", roles=ROLES, reviews=False, as_of="2000-01-01")
+    return cleaning.clean(dealt(spark, d, visits(spark, d)), "wide_multiyear", roles=ROLES, reviews=False, as_of="2000-01-01")
 
 
 
@@ -90,7 +99,7 @@ def clean_rule_stats(spark, d):
 
 @query(f"WITH {V}, {Z} SELECT count(*) AS rows_before, count(*) FILTER (WHERE reason = '') AS rows_after FROM c")
 def clean_preview_impact(spark, d):
-    return cleaning.preview_impact(visits(spark, d), "wide_multiyear", roles=ROLES)
+    return cleaning.preview_impact(dealt(spark, d, visits(spark, d)), "wide_multiyear", roles=ROLES)
 
 
 SCHOOL = """s AS (SELECT *, concat_ws('; ', CASE WHEN gender = 'RAGU' THEN 'dropped_ragu_gender' END, CASE WHEN gender = 'RAGU' THEN 'dropped_invalid_gender' END, CASE WHEN seen > DATE '1997-01-01' OR seen < dob THEN 'dropped_invalid_date' END,
@@ -100,13 +109,13 @@ SCHOOL = """s AS (SELECT *, concat_ws('; ', CASE WHEN gender = 'RAGU' THEN 'drop
 @query(f"WITH {V}, {SCHOOL} SELECT k1, k2, k3, reason = '' AS analyzable, reason AS exclude_reason, CASE WHEN bmi < 13.5 THEN 'Kurus' WHEN bmi < 16.5 THEN 'Normal' WHEN bmi < 18.5 THEN 'Berlebihan Berat Badan' ELSE 'Obesiti' END AS category FROM s")
 def clean_school_age(spark, d):
     on = set(rules.DROP_RULES["school_age"]) - {"dropped_duplicate_id"}
-    return cleaning.clean(visits(spark, d), "school_age", roles=ROLES, as_of="1997-01-01", enabled=on).select(*keys(), "analyzable", "exclude_reason", F.col("BMI_Category").alias("category"))
+    return cleaning.clean(dealt(spark, d, visits(spark, d)), "school_age", roles=ROLES, as_of="1997-01-01", enabled=on).select(*keys(), "analyzable", "exclude_reason", F.col("BMI_Category").alias("category"))
 
 
 @query(f"WITH {V}, {SCHOOL} SELECT count(*) AS original_count, count(*) FILTER (WHERE reason = '') AS final_count, count(*) FILTER (WHERE reason <> '') AS total_dropped FROM s")
 def clean_run_stats(spark, d):
     on = set(rules.DROP_RULES["school_age"]) - {"dropped_duplicate_id"}
-    return cleaning.run_stats(cleaning.clean(visits(spark, d), "school_age", roles=ROLES, as_of="1997-01-01", enabled=on)).select("original_count", "final_count", "total_dropped")
+    return cleaning.run_stats(cleaning.clean(dealt(spark, d, visits(spark, d)), "school_age", roles=ROLES, as_of="1997-01-01", enabled=on)).select("original_count", "final_count", "total_dropped")
 
 
 def pupils(spark, d):
@@ -125,19 +134,19 @@ u AS (SELECT *, list_filter([CASE WHEN gender = 'RAGU' THEN 'dropped_ragu_gender
 @query(f"WITH {PUPILS} SELECT k1, k2, k3, len(codes) = 0 AS analyzable, array_to_string(codes, '; ') AS exclude_reason FROM u")
 def clean_school_all_rules(spark, d):
     """All rules of the school profile, the first row of every pupil's number kept."""
-    return cleaning.clean(pupils(spark, d), "school_age", roles=ROLES, as_of="1997-01-01").select(*keys(), "analyzable", "exclude_reason")
+    return cleaning.clean(dealt(spark, d, pupils(spark, d)), "school_age", roles=ROLES, as_of="1997-01-01").select(*keys(), "analyzable", "exclude_reason")
 
 
 @query(f"""WITH {PUPILS}, f AS (SELECT codes[1] AS first, unnest(codes) AS rule FROM u) SELECT rule, count(*) FILTER (WHERE rule = first) AS n_first, count(*) AS n_any FROM f GROUP BY rule""")
 def clean_preview_rules(spark, d):
-    return cleaning.preview_rules(pupils(spark, d), "school_age", roles=ROLES, as_of="1997-01-01")
+    return cleaning.preview_rules(dealt(spark, d, pupils(spark, d)), "school_age", roles=ROLES, as_of="1997-01-01")
 
 
 @query(f"""WITH {PUPILS}, f AS (SELECT codes[1] AS rule, count(*) AS n FROM u GROUP BY 1), o(place, rule, label, locked) AS (VALUES (0, 'dropped_ragu_gender', 'Doubtful gender', false), (1, 'dropped_invalid_gender', 'Unknown gender', false), (2, 'dropped_duplicate_id', 'Repeated student number', false),
 (3, 'dropped_invalid_date', 'Measurement date out of range', false), (4, 'dropped_age_invalid', 'Age out of range', false), (5, 'dropped_measurement_outlier', 'Implausible weight or height', false), (6, 'dropped_no_bmi', 'No BMI', true))
 SELECT place, rule, label, locked, locked OR rule <> 'dropped_age_invalid' AS enabled, coalesce(n, 0) AS n, coalesce(n, 0) > 0 AS fired FROM o LEFT JOIN f USING (rule)""")
 def rule_registry(spark, d):
-    counts = rules.rule_counts(cleaning.clean(pupils(spark, d), "school_age", roles=ROLES, as_of="1997-01-01"))
+    counts = rules.rule_counts(cleaning.clean(dealt(spark, d, pupils(spark, d)), "school_age", roles=ROLES, as_of="1997-01-01"))
     return rules.registry(spark, counts, "school_age", set(rules.DROP_RULES["school_age"]) - {"dropped_age_invalid", "dropped_no_bmi"})
 
 
@@ -191,7 +200,7 @@ SELECT unnest([CASE WHEN seen > DATE '1996-06-01' THEN 'review_future_measure_da
   CASE WHEN (weight > 40) <> (weight > 20) THEN 'review_indicator_class_mismatch' END]) AS code FROM e)
 SELECT code, count(*) AS n FROM x WHERE code IS NOT NULL GROUP BY code""")
 def review_flags(spark, d):
-    out = cleaning.clean(review_frame(spark, d), "wide_multiyear", roles={"gender": "gender", "dob": "dob", "date": "seen", "weight": "weight", "height": "height"}, as_of="1996-06-01", zscores=False)
+    out = cleaning.clean(dealt(spark, d, review_frame(spark, d)), "wide_multiyear", roles={"gender": "gender", "dob": "dob", "date": "seen", "weight": "weight", "height": "height"}, as_of="1996-06-01", zscores=False)
     return out.select(F.explode_outer("review_codes").alias("code")).filter("code IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -225,7 +234,7 @@ SELECT k1, k2, k3, concat_ws('; ', CASE WHEN seen > DATE '1996-06-01' THEN 'revi
   CASE WHEN k2 % 4 = 0 THEN 'review_pendapatan_null' END, CASE WHEN k2 % 4 = 3 THEN 'review_pendapatan_invalid' END, CASE WHEN k2 = 2 THEN 'review_vaccine_unknown' END, CASE WHEN k2 % 2 = 0 AND child % 5 = 0 THEN 'review_taska_blank' END,
   CASE WHEN mykid IS NOT NULL AND min(dob) OVER (PARTITION BY mykid) <> max(dob) OVER (PARTITION BY mykid) THEN 'review_mykid_shared_placeholder' END) AS review_reason FROM e""")
 def review_registry(spark, d):
-    out = cleaning.clean(registry_frame(spark, d), "wide_registry", roles={"gender": "gender", "dob": "tarikh_lahir", "date": "seen", "weight": "weight", "height": "height"}, as_of="1996-06-01", zscores=False)
+    out = cleaning.clean(dealt(spark, d, registry_frame(spark, d)), "wide_registry", roles={"gender": "gender", "dob": "tarikh_lahir", "date": "seen", "weight": "weight", "height": "height"}, as_of="1996-06-01", zscores=False)
     return out.select(*keys(), "review_reason")
 
 
@@ -242,7 +251,7 @@ SELECT k1, k2, k3, concat_ws('; ', CASE WHEN ic IS NOT NULL AND count(*) OVER (P
   CASE WHEN k2 = 3 THEN 'review_year_mismatch' END, CASE WHEN child % 8 = 0 THEN 'review_ic_malformed' END, CASE WHEN born <> dob THEN 'review_ic_dob_mismatch' END,
   CASE WHEN date_diff('day', born, seen) / 365.25 >= 18 AND months < 60 THEN 'review_ic_age_contradiction' END, CASE WHEN k2 = 2 THEN 'review_dose_date_mismatch' END) AS review_reason FROM e""")
 def review_numbers(spark, d):
-    out = cleaning.clean(numbers_frame(spark, d), "wide_multiyear", roles={"gender": "gender", "dob": "dob", "date": "seen", "weight": "weight", "height": "height"}, as_of="2024-01-01", zscores=False)
+    out = cleaning.clean(dealt(spark, d, numbers_frame(spark, d)), "wide_multiyear", roles={"gender": "gender", "dob": "dob", "date": "seen", "weight": "weight", "height": "height"}, as_of="2024-01-01", zscores=False)
     return out.select(*keys(), "review_reason")
 
 
@@ -726,7 +735,7 @@ def dq_report_pivot(spark, d):
 SELECT CAST(step AS INTEGER) AS step, rule, n AS dropped, CAST((SELECT count(*) FROM s) - sum(n) OVER (ORDER BY step) AS BIGINT) AS remaining FROM o""")
 def dropped_waterfall(spark, d):
     on = set(rules.DROP_RULES["school_age"]) - {"dropped_duplicate_id"}
-    c = cleaning.clean(visits(spark, d), "school_age", roles=ROLES, as_of="1997-01-01", enabled=on)
+    c = cleaning.clean(dealt(spark, d, visits(spark, d)), "school_age", roles=ROLES, as_of="1997-01-01", enabled=on)
     return indicators.waterfall(rules.rule_counts(c), list(rules.DROP_RULES["school_age"]), c.count())
 
 
