@@ -474,13 +474,22 @@ def quality_score(spark, d):
     return quality.quality_score(visits(spark, d), mapped=9, id_valid=F.col("child") % 10 != 0, critical=[F.when(w > 5, w), F.when(h <= 140, h)], duplicate_key=[F.col("child"), F.col("seen")], bmi_off=w > 45, spelling_issues=2, zs=[F.when(w < 48, w)])
 
 
-@query(f"""WITH {V}, a AS (SELECT *, count(*) OVER (PARTITION BY child) AS per FROM d), r AS (SELECT count(*) AS rows, [0, count(*) FILTER (WHERE weight NOT BETWEEN 10 AND 125), count(*) FILTER (WHERE height NOT BETWEEN 50 AND 200), count(*) FILTER (WHERE per > 1), count(*) FILTER (WHERE gender = 'RAGU'), count(*) FILTER (WHERE k2 NOT BETWEEN 1 AND 7), 0, 0,
+BUSINESS = f"""WITH {V}, a AS (SELECT *, count(*) OVER (PARTITION BY child) AS per FROM d), r AS (SELECT count(*) AS rows, [0, count(*) FILTER (WHERE weight NOT BETWEEN 10 AND 125), count(*) FILTER (WHERE height NOT BETWEEN 50 AND 200), count(*) FILTER (WHERE per > 1), count(*) FILTER (WHERE gender = 'RAGU'), count(*) FILTER (WHERE k2 NOT BETWEEN 1 AND 7), 0, 0,
 count(*) FILTER (WHERE seen < DATE '1976-01-01' OR seen > DATE '1996-12-31' OR dob < DATE '1976-01-01' OR dob > DATE '1996-12-31')] AS c FROM a), u AS (SELECT rows, unnest(['BR-01', 'BR-02', 'BR-03', 'BR-04', 'BR-05', 'BR-06', 'BR-07', 'BR-08', 'BR-09']) AS rule, unnest(c) AS n, unnest(['WARNING', 'ERROR', 'ERROR', 'WARNING', 'WARNING', 'INFO', 'INFO', 'WARNING', 'ERROR']) AS severity FROM r)
-SELECT rule, CAST(n AS BIGINT) AS n, round(100.0 * n / rows, 2) AS pct, severity FROM u""")
+SELECT rule, CAST(n AS BIGINT) AS n, round(100.0 * n / rows, 2) AS pct, severity FROM u"""
+
+
+@query(BUSINESS)
 def business_rules(spark, d):
     return quality.business_rules(visits(spark, d), measured=F.col("seen"), weight=F.col("weight"), height=F.col("height"), child=F.col("child"), gender=F.col("gender"), dob=F.col("dob"), year_level=F.col("k2").cast("double"), as_of="1996-06-01")
 
 
+@query(f"SELECT * FROM ({BUSINESS}) WHERE n > 0 ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, n DESC, rule LIMIT 4")
+def quality_findings(spark, d):
+    """The report's four most pressing findings."""
+    return quality.findings(business_rules(spark, d), 4)
+
+
 RULED = {"measured": "seen", "weight": "weight", "height": "height", "gender": "gender", "dob": "dob"}
 
 
@@ -622,6 +631,15 @@ def ic_validate(spark, d):
     return ids(spark, d).select("c_custkey", v["type"].alias("kind"), v["cleaned"].alias("cleaned"), v["issue"].alias("issue"))
 
 
+@query(f"""WITH {IDS}, p AS (SELECT split_part(raw, '_', 1) AS number, count(*) AS n FROM orders JOIN i ON o_custkey = c_custkey GROUP BY 1)
+SELECT count(number) AS unique_ids, count(*) FILTER (WHERE number IS NOT NULL AND n > 1) AS multi_record, CAST(coalesce(sum(n) FILTER (WHERE number IS NULL), 0) AS BIGINT) AS missing_rows FROM p""")
+def id_analysis(spark, d):
+    """Orders under the numbers of their customers."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).join(ids(spark, d), "c_custkey")
+    v = identity.validate_id(F.col("raw"))
+    return joins.id_analysis(rows, v["cleaned"], v["type"])
+
+
 def records(spark, d):
     """Customers as records of two datasets: the second changes digits, names and places of some."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))

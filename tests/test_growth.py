@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from grovetable.functions import growth
+from grovetable.sources import tables
 
 CHILD = "sex string, days int, weight double, height double"
 
@@ -27,3 +28,15 @@ def test_ages_beyond_120_months_take_the_last(spark):
 def test_last_day_comes_from_the_table(spark):
     table = growth.knot_table(spark).filter("day <= 1856").withColumn("haz_m", F.when(F.col("day") == 1856, 111.0).otherwise(F.col("haz_m")))
     assert [z[1] for z in scored(spark, [("M", 1900, 18.0, 111.0)], "cleaner", table)] == [0.0]
+
+
+def test_growth_table_from_csv(spark, tmp_path):
+    """A file of one row per sex, indicator and day gives the table that z-scores are joined with, one row per sex and day."""
+    rows = [(s, i, day, 1.0, 10.0 + day + n, 0.1) for s in "MF" for n, i in enumerate(growth.INDICATORS) for day in (0, 1)]
+    (tmp_path / "lms.csv").write_text("sex,indicator,day,L,M,S\n" + "\n".join(",".join(map(str, r)) for r in rows) + "\n")
+    got = tables.read_lms(spark, str(tmp_path / "lms.csv"))
+    assert sorted((r["sex"], r["day"]) for r in got.collect()) == [("F", 0), ("F", 1), ("M", 0), ("M", 1)]
+    assert set(got.columns) == set(growth.knot_table(spark).columns)
+    weight, height = growth.INDICATORS.index("WAZ"), growth.INDICATORS.index("HAZ")
+    # with L = 1 and S = 0.1 a value a tenth above the median scores 1
+    assert scored(spark, [("M", 0, (10.0 + weight) * 1.1, 10.0 + height), ("M", 1, 11.0 + weight, (11.0 + height) * 1.1)], "daily", got) == [(1.0, 0.0), (0.0, 1.0)]
