@@ -1,14 +1,15 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by the Jaccard similarity of their word shingles, met through the pivot tables of ``simhash.py``.
 
-Every text gets several independent min-wise fingerprints of its shingle set, each BAND_ROWS minima
-long; two sets of similarity s share a given one with chance s ** BAND_ROWS, and at least one of
-BANDS with 0.998 at s = 0.8 and more above. Texts that share one are candidates. Those go by set
-size (exact) and by the Hamming distance of their SimHashes, with a radius four standard deviations
-beyond what similarity 0.8 makes; the survivors are decided by their whole shingle sets.
+Texts of similarity 0.8 differ by about 10 bits of their SimHashes, more than any block of bits is spared. So every text
+also gets PRINTS independent min-wise fingerprints of its shingle set: 64 bits in four blocks, each a hash of BLOCK_ROWS
+minima, which two sets of similarity s have in common with chance q = s ** BLOCK_ROWS. Their rows in the pivot table have equal coordinates
+in the families of the blocks that agree. Texts that agree in two of four families of some fingerprint are candidates: a
+chance of 0.9993 at s = 0.8 and more above. Those go by set size (exact), and bit by bit by their SimHashes with a radius four
+standard deviations beyond what similarity 0.8 makes; the survivors are decided by their whole shingle sets.
 
 Large groups have reference members: every member is compared with them, and members linked to one are in
-one component. A member of another component meets the others by their differences to the first
-reference, under a bound (``_close``) that leaves out only pairs that cannot be linked. So no link of a group is lost.
+one component. A member of another component meets the others by their differences to a reference
+that groups of the same copies share, under a bound (``_close``) that leaves out only pairs that cannot be linked. So no link of a group is lost.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, settle
 from .components import connect
 
-BANDS = 16
-BAND_ROWS = 5
+#: Min-wise fingerprints of a text, minima to a block, and families of the pivot table that may differ.
+PRINTS = 6
+BLOCK_ROWS = 3
+DIFFERING = 2
 #: Sets of similarity 0.8 differ in 9.7 of 64 SimHash bits on average, with a standard deviation of 2.9.
 RADIUS = 22
 #: Larger groups have reference members, so that no group of copies costs its square.
@@ -55,24 +59,26 @@ def shingle_hashes(text: str | None, shingle: int):
 
 def _reading(shingle: int, whole: bool):
     """Batches of (row, text) to fingerprints, or to the whole shingle sets."""
-    bands, depth = BANDS, BAND_ROWS
+    depth, bits = BLOCK_ROWS, simhash.COARSE
+    blocks = 64 // bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from xxhash import xxh64_intdigest
 
-        factors, masks = (np.array([xxh64_intdigest(b"%d" % i, s) for i in range(bands * depth)], dtype=np.uint64) for s in (1, 2))
+        factors, masks = (np.array([xxh64_intdigest(b"%d" % i, s) for i in range(PRINTS * blocks * depth)], dtype=np.uint64) for s in (1, 2))
         factors |= np.uint64(1)
 
         def prints(own: np.ndarray) -> tuple[int, list[int]]:
             votes = np.zeros(64, dtype=np.int64)
-            least = np.full(bands * depth, np.iinfo(np.uint64).max, dtype=np.uint64)
+            least = np.full(PRINTS * blocks * depth, np.iinfo(np.uint64).max, dtype=np.uint64)
             for at in range(0, len(own), 1024):
                 part = own[at : at + 1024]
                 votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 np.minimum(least, ((part[:, None] ^ masks) * factors).min(axis=0), out=least)
             fp = int(np.packbits(2 * votes > len(own), bitorder="little").view("<i8")[0])
-            return fp, [xxh64_intdigest(least[b * depth : (b + 1) * depth].tobytes(), b) for b in range(bands)]
+            hashed = [xxh64_intdigest(least[b * depth : (b + 1) * depth].tobytes(), b) % (1 << bits) for b in range(PRINTS * blocks)]
+            return fp, [sum(h << bits * j for j, h in enumerate(hashed[i : i + blocks])) for i in range(0, len(hashed), blocks)]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -84,8 +90,8 @@ def _reading(shingle: int, whole: bool):
                     yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "shingles"])
                     continue
                 made = [prints(s) for s in sets]
-                signatures = np.array([m[1] for m in made], dtype=np.uint64).view(np.int64).reshape(-1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * bands), pa.array(signatures))
+                minwise = np.array([m[1] for m in made], dtype=np.uint64).view(np.int64).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * PRINTS), pa.array(minwise))
                 yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in made], pa.int64()), lists], names=["row", "key", "n", "fp", "bands"])
 
     return run
@@ -158,15 +164,35 @@ def _apart(many: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(placed.join(sums.filter("parts > 1"), "sig"), "near-apart")
 
 
+def _signatures(heads: DataFrame) -> DataFrame:
+    """(key, sig) of every key of ``heads`` (key, bands): keys that share one agree in two families of the pivot table of a min-wise fingerprint."""
+    table = settle(simhash.pivot_table(heads.select("key", F.posexplode("bands").alias("i", "fp"))).drop("fp"), "near-pivots")
+    out = settle(simhash.meetings(table, simhash.COARSE, DIFFERING, "key", "i").select("key", F.xxhash64("i", "sig").alias("sig")), "near-signatures")
+    discard(table)
+    return out
+
+
+def _shared_pivots(apart: DataFrame, central: DataFrame) -> DataFrame:
+    """(sig, pivot) for the groups of ``apart``, from the first references ``central`` (sig, pivot, support).
+
+    Of the references of all its groups a member votes for the one with most support, and a group takes what most members
+    vote for, member or not. So groups of the same copies have one reference, and a member's differences to it are held once.
+    """
+    held = apart.select("sig", "key").join(central, "sig")
+    best = held.groupBy("key").agg(F.max(F.struct("support", "pivot")).alias("best"))
+    votes = held.select("sig", "key").join(best, "key").groupBy("sig", "best").agg(F.count(F.lit(1)).alias("c"))
+    return votes.groupBy("sig").agg(F.max(F.struct("c", "best"))["best"]["pivot"].alias("pivot"))
+
+
 def _roots(heads: DataFrame, numbered: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(key, root): the smallest key that each key of ``heads`` is linked to, itself if there is none."""
-    signed = settle(heads.select("key", "n", "fp", F.explode("bands").alias("sig")), "near-signatures")
+    signed = _signatures(heads)
     sizes = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    grouped = settle(signed.join(sizes, "sig"), "near-groups")
+    grouped = settle(signed.join(sizes, "sig").join(heads.select("key", "n", "fp"), "key"), "near-groups")
     discard(signed)
     member = F.struct("key", "n", "fp")
-    few = grouped.filter(F.col("members") <= DENSE).select("sig", member.alias("x"))
-    pairs = few.alias("l").join(few.alias("r"), F.expr("l.sig = r.sig AND l.x.key < r.x.key")).select(F.col("l.x").alias("x"), F.col("r.x").alias("y"))
+    few = grouped.filter(F.col("members") <= DENSE)
+    pairs = few.alias("x").join(few.alias("y"), F.expr("x.sig = y.sig AND x.key < y.key"))
 
     # Large groups: similarities to reference members. One is the member that shares most with most others;
     # the rest are drawn from those that lie in most large groups, so that groups of the same copies have the same ones.
@@ -174,10 +200,9 @@ def _roots(heads: DataFrame, numbered: DataFrame, similarity: float, shingle: in
     central = many.groupBy("key").agg(F.sum("members").alias("support"), F.count(F.lit(1)).alias("groups"))
     order = lambda i: F.struct(-F.col("groups" if i else "support"), F.xxhash64("key", F.lit(i)), member.alias("x"))
     chosen = many.join(central, "key").groupBy("sig").agg(*[F.min(order(i))["x"].alias(f"m{i}") for i in range(PIVOTS)])
-    chosen = chosen.select("sig", F.posexplode(F.array(*[f"m{i}" for i in range(PIVOTS)])).alias("i", "y"))
-    met = many.select("sig", member.alias("x")).join(chosen, "sig").filter("x.key <> y.key").filter(_fits("x", "y", similarity))
-    met = settle(met, "near-met")
-    asked = settle(_pairs(pairs.filter(_fits("x", "y", similarity)).union(met.select("x", "y"))), "near-pairs")
+    chosen = chosen.select("sig", F.posexplode(F.array(*[f"m{i}" for i in range(PIVOTS)])).alias("i", "y")).select("sig", "i", "y.*")
+    met = settle(_pairs(many.alias("x").join(chosen.alias("y"), F.expr("x.sig = y.sig AND x.key <> y.key")).filter(_fits("x", "y", similarity))), "near-met")
+    asked = settle(_pairs(pairs.filter(_fits("x", "y", similarity))).union(met).distinct(), "near-pairs")
     known = _similarities(asked, heads, numbered, shingle)
     links = known.filter(F.col("sim") >= similarity).select("a", "b")
     labels = connect(links, "near")  # node, root
@@ -185,17 +210,17 @@ def _roots(heads: DataFrame, numbered: DataFrame, similarity: float, shingle: in
     # Members that are still apart from most of a large group meet more of it: first a few drawn from each group ...
     apart = _apart(many, labels)
     drawn = many.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64("key", "sig", F.lit(i)), member.alias("x")))["x"].alias(f"m{i}") for i in range(DRAWN)])
-    drawn = drawn.select("sig", F.explode(F.array(*[f"m{i}" for i in range(DRAWN)])).alias("y"))
-    lone = apart.filter("root <> most").select("sig", member.alias("x"))
-    some = settle(_pairs(lone.join(drawn, "sig").filter("x.key <> y.key").filter(_fits("x", "y", similarity))).join(asked, ["a", "b"], "left_anti"), "near-some")
+    drawn = drawn.select("sig", F.explode(F.array(*[f"m{i}" for i in range(DRAWN)])).alias("y")).select("sig", "y.*")
+    lone = apart.filter("root <> most")
+    some = settle(_pairs(lone.alias("x").join(drawn.alias("y"), F.expr("x.sig = y.sig AND x.key <> y.key")).filter(_fits("x", "y", similarity))).join(asked, ["a", "b"], "left_anti"), "near-some")
     if not some.isEmpty():
         links = links.union(_similarities(some, heads, numbered, shingle).filter(F.col("sim") >= similarity).select("a", "b"))
         labels = connect(links, "near")
         discard(apart)
         apart = _apart(many, labels)
-    # ... then all that the differences to the group's first reference leave.
-    central = chosen.filter("i = 0").select("sig", F.col("y.key").alias("pivot"))
-    members = apart.join(central, "sig").groupBy("pivot", "key", "n", "root").agg(F.max(F.col("root") != F.col("most")).alias("lone"))
+    # ... then all that the differences to a reference leave.
+    first = chosen.filter("i = 0").select("sig", F.col("key").alias("pivot")).join(central.select(F.col("key").alias("pivot"), "support"), "pivot")
+    members = apart.join(_shared_pivots(apart, first), "sig").groupBy("pivot", "key", "n", "root").agg(F.max(F.col("root") != F.col("most")).alias("lone"))
     more = settle(_close(members, heads, numbered, similarity, shingle).join(asked.union(some), ["a", "b"], "left_anti"), "near-more")
     if more.isEmpty():
         roots = labels

@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def pivot_table(prints: DataFrame, block: int = COARSE) -> DataFrame:
-    """fp and ``pivots``: distances of ``fp`` to every reference fingerprint, the all-zero one last, eight to a long."""
+    """``prints`` with ``pivots``: distances of ``fp`` to every reference fingerprint, the all-zero one last, eight to a long."""
     flat = [r for family in references(block) for r in family] + [0]
     near = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(r)))).cast("long") for r in flat]
     longs = []
@@ -90,7 +90,7 @@ def pivot_table(prints: DataFrame, block: int = COARSE) -> DataFrame:
         for k, d in enumerate(near[at : at + 8]):
             packed = packed.bitwiseOR(F.shiftleft(d, 8 * k))
         longs.append(packed.alias(f"l{at // 8}"))
-    return prints.select("fp", F.struct(*longs).alias("pivots"))
+    return prints.select("*", F.struct(*longs).alias("pivots"))
 
 
 def coordinate(pivots: str, k: int) -> Column:
@@ -104,8 +104,8 @@ def largest_difference(a: str, b: str, block: int) -> Column:
     return F.greatest(*[F.abs(coordinate(a, k) - coordinate(b, k)) for k in range(n)])
 
 
-def _meetings(table: DataFrame, block: int, max_bits: int) -> DataFrame:
-    """(fp, sig): one signature for every choice of families that must agree, from their coordinates in ``table``."""
+def meetings(table: DataFrame, block: int, differing: int, *carried: str) -> DataFrame:
+    """(``carried``, sig): one signature for every choice of all families but ``differing``, from their coordinates in ``table``. Rows that share one agree in these families."""
     families = references(block)
     n = sum(map(len, families))
     zero = coordinate("pivots", n)
@@ -113,20 +113,20 @@ def _meetings(table: DataFrame, block: int, max_bits: int) -> DataFrame:
     for i, family in enumerate(families):
         hashed.append(F.xxhash64(F.lit(i), *[coordinate("pivots", k) - zero for k in range(at, at + len(family))]).alias(f"h{i}"))
         at += len(family)
-    step = table.select("fp", *hashed)
+    step = table.select(*carried, *hashed)
     # Wrapping sums of the families' hashes, less those that may differ.
     total = F.lit(0).cast("long")
     for i in range(len(families)):
         total = total.bitwiseXOR(F.col(f"h{i}"))
     step = step.withColumn("all", total)
-    left_out = list(combinations(range(len(families)), max_bits))
+    left_out = list(combinations(range(len(families)), differing))
     sigs = []
     for c in left_out:
         rest = F.col("all")
         for i in c:
             rest = rest.bitwiseXOR(F.col(f"h{i}"))
         sigs.append(F.xxhash64(rest, F.lit(str(c))))
-    return step.select("fp", F.explode(F.array(*sigs)).alias("sig"))
+    return step.select(*carried, F.explode(F.array(*sigs)).alias("sig"))
 
 
 def _verified(groups: DataFrame, table: DataFrame, block: int, max_bits: int) -> DataFrame:
@@ -146,7 +146,7 @@ def near_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     table = settle(pivot_table(prints), "simhash-pivots")
 
     def grouped(t: DataFrame, block: int) -> DataFrame:
-        met = settle(_meetings(t, block, max(1, max_bits)), "simhash-signatures")
+        met = settle(meetings(t, block, max(1, max_bits), "fp"), "simhash-signatures")
         sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         out = settle(met.join(sizes, "sig"), "simhash-groups")
         discard(met)

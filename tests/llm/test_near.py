@@ -5,7 +5,7 @@ import reference as R
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from grovetable.llm import near
+from grovetable.llm import near, simhash
 
 
 def sets_of(text):
@@ -131,6 +131,67 @@ def test_differences_to_a_reference_lose_no_link(spark):
     assert 1 < len(set(parts(found))) < len(rows)
 
 
+def heads_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    return docs.mapInArrow(near._reading(5, False), "row long, key long, n long, fp long, bands array<long>")
+
+
+def test_copies_meet_in_the_pivot_table(spark):
+    """Keys share a signature where the pivot rows of one of their min-wise fingerprints agree in two families, and most pairs at 0.8 do; others hardly ever."""
+    draw = random.Random(21)
+    texts = []
+    for _ in range(150):  # 404 words are 400 shingles; 9 edits far apart change 45, which leaves 355 of 445: 0.798
+        base = [f"w{draw.randrange(50_000)}" for _ in range(404)]
+        other = list(base)
+        for at in range(9):
+            other[20 + 40 * at] = f"edit{draw.getrandbits(40)}"
+        texts += [" ".join(base), " ".join(other)]
+    heads = near.settle(heads_of(spark, texts), "test-heads")
+    rows = {r["key"]: r for r in heads.collect()}
+    signed = near._signatures(heads)
+    met = {tuple(r) for r in near._pairs(signed.alias("x").join(signed.alias("y"), F.expr("x.sig = y.sig AND x.key < y.key"))).collect()}
+    families, own = simhash.references(simhash.COARSE), (1 << 64) - 1
+    block = lambda fp, family: tuple(bin((fp & own) & r).count("1") for r in family)
+    table = {k: [[block(fp, f) for f in families] for fp in r["bands"]] for k, r in rows.items()}
+    want = {(a, b) for a, b in combinations(sorted(rows), 2) if any(sum(p == q for p, q in zip(x, y)) >= 2 for x, y in zip(table[a], table[b]))}
+    assert met == want
+    copies = sum(rows[a]["row"] // 2 == rows[b]["row"] // 2 for a, b in met)
+    print("pairs at 0.798 that met", copies, "others", len(met) - copies)
+    assert copies >= 0.98 * 150 and len(met) - copies <= 2
+
+
+def test_differences_are_held_once(spark, monkeypatch):
+    """A text of many large groups is compared with one reference of them all, not with one for each, and no link is lost."""
+    draw = random.Random(22)
+    base = [f"w{draw.randrange(20_000)}" for _ in range(120)]
+    texts = [" ".join(edited(draw, base, 3)) for _ in range(260)]
+    held = []
+
+    def close(members, *more):
+        held.extend(members.select("pivot", "key").collect())
+        return near_close(members, *more)
+
+    near_close = near._close
+    monkeypatch.setattr(near, "_close", close)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [c for _, c in sorted(tuple(r) for r in near.near_components(docs).collect())]
+    print("held", len(held), "keys", len({r["key"] for r in held}), "references", len({r["pivot"] for r in held}))
+    assert len(held) > 100 and len(held) == len({r["key"] for r in held})
+    sets = [sets_of(t) for t in texts]
+    least = list(range(len(texts)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if alike(sets[i], sets[j]) >= 0.8:
+            a, b = sorted((root(i), root(j)))
+            least[b] = a
+    assert got == [root(i) for i in range(len(texts))]
+
+
 def test_rows_without_number(spark, docs):
     """A row without a doc_id stays where its component has no other; input columns of any name are carried."""
     a, b = "one text of more than five words in all", "and some other text of its own that is kept"
