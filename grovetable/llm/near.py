@@ -157,11 +157,11 @@ def _close(members: DataFrame, heads: DataFrame, numbered: DataFrame, similarity
     return out
 
 
-def _apart(many: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of large groups that are in more than one component, with ``root`` and ``most``, the root of most of the group."""
-    placed = many.join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")).select("sig", "key", "n", "fp", "root")
+def _apart(many: DataFrame, labels: DataFrame, first: DataFrame) -> DataFrame:
+    """Members of large groups that are in more than one component, with ``root``, ``most``, the root of most of the group, and what ``first`` has of the group."""
+    placed = many.select("sig", "key", "n", "fp").join(labels.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sums = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("parts"))
-    return settle(placed.join(sums.filter("parts > 1"), "sig"), "near-apart")
+    return settle(placed.join(sums.filter("parts > 1").drop("parts").join(first, "sig"), "sig"), "near-apart")
 
 
 def _signatures(heads: DataFrame) -> DataFrame:
@@ -172,16 +172,15 @@ def _signatures(heads: DataFrame) -> DataFrame:
     return out
 
 
-def _shared_pivots(apart: DataFrame, central: DataFrame) -> DataFrame:
-    """(sig, pivot) for the groups of ``apart``, from the first references ``central`` (sig, pivot, support).
+def _shared_pivots(apart: DataFrame) -> DataFrame:
+    """(sig, pivot) for the groups of ``apart`` (sig, key, first, support), from their first references.
 
     Of the references of all its groups a member votes for the one with most support, and a group takes what most members
     vote for, member or not. So groups of the same copies have one reference, and a member's differences to it are held once.
     """
-    held = apart.select("sig", "key").join(central, "sig")
-    best = held.groupBy("key").agg(F.max(F.struct("support", "pivot")).alias("best"))
-    votes = held.select("sig", "key").join(best, "key").groupBy("sig", "best").agg(F.count(F.lit(1)).alias("c"))
-    return votes.groupBy("sig").agg(F.max(F.struct("c", "best"))["best"]["pivot"].alias("pivot"))
+    best = apart.groupBy("key").agg(F.max(F.struct("support", "first")).alias("best"))
+    votes = apart.select("sig", "key").join(best, "key").groupBy("sig", "best").agg(F.count(F.lit(1)).alias("c"))
+    return votes.groupBy("sig").agg(F.max(F.struct("c", "best"))["best"]["first"].alias("pivot"))
 
 
 def _roots(heads: DataFrame, numbered: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -198,9 +197,9 @@ def _roots(heads: DataFrame, numbered: DataFrame, similarity: float, shingle: in
     # the rest are drawn from those that lie in most large groups, so that groups of the same copies have the same ones.
     many = grouped.filter(F.col("members") > DENSE)
     central = many.groupBy("key").agg(F.sum("members").alias("support"), F.count(F.lit(1)).alias("groups"))
-    order = lambda i: F.struct(-F.col("groups" if i else "support"), F.xxhash64("key", F.lit(i)), member.alias("x"))
+    order = lambda i: F.struct(-F.col("groups" if i else "support"), F.xxhash64("key", F.lit(i)), F.struct("key", "n", "fp", "support").alias("x"))
     chosen = many.join(central, "key").groupBy("sig").agg(*[F.min(order(i))["x"].alias(f"m{i}") for i in range(PIVOTS)])
-    chosen = chosen.select("sig", F.posexplode(F.array(*[f"m{i}" for i in range(PIVOTS)])).alias("i", "y")).select("sig", "i", "y.*")
+    chosen = settle(chosen.select("sig", F.posexplode(F.array(*[f"m{i}" for i in range(PIVOTS)])).alias("i", "y")).select("sig", "i", "y.*"), "near-chosen")
     met = settle(_pairs(many.alias("x").join(chosen.alias("y"), F.expr("x.sig = y.sig AND x.key <> y.key")).filter(_fits("x", "y", similarity))), "near-met")
     asked = settle(_pairs(pairs.filter(_fits("x", "y", similarity))).union(met).distinct(), "near-pairs")
     known = _similarities(asked, heads, numbered, shingle)
@@ -208,7 +207,8 @@ def _roots(heads: DataFrame, numbered: DataFrame, similarity: float, shingle: in
     labels = connect(links, "near")  # node, root
 
     # Members that are still apart from most of a large group meet more of it: first a few drawn from each group ...
-    apart = _apart(many, labels)
+    first = chosen.filter("i = 0").select("sig", F.col("key").alias("first"), "support")
+    apart = _apart(many, labels, first)
     drawn = many.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64("key", "sig", F.lit(i)), member.alias("x")))["x"].alias(f"m{i}") for i in range(DRAWN)])
     drawn = drawn.select("sig", F.explode(F.array(*[f"m{i}" for i in range(DRAWN)])).alias("y")).select("sig", "y.*")
     lone = apart.filter("root <> most")
@@ -216,11 +216,12 @@ def _roots(heads: DataFrame, numbered: DataFrame, similarity: float, shingle: in
     if not some.isEmpty():
         links = links.union(_similarities(some, heads, numbered, shingle).filter(F.col("sim") >= similarity).select("a", "b"))
         labels = connect(links, "near")
+        still = _apart(apart, labels, first)  # components only grow together, so no other group is apart now
         discard(apart)
-        apart = _apart(many, labels)
+        apart = still
     # ... then all that the differences to a reference leave.
-    first = chosen.filter("i = 0").select("sig", F.col("key").alias("pivot")).join(central.select(F.col("key").alias("pivot"), "support"), "pivot")
-    members = apart.join(_shared_pivots(apart, first), "sig").groupBy("pivot", "key", "n", "root").agg(F.max(F.col("root") != F.col("most")).alias("lone"))
+    # A member lies in many groups, so the join by group is made once and its few distinct rows are kept.
+    members = settle(apart.join(_shared_pivots(apart), "sig").groupBy("pivot", "key", "n", "root").agg(F.max(F.col("root") != F.col("most")).alias("lone")), "near-members")
     more = settle(_close(members, heads, numbered, similarity, shingle).join(asked.union(some), ["a", "b"], "left_anti"), "near-more")
     if more.isEmpty():
         roots = labels
@@ -228,7 +229,7 @@ def _roots(heads: DataFrame, numbered: DataFrame, similarity: float, shingle: in
         further = _similarities(more, heads, numbered, shingle).filter(F.col("sim") >= similarity).select("a", "b")
         roots = connect(links.union(further), "near")
     found = settle(heads.select("key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root")), "near-roots")
-    for done in (grouped, met, asked, known, apart, some, more):
+    for done in (grouped, chosen, met, asked, known, apart, some, members, more):
         discard(done)
     return found
 

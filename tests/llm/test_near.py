@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 import reference as R
@@ -192,6 +194,42 @@ def test_differences_are_held_once(spark, monkeypatch):
     assert got == [root(i) for i in range(len(texts))]
 
 
+def rows_of_joins_by_sig(spark, work):
+    """Result of ``work`` and rows that its joins by nothing but ``sig`` have made, as Spark counts them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        listed = store.executionsList()
+        return {listed.apply(i).executionId() for i in range(listed.size())}
+
+    before = executions()
+    got, rows = work(), 0
+    for e in executions() - before:
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.fullmatch(r"\w+Join(\(skew=true\))? \[sig#\d+L?\], \[sig#\d+L?\], Inner(, Build\w+)?(, false)?", node.desc().strip()):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                made = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                rows += sum(int(m.get().replace(",", "")) for m in made if m.isDefined())
+    return got, rows
+
+
+def test_members_are_joined_by_group_few_times(spark):
+    """What joins by group make grows with the members of groups: each is met once for all groups, and three times more in large groups that are apart."""
+    draw = random.Random(23)
+    base = [f"w{draw.randrange(20_000)}" for _ in range(120)]
+    texts = [" ".join(edited(draw, base, 3)) for _ in range(260)]
+    sizes = Counter(r["sig"] for r in near._signatures(near.settle(heads_of(spark, texts), "test-heads")).select("sig").collect())
+    grouped, large = (sum(n for n in sizes.values() if n > least) for least in (1, near.DENSE))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, made = rows_of_joins_by_sig(spark, lambda: near.near_components(docs).count())
+    print("members of groups", grouped, "of large ones", large, "rows of joins by group", made)
+    assert got == len(texts) and large > 500
+    # Besides, a few rows a large group for its reference.
+    assert grouped <= made <= grouped + 3 * large + 3 * sum(n > near.DENSE for n in sizes.values())
+
+
 def test_rows_without_number(spark, docs):
     """A row without a doc_id stays where its component has no other; input columns of any name are carried."""
     a, b = "one text of more than five words in all", "and some other text of its own that is kept"
