@@ -97,11 +97,12 @@ def join_preview(left: DataFrame, right: DataFrame, how: str, keys: list[str] |
 def latest_results(sessions: DataFrame, results: DataFrame) -> DataFrame:
     """The newest row of ``results`` (session_id, created_at, result_id, ...) of each dataset_id in ``sessions`` (session_id, dataset_id).
 
-    Of equal times the largest result_id; datasets whose newest row holds no result_json are left out, as are those without any.
+    Of equal times the largest result_id, of equal ones too the greatest result_json, none last, so that the order of rows does not
+    matter; datasets whose newest row holds no result_json are left out, as are those without any.
     One aggregation with partial maxima, so no dataset is sorted in one task.
     """
     row = F.struct("created_at", "result_id", *[c for c in results.columns if c not in ("created_at", "result_id", "session_id")])
-    newest = results.join(sessions.select("session_id", "dataset_id"), "session_id").groupBy("dataset_id").agg(F.max_by(row, F.struct("created_at", "result_id")).alias("r"))
+    newest = results.join(sessions.select("session_id", "dataset_id"), "session_id").groupBy("dataset_id").agg(F.max_by(row, F.struct("created_at", "result_id", "result_json")).alias("r"))
     return newest.select("dataset_id", "r.*").filter("result_json IS NOT NULL AND result_json <> ''")
 
 

@@ -260,3 +260,14 @@ def test_every_indicator_alias_is_found():
 
     for column, name in (("Ind_Kurang_Berat_Badan", "underweight"), ("Ind_Kurang_Berat", "underweight"), ("Ind_Berlebihan_BB", "overweight"), ("Ind_Berlebihan", "overweight"), ("Ind_Obes", "overweight"), ("Ind_Bantut", "stunting"), ("ind_susut_zscore", "wasting")):
         assert indicators.flag_columns(["id", column])[name] == column
+
+
+def test_equally_new_results_in_any_order(spark):
+    """Rows with the same time and number: the same one stays however rows come, one with a result before one without."""
+    at = ["2020-01-02", "2020-01-01"]
+    rows = [(1, at[0], 7, None), (1, at[0], 7, "a"), (1, at[0], 7, "b"), (1, at[1], 9, "c"), (2, at[0], 8, "d"), (2, at[0], 8, None), (3, at[0], 5, None), (3, at[0], 4, "e")]
+    sessions = frame(spark, [(1, 10), (2, 20), (3, 30)], "session_id long, dataset_id long")
+    for given in (rows, rows[::-1]):
+        results = frame(spark, given, "session_id long, created_at string, result_id long, result_json string").coalesce(1)
+        got = {r["dataset_id"]: (r["result_id"], r["result_json"]) for r in joins.latest_results(sessions, results).collect()}
+        assert got == {10: (7, "b"), 20: (8, "d")}
