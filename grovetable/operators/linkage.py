@@ -36,11 +36,19 @@ def numbered(records: DataFrame) -> DataFrame:
     return out.withColumn("nid", norm_id(F.col("ic"))).withColumn("nname", norm_name(F.col("name"))).withColumn("ndob", norm_dob(F.col("dob")))
 
 
-def link_exact(records: DataFrame) -> DataFrame:
-    """(row, group): records with the same twelve digits share the first one's row; any other is a group of its own."""
-    rows = numbered(records).select("row", "nid")
+def grouped(records: DataFrame) -> DataFrame:
+    """``records`` with ``group``: records with the same twelve digits share the first one's row; any other is a group of its own.
+
+    Records keep their columns on the way, so they need not be met again by row, which two records may share.
+    """
+    rows = numbered(records)
     lead = rows.filter("nid <> ''").groupBy("nid").agg(F.min("row").alias("lead"))
-    return rows.join(lead, "nid", "left").select("row", F.coalesce("lead", "row").alias("group"))
+    return rows.join(lead, "nid", "left").withColumn("group", F.coalesce("lead", "row")).drop("nid", "nname", "ndob", "lead")
+
+
+def link_exact(records: DataFrame) -> DataFrame:
+    """(row, group) of ``grouped``."""
+    return grouped(records).select("row", "group")
 
 
 def fuzzy_pairs(ids: DataFrame, most: int = 1) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from compare import differences
 
 from grovetable.operators import linkage
+from grovetable.plans import catalog
 
 REC = "row long, ic string, source_type string, dataset_id string, name string, dob string, gender string, state string, district string, measure_date string, weight_kg double, height_cm double"
 
@@ -67,3 +69,26 @@ def test_birth_dates_across_month_ends(spark, days):
     got = {r["row"]: r["group"] for r in linkage.link_records(spark.createDataFrame(rows, REC), dob_days=days, name_cut=0.99).collect()}
     gaps = (1, 1, 3, 3)
     assert got == {i: i - i % 2 if gaps[i // 2] <= days else i for i in range(8)}
+
+
+@pytest.fixture
+def crowded(tmp_path):
+    """Customers whose changed numbers are those of others, and whose second records share a row with others: numbers go round at 1,000,000."""
+    import duckdb
+
+    back = pow(37, -1, 1_000_000)
+    changed = [k * 37 - k * 37 % 10 + (k * 37 + 1) % 10 for k in (6, 12, 24, 30, 150, 300)]
+    keys = [3, 6, 9, 12, 24, 25, 30, 75, 150, 300, 1_000_003, 1_000_006, 1_000_009, 1_000_150, *[n * back % 1_000_000 for n in changed]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE nation AS SELECT i::INTEGER AS n_nationkey, 'NATION_' || i AS n_name FROM range(4) t(i)")
+    con.execute("CREATE TABLE customer AS SELECT k AS c_custkey, 'Customer#' || k AS c_name, (k % 4)::INTEGER AS c_nationkey, 1.5 AS c_acctbal, 'S' || k % 3 AS c_mktsegment FROM (SELECT unnest(?::BIGINT[]) AS k)", [keys])
+    for t in ("nation", "customer"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    return str(tmp_path), con
+
+
+def test_conflicts_as_sql_where_numbers_are_shared(spark, crowded):
+    folder, con = crowded
+    assert not differences(catalog.QUERIES["link_conflicts"](spark, folder), con, catalog.ORACLES["link_conflicts"])
+    fields = catalog.QUERIES["link_conflict_fields"](spark, folder)
+    assert {r["field"] for r in fields.collect()} == {"gender", "state", "dob", "district", "name"}
