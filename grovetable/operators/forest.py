@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import try_num
+from .linkage import shared_files
 from .profile import long_numbers
 from .quantiles import percentiles
 
@@ -75,11 +76,58 @@ def grow_forest(df: DataFrame, columns: list[str], key: str, trees: int = TREES,
     return taken.select("tree", "k", "x").groupBy("tree").applyInPandas(one, NODES)
 
 
-def with_scores(df: DataFrame, columns: list[str], forest: DataFrame, sample: int, name: str = "anomaly_score") -> DataFrame:
-    """Add the isolation score, 2 ** -(mean path / mean path of ``sample`` rows): near 1 is odd, below a half is usual."""
+def laid_out(feature, cut, low, high, length):
+    """A tree as a full one: (depth, features, cuts, lengths of the last level); node i has its children at 2 i + 1 and 2 i + 2.
+
+    Below a leaf its length is repeated, so every row takes the same number of steps.
+    """
+    import numpy as np
+
+    level, src, depth = [0], [], 0
+    while any(feature[i] >= 0 for i in level):
+        src += level
+        level = [int(j) for i in level for j in ((low[i], high[i]) if feature[i] >= 0 else (i, i))]
+        depth += 1
+    inner = feature[src] >= 0 if src else np.zeros(0, dtype=bool)
+    return depth, np.where(inner, feature[src], 0).astype(np.intp) if src else np.zeros(0, dtype=np.intp), np.where(inner, cut[src], 0.0) if src else np.zeros(0), length[level]
+
+
+def path_lengths(x, trees):
+    """The sum over ``trees`` (of ``laid_out``) of the lengths of the paths that the rows of ``x`` (features, rows) take."""
+    import numpy as np
+
+    n = x.shape[1]
+    flat, place, total = x.ravel(), np.arange(n), np.zeros(n)
+    at, i, mine, cuts, low = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n), np.empty(n), np.empty(n, bool)
+    for depth, feature, cut, length in trees:
+        at.fill(0)
+        for level in range(depth):
+            if level:
+                np.take(feature, at, out=i, mode="clip")
+                i *= n
+                i += place
+                np.take(flat, i, out=mine, mode="clip")
+                np.take(cut, at, out=cuts, mode="clip")
+                np.less(mine, cuts, out=low)
+            else:
+                np.less(x[feature[0]], cut[0], out=low)
+            at *= 2
+            at += 2
+            at -= low
+        at -= 2**depth - 1
+        np.take(length, at, out=mine, mode="clip")
+        total += mine
+    return total
+
+
+def with_scores(df: DataFrame, columns: list, forest: DataFrame, sample: int, name: str = "anomaly_score") -> DataFrame:
+    """Add the isolation score, 2 ** -(mean path / mean path of ``sample`` rows): near 1 is odd, below a half is usual.
+
+    ``columns`` are names or expressions, in the order of the forest's features.
+    """
     held = forest.orderBy("tree", "node").toPandas()  # trees * (2 * sample - 1) nodes at most
-    packed = [tuple(part[c].to_numpy() for c in ("feature", "cut", "low", "high", "length")) for _, part in held.groupby("tree", sort=True)]
-    usual = average_path(sample) or 1.0
+    packed = [laid_out(*(part[c].to_numpy() for c in ("feature", "cut", "low", "high", "length"))) for _, part in held.groupby("tree", sort=True)]
+    usual, k = average_path(sample) or 1.0, len(columns)
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` double"])
 
     def run(batches):
@@ -87,37 +135,31 @@ def with_scores(df: DataFrame, columns: list[str], forest: DataFrame, sample: in
         import pyarrow as pa
 
         for batch in batches:
-            n = batch.num_rows
-            x = np.stack([np.asarray(batch.column(batch.schema.get_field_index(f"__x{i}")).to_numpy(zero_copy_only=False), dtype=float) for i in range(len(columns))], axis=1) if n else np.zeros((0, len(columns)))
-            total = np.zeros(n)
-            for feature, cut, low, high, length in packed:
-                at = np.zeros(n, dtype=np.int64)
-                while (inner := feature[at] >= 0).any():
-                    i = np.nonzero(inner)[0]
-                    f = feature[at[i]]
-                    at[i] = np.where(x[i, f] < cut[at[i]], low[at[i]], high[at[i]])
-                total += length[at]
-            score = 2.0 ** (-(total / max(1, len(packed))) / usual)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - len(columns)], pa.array(score)], names=[*batch.schema.names[: batch.num_columns - len(columns)], name])
-
-    given = df.select("*", *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
-    return given.mapInArrow(run, kind)
+            given = batch.num_columns - k
+            x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in batch.columns[given:]])
+            score = 2.0 ** (-(path_lengths(x, packed) / max(1, len(packed))) / usual)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:given], pa.array(score)], names=[*batch.schema.names[:given], name])
+
+    numbered = df.select("*", *[(F.col(c) if isinstance(c, str) else c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    return numbered.mapInArrow(run, kind)
 
 
 def isolation_flags(df: DataFrame, columns: list[str], key: str, share: float = 0.05, least: int = 10, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """Add anomaly_score and is_anomaly: the top ``share`` of isolation scores is flagged.
 
     A missing number counts as its column's median; columns without any number are left out. A frame of fewer than ``least`` rows, or
-    without numbers, has no anomalies and scores of 0.
+    without numbers, has no anomalies and scores of 0. Rows are scored once and written with their scores, which the cut is taken from.
     """
-    medians = {c: p[0] for c, (_, p) in percentiles(long_numbers(df, columns), (0.5,)).items()}
-    n = df.count()
-    if n < least or not medians:
+    held = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(try_num(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    n, found = held["n"], {c: held[f"c{i}"] for i, c in enumerate(columns)}
+    used = [c for c in columns if found[c]]
+    if n < least or not used:
         return df.withColumn("anomaly_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(False))
-    used = [c for c in columns if c in medians]
-    filled = df.select("*", *[F.coalesce(try_num(F.col(f"`{c}`")), F.lit(medians[c])).alias(f"__f{i}") for i, c in enumerate(used)])
+    gaps = [c for c in used if found[c] < n]
+    medians = {c: p[0] for c, (_, p) in percentiles(long_numbers(df, gaps), (0.5,)).items()} if gaps else {}
+    numbers = [F.coalesce(try_num(F.col(f"`{c}`")), F.lit(medians[c])) if c in medians else try_num(F.col(f"`{c}`")) for c in used]
     names = [f"__f{i}" for i in range(len(used))]
-    forest = grow_forest(filled, names, key, trees, sample, seed)
-    scored = with_scores(filled, names, forest, min(sample, n)).drop(*names)
+    forest = grow_forest(df.select("*", *[x.alias(f) for x, f in zip(numbers, names)]), names, key, trees, sample, seed)
+    scored = shared_files(with_scores(df, numbers, forest, min(sample, n)))
     cut = percentiles(scored.select(F.lit("score").alias("column"), F.col("anomaly_score").alias("x")), (1 - share,))["score"][1][0]
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > cut)

@@ -7,7 +7,7 @@ earlier free neighbour becomes a leader, and others join their earliest leader.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import deletes, dob_date, name_similarity, norm_dob, norm_id, norm_name
@@ -163,11 +163,10 @@ def lead_clusters(nodes: DataFrame, links: DataFrame, settle) -> DataFrame:
             return state.select("node", "leader")
 
 
-def shared_scratch(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared checkpoint folder; one is made only in local mode where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; one is made only in local mode where none is set."""
     import tempfile
 
-    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         root = spark.conf.get("spark.checkpoint.dir", "") or ""
         if not root:
@@ -175,9 +174,24 @@ def shared_scratch(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="spark-grovetable-")
         spark.sparkContext.setCheckpointDir(root)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def shared_scratch(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the session's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_files(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the session's shared checkpoint folder, so that later passes read only the columns they need."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/files-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def link_records(records: DataFrame, id_edits: int = 1, dob_days: int = 1, name_cut: float = 0.85, min_confidence: float = 0.0) -> DataFrame:
     """(row, group, confidence, reason) over all datasets.
 

@@ -52,3 +52,26 @@ def test_gaps_ties_and_few_rows(spark):
     assert forest.isolation_flags(text, ["a"], "id").count() == 40
     assert not forest.isolation_flags(same.limit(5), ["a"], "id").filter("is_anomaly").count()
     assert forest.isolation_flags(same.limit(0), ["a"], "id").count() == 0
+
+
+def test_rows_are_scored_once(spark, monkeypatch):
+    """The cut and the result are taken from the scores of one pass; a gap counts as the median."""
+    seen, made = spark.sparkContext.accumulator(0), forest.with_scores
+
+    def counted(df, *rest):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        out = made(df, *rest)
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(forest, "with_scores", counted)
+    df = frame(spark)
+    holed = df.selectExpr("id", "a", "CASE WHEN id % 50 > 0 THEN b END AS b")
+    median = holed.selectExpr("median(b) AS m").first()["m"]
+    got = {r["id"]: (r["anomaly_score"], r["is_anomaly"]) for r in forest.isolation_flags(holed, ["a", "b"], "id").collect()}
+    assert seen.value == len(got) == 612
+    full = forest.isolation_flags(holed.fillna({"b": median}), ["a", "b"], "id").collect()
+    assert got == {r["id"]: (r["anomaly_score"], r["is_anomaly"]) for r in full}
